@@ -121,10 +121,13 @@ class ByteBPE:
         return points if points[-1] == len(text) else [*points, len(text)]
 
     def _settled(self, text: str, start: int, end: int) -> list[int]:
-        """Boundaries of matches from `start` that can't change with what follows `end`."""
+        """Boundaries of matches from `start` that can't change with what follows `end`.
+
+        Those behind white space are left out: the pattern looks ahead there, so a piece that ended
+        at one would be split otherwise without the text that follows.
+        """
         stop = min(len(text), end + MARGIN)
-        found = self.boundaries(text, start, stop)
-        return found if stop == len(text) else [b for b in found if b <= end]
+        return [b for b in self.boundaries(text, start, stop) if (b <= end or stop == len(text)) and not text[b - 1].isspace()]
 
     def _from(self, text: str, true_start: int, low: int, end: int) -> list[int]:
         return [b for b in self._settled(text, true_start, end) if b >= low]
