@@ -9,8 +9,11 @@ from pyspark.sql import DataFrame, SparkSession
 from reelquarry.llm.byte_bpe import op5_byte_bpe
 from reelquarry.llm.chat import op3_chat
 from reelquarry.llm.fingerprints import op1_fingerprints
+from reelquarry.llm.jaccard import op7_jaccard
+from reelquarry.llm.langid import op8_language
 from reelquarry.llm.media import op2_media
 from reelquarry.llm.packing import op6_packing
+from reelquarry.llm.toxicity import op4_toxicity
 
 CHAT_SQL = r"""
 WITH t AS (
@@ -40,8 +43,11 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op1_fingerprints": op1_fingerprints,
         "op2_media": op2_media,
         "op3_chat": op3_chat,
+        "op4_toxicity": op4_toxicity,
         "op5_byte_bpe": op5_byte_bpe,
         "op6_packing": op6_packing,
+        "op7_jaccard": op7_jaccard,
+        "op8_language": op8_language,
     }
 
 
