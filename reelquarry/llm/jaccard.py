@@ -3,8 +3,10 @@
 1. One pass gives each document's set size and 128-bit set digest, and a fixed-size table of how
    often tokens occur; documents with equal sets form a class, and only classes go on.
 2. Tokens are ordered from rare to common by that table (any fixed order gives exact results). Two
-   alike sets share one of their first n - ceil(t n) + 1 tokens, so (token, class) records meet by
-   token. Classes that meet, with compatible sizes, are clustered.
+   alike sets share l or more of their first n - ceil(t n) + l tokens; l grows with n, so that long
+   texts don't meet by a few chance tokens. (token, class) records meet by token and the shared
+   tokens of each pair are counted; a token of many classes counts as proof enough. Classes that
+   meet often enough, with compatible sizes, are clustered.
 3. The sets of a cluster are sent to one task, where a signature tree's dual traversal finds the exact
    components. Clusters above a fixed number of tokens are cut by size class and salt into cells, and
    every pair of cells that can hold links is a task; those links are joined up by components again.
@@ -27,6 +29,11 @@ from reelquarry.llm.signature_tree import SignatureTree
 #: Slots of the token-frequency table, a power of two; its size doesn't depend on the data.
 SLOT_BITS = 20
 CHUNKS = 32
+#: A set of n tokens must share 1 + n // MEET_EACH of its prefix with a partner.
+MEET_EACH = 40
+#: Classes of a token up to which its pairs are counted.
+FEW = 8
+MANY = 1 << 20
 #: Tokens of a cluster that one task takes whole.
 CLUSTER_TOKENS = 4_000_000
 _SPACE = np.zeros(256, bool)
@@ -143,7 +150,7 @@ def _keys(width: int, num: int, den: int, shared):
                     continue
                 seen.add((sid, other))
                 ranked = (levels[(tokens >> np.uint64(64 - SLOT_BITS)).astype(np.int64)] << np.uint64(56)) | (tokens & np.uint64((1 << 56) - 1))
-                p = n - -(-num * n // den) + 1
+                p = min(n, n - -(-num * n // den) + 1 + n // MEET_EACH)
                 keys.append(np.partition(ranked, p - 1)[:p] if p < n else ranked)
                 ids.append(np.full(p, sid, np.int64))
                 sizes.append(np.full(p, n, np.int32))
@@ -154,7 +161,11 @@ def _keys(width: int, num: int, den: int, shared):
 
 
 def _meetings(num: int, den: int):
-    """Sorted (token, n, sid) records -> a spanning forest of the classes that meet within the task."""
+    """Sorted (token, n, sid) records -> (a, b, shared, least): pairs of classes, the tokens they share here and the number they need.
+
+    The pairs of a token of more than FEW classes are not listed: neighbours in size order stand for
+    them, joined up to a forest, with a count that no need exceeds.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         parent: dict[int, int] = {}
@@ -165,21 +176,52 @@ def _meetings(num: int, den: int):
                 x = parent[x]
             return x
 
-        last = None
-        for batch in batches:
-            token, n, sid = (batch.column(i).to_numpy() for i in range(3))
-            if last is not None:
-                token, n, sid = (np.concatenate(([v], c)) for v, c in zip(last, (token, n, sid), strict=True))
-            last = (token[-1], n[-1], sid[-1])
-            # neighbours in size order: if they don't fit, nothing across them does
-            meet = (token[1:] == token[:-1]) & (sid[1:] != sid[:-1]) & (den * n[:-1].astype(np.int64) >= num * n[1:].astype(np.int64))
-            at = np.flatnonzero(meet)
+        def rows(a: np.ndarray, b: np.ndarray, shared: np.ndarray, least: np.ndarray) -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array(x.astype(np.int64)) for x in (a, b, shared, least)], names=["a", "b", "shared", "least"])
+
+        def chain(n: np.ndarray, sid: np.ndarray, fit: np.ndarray) -> None:
+            at = np.flatnonzero(fit)
             for a, b in set(zip(sid[at].tolist(), sid[at + 1].tolist(), strict=True)):
                 x, y = find(a), find(b)
                 if x != y:
                     parent[max(x, y)] = min(x, y)
-        pairs = [(x, find(x)) for x in list(parent) if find(x) != x]
-        yield pa.RecordBatch.from_arrays([pa.array([p[0] for p in pairs], pa.int64()), pa.array([p[1] for p in pairs], pa.int64())], names=["a", "b"])
+
+        def blocks(token: np.ndarray, n: np.ndarray, sid: np.ndarray, crowded: int | None) -> Iterator[pa.RecordBatch]:
+            start = np.flatnonzero(np.concatenate(([True], token[1:] != token[:-1])))
+            size = np.diff(np.append(start, len(token)))
+            many = np.repeat(size > FEW, size)
+            if crowded is not None:
+                many |= token == crowded
+            fits = den * n[:-1] >= num * n[1:]
+            # neighbours in size order: if they don't fit, nothing across them does
+            chain(n, sid, (token[1:] == token[:-1]) & many[1:] & fits)
+            for d in range(1, FEW):
+                if d >= len(token):
+                    break
+                at = np.flatnonzero((token[d:] == token[:-d]) & ~many[d:] & (den * n[:-d] >= num * n[d:]))
+                if len(at):
+                    x, y = np.minimum(sid[at], sid[at + d]), np.maximum(sid[at], sid[at + d])
+                    pair, where, count = np.unique(np.stack([x, y], 1), axis=0, return_index=True, return_counts=True)
+                    yield rows(pair[:, 0], pair[:, 1], count, 1 + n[at][where] // MEET_EACH)
+
+        held, crowded = [np.zeros(0, np.int64)] * 3, None
+        for batch in batches:
+            new = [batch.column(i).to_numpy().astype(np.int64) for i in range(3)]
+            token, n, sid = (np.concatenate(c) for c in zip(held, new, strict=True))
+            fresh = np.concatenate(([True], (token[1:] != token[:-1]) | (sid[1:] != sid[:-1]) | (n[1:] != n[:-1])))
+            token, n, sid = token[fresh], n[fresh], sid[fresh]
+            last = int(np.searchsorted(token, token[-1])) if len(token) else 0
+            if len(token) - last > FEW or (len(token) and token[-1] == crowded):
+                # the last block may go on; its last row stands for it
+                yield from blocks(token, n, sid, crowded)
+                crowded, last = int(token[-1]), len(token) - 1
+            elif last:
+                yield from blocks(token[:last], n[:last], sid[:last], crowded)
+            held = [token[last:], n[last:], sid[last:]]
+        if len(held[0]):
+            yield from blocks(*held, crowded)
+        pairs = np.array([(x, find(x)) for x in list(parent) if find(x) != x], np.int64).reshape(-1, 2)
+        yield rows(pairs.min(1), pairs.max(1), np.full(len(pairs), MANY), np.ones(len(pairs)))
 
     return run
 
@@ -289,12 +331,14 @@ def near_duplicates(docs: DataFrame, width: int = 5, num: int = 80, den: int = 1
     classes = rows.where("n > 0").groupBy("s1", "s2").agg(F.min("doc_id").alias("rep"), F.first("n").alias("n")).where("rep IS NOT NULL")
 
     records = docs.select("text").mapInArrow(_keys(width, num, den, levels), "token long, sid long, n int")
-    meetings = records.repartition(parts, "token").sortWithinPartitions("token", "n", "sid").select("token", "n", "sid").mapInArrow(_meetings(num, den), "a long, b long")
-    clusters = connected_components(meetings)
+    meetings = records.repartition(parts, "token").sortWithinPartitions("token", "n", "sid").select("token", "n", "sid").mapInArrow(_meetings(num, den), "a long, b long, shared long, least long")
+    edges = meetings.groupBy("a", "b").agg(F.sum("shared").alias("shared"), F.min("least").alias("least")).where("shared >= least").select("a", "b")
+    clusters = connected_components(edges)
 
     members = classes.join(clusters, classes.s1 == clusters.node).select(F.col("component").alias("cluster"), F.col("rep").alias("doc_id"), "n", "s1", "s2")
     placed = materialize(_assign_cells(members, num, den, limit), "cells")
-    sets = placed.select("cells", "doc_id", "s1", "s2").join(docs, "doc_id").select("cells", "doc_id", "s1", "s2", "text").mapInArrow(_sets(width), _CELL)
+    # the join is hinted so that it has one shape at every size
+    sets = placed.select("cells", "doc_id", "s1", "s2").hint("merge").join(docs, "doc_id").select("cells", "doc_id", "s1", "s2", "text").mapInArrow(_sets(width), _CELL)
     linked = sets.repartition(parts, "cell").sortWithinPartitions("cell", "side", "doc_id").mapInArrow(_cells(num, den), "a long, b long")
     links = materialize(linked, "links")
     if placed.where("large").limit(1).count():
