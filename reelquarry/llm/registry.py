@@ -9,10 +9,12 @@ from pyspark.sql import DataFrame, SparkSession
 from reelquarry.llm.byte_bpe import op5_byte_bpe
 from reelquarry.llm.chat import op3_chat
 from reelquarry.llm.fingerprints import op1_fingerprints
+from reelquarry.llm.html_text import op9_html
 from reelquarry.llm.jaccard import op7_jaccard
 from reelquarry.llm.langid import op8_language
 from reelquarry.llm.media import op2_media
 from reelquarry.llm.packing import op6_packing
+from reelquarry.llm.suffixes import op10_suffixes
 from reelquarry.llm.toxicity import op4_toxicity
 
 CHAT_SQL = r"""
@@ -48,6 +50,8 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op6_packing": op6_packing,
         "op7_jaccard": op7_jaccard,
         "op8_language": op8_language,
+        "op9_html": op9_html,
+        "op10_suffixes": op10_suffixes,
     }
 
 
