@@ -30,7 +30,7 @@ OVERLAP = 1 << 9
 #: Characters by which a chunk's own last matches may lack right context.
 MARGIN = 64
 #: Entries of the memo of encoded pre-tokens; at that size it starts anew.
-MEMO = 400_000
+MEMO = 200_000
 
 
 class ByteBPE:
@@ -176,7 +176,7 @@ def encode_documents(docs: DataFrame, path: str, pattern: str, keep_ids: bool =
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bpe = encoder(path, pattern)
         with ThreadPoolExecutor(2) as pool:
-            for batch in slices(batches, 1, 8 << 20):
+            for batch in slices(batches, 1, 2 << 20):
                 counts, sums, backs, ids = [], [], [], []
                 for text in batch.column(1).to_pylist():
                     raw = bpe.encode_bytes(text or "", pool)

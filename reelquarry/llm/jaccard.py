@@ -103,7 +103,7 @@ def _sketch(width: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counts = np.zeros(1 << SLOT_BITS, np.int64)
         none = pa.nulls
-        for batch in slices(batches, 1):
+        for batch in slices(batches, 1, 1 << 20):
             sets = shingle_sets([(t or "").encode() for t in batch.column(1).to_pylist()], width)
             counts += np.bincount((np.concatenate(sets) >> np.uint64(64 - SLOT_BITS)).astype(np.int64), minlength=len(counts))
             sums = [_digest(s) for s in sets]
@@ -141,7 +141,7 @@ def _frequency_levels(sketch: DataFrame) -> np.ndarray:
 def _keys(width: int, num: int, den: int, shared):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         levels, seen = shared.value.astype(np.uint64), set()
-        for batch in slices(batches, 0):
+        for batch in slices(batches, 0, 1 << 20):
             keys, ids, sizes = [], [], []
             for tokens in shingle_sets([(t or "").encode() for t in batch.column(0).to_pylist()], width):
                 n = len(tokens)

@@ -1,6 +1,6 @@
 """Language ID: inference of a mixture of languages for each document.
 
-Every language has a distribution of hashed character n-grams (one to four, word edges included). A
+Every language has a distribution of hashed character n-grams (one to three, word edges included). A
 word's likelihood under a language is the tempered product over its n-grams. Expectation-maximisation
 estimates each document's language proportions over its words; the set of languages is chosen by the
 likelihood less a penalty for each language. The model is fitted on a sample of at most `sample` rows
@@ -9,10 +9,8 @@ in the order of a hash of the id; the bound is a parameter. Prediction reads eve
 
 from __future__ import annotations
 
-from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
-from zlib import crc32
 
 import numpy as np
 import pandas as pd
@@ -20,40 +18,76 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from reelquarry.llm.common import documents, prepare
+from reelquarry.llm.common import documents, prepare, slices
 from reelquarry.llm.toxicity import fold
 
 #: Most rows used to fit.
 SAMPLE = 6_000
 SLOTS = 1 << 16
-LONGEST = 4
+LONGEST = 3
 #: Overlapping n-grams aren't independent; their log-likelihoods count by this factor.
 TEMPER = 0.4
 #: A word's likelihood in any language is at least this share of its best.
 FLOOR = 1e-4
 STEPS = 12
 UNKNOWN = "und"
-MEMO = 300_000
-#: Words that are inferred together.
-SLICE_WORDS = 400_000
+#: Characters that are inferred together.
+SLICE_CHARS = 400_000
 
 
-def grams(word: str) -> list[int]:
-    """Slots of all n-grams of a word between edge marks."""
-    w = f" {word.lower()} "
-    return [crc32(w[i : i + n].encode()) % SLOTS for n in range(1, LONGEST + 1) for i in range(len(w) - n + 1)]
+_ALPHA: list[np.ndarray] = []
+
+
+def _alpha() -> np.ndarray:
+    """Whether each code point is a letter."""
+    if not _ALPHA:
+        _ALPHA.append(np.fromiter((chr(i).isalpha() for i in range(0x110000)), bool, 0x110000))
+    return _ALPHA[0]
+
+
+def word_grams(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(slots by n and position, word segment starts, whether a word has letters, text of each word).
+
+    Words stand between white space; an n-gram may hold the space before or after its word but no
+    other. Positions without an n-gram have the slot SLOTS.
+    """
+    joined = " " + " ".join(texts).lower() + " "
+    code = np.frombuffer(joined.encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.int64)
+    gap = (code == 32) | ((code >= 9) & (code <= 13)) | (code == 160)
+    code = np.where(gap, 32, code)
+    n = len(code)
+    slots = np.full((LONGEST, n), SLOTS, np.int32)
+    h = np.zeros(n, np.uint64)
+    inner = np.zeros(n, bool)
+    for k in range(LONGEST):
+        m = n - k
+        h = (h[:m] * np.uint64(0x100000001B3) + code[k:].astype(np.uint64) + np.uint64(1)) * np.uint64(0x9E3779B97F4A7C15)
+        if k:
+            # the character that was last is inside now
+            inner = (inner[:m] | gap[k - 1 : k - 1 + m]) if k > 1 else np.zeros(m, bool)
+            fine = ~inner & ~(gap[:m] & gap[k:])
+        else:
+            fine = ~gap
+        slots[k, :m][fine] = (h[fine] >> np.uint64(64 - SLOTS.bit_length() + 1)).astype(np.int32)
+    starts = np.flatnonzero(gap[:-1] & ~gap[1:])
+    letters = np.zeros(0, bool)
+    if len(starts):
+        letters = np.add.reduceat(_alpha()[code].astype(np.int32), starts) > 0
+    # lower case can change a text's length, so the ends are those of the lowered texts
+    ends = np.cumsum([len(t.lower()) + 1 for t in texts])
+    return slots, starts, letters, np.searchsorted(ends, starts, side="right")
 
 
 def _gram_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    by_lang: dict[str, Counter] = {}
-    for batch in batches:
+    totals: dict[str, np.ndarray] = {}
+    for batch in slices(batches, 0, 1 << 20):
+        by_lang: dict[str, list[str]] = {}
         for text, lang in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-            by_lang.setdefault(lang, Counter()).update((text or "").split())
-    for lang, words in by_lang.items():
-        total = np.zeros(SLOTS, np.int64)
-        for word, n in words.items():
-            if any(map(str.isalpha, word)):
-                np.add.at(total, grams(word), n)
+            by_lang.setdefault(lang, []).append(text or "")
+        for lang, texts in by_lang.items():
+            counts = np.bincount(word_grams(texts)[0].ravel(), minlength=SLOTS + 1)[:SLOTS]
+            totals[lang] = totals.get(lang, 0) + counts
+    for lang, total in totals.items():
         at = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array([lang] * len(at), pa.string()), pa.array(at, pa.int64()), pa.array(total[at])], names=["lang", "slot", "n"])
 
@@ -91,31 +125,21 @@ def fit(docs: DataFrame, sample: int = SAMPLE) -> LanguageModel:
 class MixtureInference:
     def __init__(self, model: LanguageModel):
         self.model = model
-        self.memo: dict[str, int] = {}
-        self.rows = np.ones((1024, max(len(model.langs), 1)), np.float32)
-        #: Row 0: words without letters, which tell nothing.
-        self.used = 1
-
-    def _row(self, word: str) -> int:
-        if not any(map(str.isalpha, word)):
-            return 0
-        if self.used == len(self.rows):
-            self.rows = np.vstack([self.rows, np.ones_like(self.rows)])
-        ll = self.model.logp[:, grams(word)].sum(1) * TEMPER
-        self.rows[self.used] = np.maximum(np.exp(ll - ll.max()), FLOOR)
-        self.used += 1
-        return self.used - 1
-
-    def _ids(self, text: str) -> np.ndarray:
-        tokens, memo = text.split(), self.memo
-        try:
-            found = np.array([memo[t] for t in tokens], np.int32)
-        except KeyError:
-            for t in tokens:
-                if t not in memo:
-                    memo[t] = self._row(t)
-            found = np.array([memo[t] for t in tokens], np.int32)
-        return found[found > 0]
+        self.table = np.zeros((SLOTS + 1, max(len(model.langs), 1)), np.float32)
+        if model.langs:
+            self.table[:SLOTS] = TEMPER * model.logp.T
+
+    def _words(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """(likelihoods of the words with letters, relative to each one's best language; their texts)."""
+        slots, starts, letters, owner = word_grams(texts)
+        if not letters.any():
+            return np.zeros((0, self.table.shape[1]), np.float32), np.zeros(0, np.int64)
+        total = self.table[slots[0]]
+        for row in slots[1:]:
+            total += self.table[row]
+        score = np.add.reduceat(total, starts)[letters]
+        score -= score.max(1, keepdims=True)
+        return np.maximum(np.exp(score), FLOOR), owner[letters]
 
     @staticmethod
     def _em(like: np.ndarray, doc: np.ndarray, starts: np.ndarray, sizes: np.ndarray, theta: np.ndarray, steps: int) -> tuple[np.ndarray, np.ndarray]:
@@ -129,31 +153,24 @@ class MixtureInference:
 
     def infer(self, texts: list[str | None]) -> list[tuple[str, float, int]]:
         """(dominant language, its proportion, number of languages in the set) for each text."""
-        if len(self.memo) > MEMO:
-            self.memo.clear()
-            self.used = 1
         out: list = [(UNKNOWN, 0.0, 0)] * len(texts)
         if not self.model.langs:
             return out
-        ids = [self._ids(t or "") for t in texts]
-        some = [i for i, x in enumerate(ids) if len(x)]
-        group: list[int] = []
-        held = 0
-        for i in some:
-            group.append(i)
-            held += len(ids[i])
-            if held >= SLICE_WORDS:
-                self._infer(group, ids, out)
-                group, held = [], 0
-        if group:
-            self._infer(group, ids, out)
+        first = held = 0
+        for i, t in enumerate(texts):
+            held += len(t or "")
+            if held >= SLICE_CHARS or i + 1 == len(texts):
+                like, owner = self._words([x or "" for x in texts[first : i + 1]])
+                if len(like):
+                    self._infer(like, owner, first, out)
+                first, held = i + 1, 0
         return out
 
-    def _infer(self, group: list[int], ids: list[np.ndarray], out: list) -> None:
+    def _infer(self, like: np.ndarray, owner: np.ndarray, first: int, out: list) -> None:
         langs = self.model.langs
-        sizes = np.array([len(ids[i]) for i in group])
+        present, sizes = np.unique(owner, return_counts=True)
+        group = (present + first).tolist()
         starts = np.concatenate(([0], sizes.cumsum()[:-1]))
-        like = self.rows[np.concatenate([ids[i] for i in group])]
         doc = np.repeat(np.arange(len(group)), sizes)
         uniform = np.full((len(group), len(langs)), 1 / len(langs), np.float32)
         theta, best = self._em(like, doc, starts, sizes, uniform, STEPS)

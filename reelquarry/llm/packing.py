@@ -23,7 +23,7 @@ from reelquarry.llm.common import documents, prepare, slices
 
 WINDOW = 4096
 END_ID = 2
-MEMO = 400_000
+MEMO = 200_000
 _SCHEMA = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
 
 
@@ -136,7 +136,7 @@ def pack_documents(docs: DataFrame, path: str, window: int = WINDOW, end_id: int
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encode = tokenizer(path).encode_bytes
         rows: list[tuple] = []
-        for batch in slices(batches, 1, 8 << 20):
+        for batch in slices(batches, 1, 2 << 20):
             for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
                 raw = encode(text or "") + tail
                 n = len(raw) // 4

@@ -28,7 +28,7 @@ LENGTH = 400
 #: Anchor k-grams are this share of the window.
 GRAM_SHARE = 0.32
 #: Bytes of records that are sorted together.
-SORT_BYTES = 6 << 20
+SORT_BYTES = 1 << 20
 #: Positions of one text that are handled together; longer texts are read in overlapping stretches.
 STRETCH = 1 << 20
 _BASE = 0x9E3779B97F4A7C15 | 1
@@ -110,7 +110,7 @@ def _scan(length: int, gram: int):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[tuple[int, int]] = set()
-        for batch in slices(batches, 0, 2 << 20):
+        for batch in slices(batches, 0, 1 << 20):
             texts = [(t or "").encode() for t in batch.column(0).to_pylist()]
             fresh = []
             for t in texts:

@@ -8,21 +8,22 @@ a hash of the id; the bound is a parameter. Scoring reads every whole text in pl
 
 from __future__ import annotations
 
+import re
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 
+import ahocorasick
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-import regex
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from reelquarry.llm.common import documents, materialize, prepare, slices
 
 #: Most labelled rows used to fit.
-SAMPLE = 20_000
+SAMPLE = 12_000
 #: Most words of the learned lexicon, and what a word needs to enter it.
 LEXICON, MIN_RATIO, MIN_LOG_ODDS, MIN_DOCS = 256, 20.0, 2.5, 3
 #: Lengths of the word beginnings that the lexicon also holds, so that it catches inflected and compound words.
@@ -32,12 +33,14 @@ SECOND_PERSON = frozenset("you your yours yourself u ur tu te toi ton ta tes vou
 # fixed values: look-alike characters
 LOOKALIKES = str.maketrans({"0": "o", "1": "i", "3": "e", "4": "a", "5": "s", "7": "t", "@": "a", "$": "s", "!": "i", "*": "", ".": "", "-": "", "_": ""})
 FEATURES = ("lexicon_density", "lexicon_hits", "top_weight", "distinct_hits", "hidden_hits", "second_person", "near_second_person", "capital_letters", "capital_words", "exclamations", "questions", "symbols", "digits", "obfuscated", "repeats", "log_words")
-NEAR = 4
-MEMO = 500_000
+#: Characters between a hit and a second-person word that count as near.
+NEAR = 30
 _STRIP = "\"'.,;:!?()[]{}<>|*_-…“”«»¡¿#%&$"
-_MIXED = regex.compile(r"\p{L}[\p{N}@$!*_.\-]+\p{L}")
-_LETTERS = regex.compile(r"\p{L}")
-_RUN = regex.compile(r"(\p{L})\1\1")
+# look-alike characters inside a word; hyphens and dots alone don't hide anything
+_MIXED = re.compile(r"[^\W\d_]+[0-9@$!*_.\-][\w@$!*.\-]*[^\W\d_]")
+_JOINED = re.compile(r"[^\W\d_]+(?:[.\-_!]+[^\W\d_]+)*")
+_CAPITALS = re.compile(r"\b[A-ZÀ-ÖØ-Þ]{3,}\b")
+_RUN = re.compile(r"([a-z])\1\1")
 
 
 def words_of(text: str) -> list[str]:
@@ -51,69 +54,64 @@ def entries_of(word: str) -> list[str]:
 
 
 class Featurizer:
+    """Features of a text from one pass of an automaton over lexicon and second-person words, and a few scans."""
+
     def __init__(self, lexicon: dict[str, float]):
         self.lexicon = lexicon
-        self.memo: dict[str, int] = {}
-        # rows: weight, hidden weight, second person, all capitals, obfuscated, repeated letters; row 0: nothing
-        self.rows: dict[tuple, int] = {(0.0, 0.0, 0, 0, 0, 0): 0}
-        self.table = np.zeros((1, 6))
+        self.automaton = ahocorasick.Automaton()
+        found: dict[str, list] = {}
+        for entry, weight in lexicon.items():
+            found.setdefault(entry.rstrip("*"), []).append((weight, entry.endswith("*")))
+        for word in SECOND_PERSON:
+            found.setdefault(word, []).append((0.0, False))
+        for word, uses in found.items():
+            self.automaton.add_word(word, (len(word), uses))
+        self.automaton.make_automaton()
 
     def _weight(self, word: str) -> float:
         return max(self.lexicon.get(e, 0.0) for e in entries_of(word))
 
-    def _code(self, token: str) -> int:
-        word = token.lower().strip(_STRIP)
-        weight = self._weight(word)
-        mixed = bool(_MIXED.search(token.strip(_STRIP)))
-        hidden = 0.0 if weight else self._weight(token.lower().translate(LOOKALIKES).strip(_STRIP))
-        letters = _LETTERS.findall(token)
-        row = (weight, hidden, int(word in SECOND_PERSON), int(len(letters) > 2 and token.isupper()), int(mixed or bool(hidden)), int(bool(_RUN.search(word))))
-        code = self.rows.get(row)
-        if code is None:
-            code = self.rows[row] = len(self.rows)
-            self.table = np.vstack([self.table, [row]])
-        return code
-
     def features(self, text: str) -> list[float]:
-        tokens, memo = text.split(), self.memo
-        try:
-            codes = np.array([memo[t] for t in tokens], np.int32)
-        except KeyError:
-            if len(memo) > MEMO:
-                memo.clear()
-            for t in tokens:
-                if t not in memo:
-                    memo[t] = self._code(t)
-            codes = np.array([memo[t] for t in tokens], np.int32)
-        n = max(len(tokens), 1)
-        at = np.flatnonzero(codes)
-        rows = self.table[codes[at]]
-        weight = rows[:, 0] + rows[:, 1]
-        hits, second = at[weight > 0], at[rows[:, 2] > 0]
+        low = text.lower()
+        hits: dict[int, float] = {}
+        second = []
+        for end, (size, uses) in self.automaton.iter(low):
+            start = end - size + 1
+            if start and low[start - 1].isalpha():
+                continue
+            closed = end + 1 == len(low) or not low[end + 1].isalpha()
+            for weight, stem in uses:
+                if stem or closed:
+                    if weight:
+                        hits[start] = max(hits.get(start, 0.0), weight)
+                    else:
+                        second.append(start)
+        mixed = [m for m in _MIXED.findall(low) if not _JOINED.fullmatch(m)]
+        hidden = [w for w in (self._weight(m.translate(LOOKALIKES).strip(_STRIP)) for m in mixed) if w]
+        at = np.array(sorted(hits))
         near = 0
-        if len(hits) and len(second):
-            i = np.searchsorted(second, hits)
-            left = hits - second[np.maximum(i - 1, 0)]
-            right = second[np.minimum(i, len(second) - 1)] - hits
-            near = int(np.count_nonzero(((left >= 0) & (left <= NEAR)) | ((right >= 0) & (right <= NEAR))))
+        if len(at) and second:
+            near = int(sum(np.abs(np.array(second) - i).min() <= NEAR for i in at))
+        n = max(len(text.split()), 1)
         counts = np.bincount(np.frombuffer(text.encode(), np.uint8), minlength=256)
         size = max(int(counts.sum()), 1)
+        weights = [*hits.values(), *hidden]
         return [
-            float(weight.sum()) / n,
-            float(len(hits)),
-            float(weight.max()) if len(hits) else 0.0,
-            float(len(set(codes[hits].tolist()))),
-            float(np.count_nonzero(rows[:, 1])),
+            sum(weights) / n,
+            float(len(weights)),
+            max(weights, default=0.0),
+            float(len({low[i : i + 6] for i in hits})),
+            float(len(hidden)),
             len(second) / n,
             float(near),
             float(counts[65:91].sum()) / size,
-            float(rows[:, 3].sum()) / n,
+            len(_CAPITALS.findall(text)) / n,
             float(counts[33]) / n,
             float(counts[63]) / n,
             float(counts[[35, 36, 37, 38, 42, 64, 95, 126]].sum()) / size,
             float(counts[48:58].sum()) / size,
-            float(rows[:, 4].sum()) / n,
-            float(rows[:, 5].sum()) / n,
+            len(mixed) / n,
+            len(_RUN.findall(low)) / n,
             float(np.log1p(n)),
         ]
 
@@ -290,8 +288,8 @@ def score_documents(docs: DataFrame, model: ToxicityModel) -> DataFrame:
     def score(parts: Iterator[pd.Series]) -> Iterator[pd.Series]:
         made = Featurizer(shared.value.lexicon)
         for texts in parts:
-            x = [made.features(t or "") for t in texts]
-            yield pd.Series(shared.value.score(np.array(x).reshape(-1, len(FEATURES))), dtype="float64")
+            x = np.array([made.features(t or "") for t in texts]).reshape(-1, len(FEATURES))
+            yield pd.Series(shared.value.score(x), dtype="float64")
 
     return docs.withColumn("toxicity", score("text"))
 
