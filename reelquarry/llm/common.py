@@ -15,9 +15,15 @@ ROOT = str(Path(__file__).resolve().parents[2])
 _OWN_DIR: dict[str, str] = {}
 
 
+#: Python workers are reused: these make them give freed memory back instead of keeping it from task to task.
+WORKER_ENV = {"MALLOC_MMAP_THRESHOLD_": "1048576", "MALLOC_TRIM_THRESHOLD_": "1048576", "MALLOC_ARENA_MAX": "2", "ARROW_DEFAULT_MEMORY_POOL": "system"}
+
+
 def prepare(spark: SparkSession) -> None:
-    """Lets Python workers import this package when it is run from a source tree."""
+    """Sets up the environment of Python workers, and lets them import this package from a source tree."""
     env = spark.sparkContext.environment
+    for name, value in WORKER_ENV.items():
+        env.setdefault(name, value)
     have = env.get("PYTHONPATH", os.environ.get("PYTHONPATH", ""))
     if ROOT not in have.split(os.pathsep):
         env["PYTHONPATH"] = os.pathsep.join(x for x in (ROOT, have) if x)
