@@ -26,7 +26,7 @@ from reelquarry.llm.common import documents, prepare, shuffle_partitions, slices
 
 LENGTH = 400
 #: Anchor k-grams are this share of the window.
-GRAM_SHARE = 0.32
+GRAM_SHARE = 0.25
 #: Bytes of records that are sorted together.
 SORT_BYTES = 1 << 20
 #: Positions of one text that are handled together; longer texts are read in overlapping stretches.
@@ -97,7 +97,8 @@ def anchors(texts: list[bytes], length: int, gram: int) -> list[tuple[np.ndarray
     return out
 
 
-_ANCHORS = "hash long, t1 long, t2 long, pos long, first long, last long"
+#: `place` packs the anchor's position, its distance to the first start, and the number of further starts.
+_ANCHORS = "hash long, t1 long, t2 long, place long"
 
 
 def _text_id(text: bytes) -> tuple[int, int]:
@@ -122,12 +123,44 @@ def _scan(length: int, gram: int):
             sizes = [len(f[0]) for f in found]
             if sum(sizes):
                 ids = [np.repeat(np.array([tid[i] for _, tid in fresh], np.int64), sizes) for i in (0, 1)]
-                columns = [np.concatenate(c) for c in zip(*found, strict=True)]
-                yield pa.RecordBatch.from_arrays([pa.array(c) for c in (columns[0], *ids, *columns[1:])], names=[c.split()[0] for c in _ANCHORS.split(", ")])
+                hashes, pos, first, last = (np.concatenate(c) for c in zip(*found, strict=True))
+                place = (pos << 32) | ((pos - first) << 16) | (last - first)
+                yield pa.RecordBatch.from_arrays([pa.array(c) for c in (hashes, *ids, place)], names=[c.split()[0] for c in _ANCHORS.split(", ")])
 
     return run
 
 
+def _repeated_anchors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows sorted by all columns -> the distinct rows whose hash more than one of them has. The last row waits for the next."""
+    held, sent = None, False
+    names = [c.split()[0] for c in _ANCHORS.split(", ")]
+
+    def emit(rows: list[np.ndarray], chosen: np.ndarray) -> Iterator[pa.RecordBatch]:
+        if chosen.any():
+            yield pa.RecordBatch.from_arrays([pa.array(c[chosen]) for c in rows], names=names)
+
+    for batch in batches:
+        rows = [c.to_numpy() for c in batch.columns]
+        if not len(rows[0]):
+            continue
+        if held is not None:
+            rows = [np.concatenate(([h], c)) for h, c in zip(held, rows, strict=True)]
+        fresh = np.ones(len(rows[0]), bool)
+        fresh[1:] = np.any([c[1:] != c[:-1] for c in rows], axis=0)
+        rows = [c[fresh] for c in rows]
+        same = rows[0][1:] == rows[0][:-1]
+        common = np.append(same, False)
+        common[1:] |= same
+        send = common.copy()
+        if held is not None and sent:
+            send[0] = False
+        if len(send) == 1:
+            held = [c[-1] for c in rows]
+            continue
+        held, sent = [c[-1] for c in rows], bool(common[-1])
+        yield from emit(rows, send)
+
+
 class SuffixSorter:
     """Sorts suffixes of a buffer within buckets, up to `limit` bytes, by hash-compared common extensions."""
 
@@ -316,7 +349,7 @@ def _sorted_groups(length: int):
 
 
 def repeated_spans(docs: DataFrame, length: int = LENGTH) -> DataFrame:
-    """(doc_id, text) -> (doc_id, t1, t2, copies, spans): repeated bytes of each text that has any, or has copies.
+    """`length` is at most 65535. (doc_id, text) -> (doc_id, t1, t2, copies, spans): repeated bytes of each text that has any, or has copies.
 
     `spans` are start and stop offsets, sorted, possibly overlapping; (t1, t2) is the text's digest.
     """
@@ -334,15 +367,17 @@ def repeated_spans(docs: DataFrame, length: int = LENGTH) -> DataFrame:
     members = docs.select("doc_id", identify("text").alias("t")).select("doc_id", "t.*").where(F.col("n") >= length)
     classes = members.groupBy("t1", "t2").agg(F.min("doc_id").alias("rep"), F.count("*").alias("copies"))
 
-    found = docs.select("text").mapInArrow(_scan(length, gram), _ANCHORS).dropDuplicates(["hash", "t1", "t2", "pos", "first"])
-    common = found.groupBy("hash").agg(F.count("*").alias("c")).where("c > 1").select("hash")
-    held = found.join(common.hint("merge"), "hash").groupBy("t1", "t2").agg(F.collect_list(F.struct("hash", "pos", "first", "last")).alias("anchors"))
+    found = docs.select("text").mapInArrow(_scan(length, gram), _ANCHORS).repartition(parts, "hash").sortWithinPartitions("hash", "t1", "t2", "place")
+    common = found.mapInArrow(_repeated_anchors, _ANCHORS)
+    held = common.groupBy("t1", "t2").agg(F.collect_list(F.struct("hash", "place")).alias("anchors"))
     sources = held.join(classes.where("rep IS NOT NULL"), ["t1", "t2"]).select("rep", "t1", "t2", "anchors")
     texts = docs.select("doc_id", "text")
     cut = (
         sources.hint("merge").join(texts, F.col("rep") == F.col("doc_id"))
         .select("t1", "t2", F.coalesce("text", F.lit("")).cast("binary").alias("raw"), F.explode("anchors").alias("a"))
-        .select("a.hash", "t1", "t2", "a.pos", "a.first", "a.last", F.expr(f"substring(raw, int(a.first + 1), int(a.last - a.first + {length}))").alias("covered"))
+        .select("a.hash", "t1", "t2", "raw", F.shiftright("a.place", 32).alias("pos"), (F.shiftright("a.place", 16).bitwiseAND(65535)).alias("back"), F.col("a.place").bitwiseAND(65535).alias("more"))
+        .select("hash", "t1", "t2", "raw", "pos", (F.col("pos") - F.col("back")).alias("first"), (F.col("pos") - F.col("back") + F.col("more")).alias("last"))
+        .select("hash", "t1", "t2", "pos", "first", "last", F.expr(f"substring(raw, int(first + 1), int(last - first + {length}))").alias("covered"))
         .where(F.expr(f"length(covered) = last - first + {length}"))
     )
     spans = cut.repartition(parts, "hash").sortWithinPartitions("hash", "covered", "t1", "t2", "first").mapInArrow(_sorted_groups(length), _SPANS)
