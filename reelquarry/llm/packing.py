@@ -100,14 +100,17 @@ class WordTokenizer:
         self.words = regex.compile(split[0]["pattern"]["Regex"]) if self.by_word else None
         #: Letters whose lower case or class depends on the Unicode version or on context.
         self.rare = regex.compile("[^\x00-ɏ‐-‧‰-⁞₠-₿]|[İŉǰ]")
+        #: Separators that Python takes for white space.
+        self.odd = regex.compile("[\x1c-\x1f]")
         self.memo: dict[str, bytes] = {}
+        self.chunks: dict[str, bytes] = {}
 
     def encode_bytes(self, text: str) -> bytes:
         """Ids as little-endian unsigned 32-bit integers."""
-        if not self.by_word or (not text.isascii() and self.rare.search(text)):
+        if not self.by_word or self.odd.search(text) or (not text.isascii() and self.rare.search(text)):
             return np.array(self.library.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
-        # the letters that remain are composed already, so NFC changes nothing
-        memo, found = self.memo, self.words.findall(text.lower())
+        # the letters that remain are composed already, so NFC changes nothing; no word holds white space
+        memo, found = self.chunks, text.lower().split()
         try:
             return b"".join([memo[w] for w in found])
         except KeyError:
@@ -115,9 +118,18 @@ class WordTokenizer:
                 memo.clear()
             for w in found:
                 if w not in memo:
-                    memo[w] = np.array(self.library.encode(w, add_special_tokens=False).ids, "<u4").tobytes()
+                    memo[w] = self._chunk(w)
             return b"".join([memo[w] for w in found])
 
+    def _chunk(self, chunk: str) -> bytes:
+        words = self.words.findall(chunk)
+        if len(self.memo) > MEMO:
+            self.memo.clear()
+        for w in words:
+            if w not in self.memo:
+                self.memo[w] = np.array(self.library.encode(w, add_special_tokens=False).ids, "<u4").tobytes()
+        return b"".join([self.memo[w] for w in words])
+
 
 @lru_cache(maxsize=2)
 def tokenizer(path: str) -> WordTokenizer:
