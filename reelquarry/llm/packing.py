@@ -23,7 +23,7 @@ from reelquarry.llm.common import documents, prepare, slices
 
 WINDOW = 4096
 END_ID = 2
-MEMO = 200_000
+MEMO = 400_000
 _SCHEMA = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
 
 
@@ -87,7 +87,10 @@ class WordTokenizer:
 
     def __init__(self, path: str):
         import json
+        import os
 
+        # a task has one core
+        os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         from tokenizers import Tokenizer
 
         self.library = Tokenizer.from_file(path)
@@ -103,32 +106,26 @@ class WordTokenizer:
         #: Separators that Python takes for white space.
         self.odd = regex.compile("[\x1c-\x1f]")
         self.memo: dict[str, bytes] = {}
-        self.chunks: dict[str, bytes] = {}
+
+    def encode_many(self, texts: list[str]) -> list[bytes]:
+        """Ids of each text as little-endian unsigned 32-bit integers; words that are new go to the library in one batch."""
+        memo, found = self.memo, []
+        for text in texts:
+            if not self.by_word or self.odd.search(text) or (not text.isascii() and self.rare.search(text)):
+                found.append(None)
+            else:
+                # the letters that remain are composed already, so NFC changes nothing
+                found.append(self.words.findall(text.lower()))
+        if len(memo) > MEMO:
+            memo.clear()
+        new = list({w for words in found if words for w in words}.difference(memo))
+        for w, e in zip(new, self.library.encode_batch_fast(new, add_special_tokens=False) if new else (), strict=True):
+            memo[w] = np.array(e.ids, "<u4").tobytes()
+        whole = (np.array(self.library.encode(t, add_special_tokens=False).ids, "<u4").tobytes() if f is None else b"".join([memo[w] for w in f]) for t, f in zip(texts, found, strict=True))
+        return list(whole)
 
     def encode_bytes(self, text: str) -> bytes:
-        """Ids as little-endian unsigned 32-bit integers."""
-        if not self.by_word or self.odd.search(text) or (not text.isascii() and self.rare.search(text)):
-            return np.array(self.library.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
-        # the letters that remain are composed already, so NFC changes nothing; no word holds white space
-        memo, found = self.chunks, text.lower().split()
-        try:
-            return b"".join([memo[w] for w in found])
-        except KeyError:
-            if len(memo) > MEMO:
-                memo.clear()
-            for w in found:
-                if w not in memo:
-                    memo[w] = self._chunk(w)
-            return b"".join([memo[w] for w in found])
-
-    def _chunk(self, chunk: str) -> bytes:
-        words = self.words.findall(chunk)
-        if len(self.memo) > MEMO:
-            self.memo.clear()
-        for w in words:
-            if w not in self.memo:
-                self.memo[w] = np.array(self.library.encode(w, add_special_tokens=False).ids, "<u4").tobytes()
-        return b"".join([self.memo[w] for w in words])
+        return self.encode_many([text])[0]
 
 
 @lru_cache(maxsize=2)
@@ -146,11 +143,11 @@ def pack_documents(docs: DataFrame, path: str, window: int = WINDOW, end_id: int
     tail = np.array([end_id], "<u4").tobytes()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode = tokenizer(path).encode_bytes
+        encode = tokenizer(path).encode_many
         rows: list[tuple] = []
         for batch in slices(batches, 1, 2 << 20):
-            for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                raw = encode(text or "") + tail
+            for doc_id, raw in zip(batch.column(0).to_pylist(), encode([t or "" for t in batch.column(1).to_pylist()]), strict=True):
+                raw += tail
                 n = len(raw) // 4
                 for at in range(0, n, window):
                     piece = raw[4 * at : 4 * (at + window)]
