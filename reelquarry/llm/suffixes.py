@@ -4,7 +4,9 @@
    ties). Equal windows own equal anchors at equal distances, so repeats can only be found among
    windows whose anchors have the same hash. Anchors are about 2 / (length - k + 2) of the bytes.
 2. Anchors that occur once are dropped. The others send the text that their windows cover; records
-   with equal text are told apart no further, since each repeats the others.
+   with equal text are told apart no further, since each repeats the others. A hot anchor's windows
+   are first cut into short ranges of distance; all windows of a range share length - width + 1 bytes,
+   whose hash takes the place of the anchor's, so that different surroundings go to different tasks.
 3. A task sorts the window starts of its records as suffixes, within equal anchor and distance.
    Suffixes are compared by their common extension, which binary search finds on prefix polynomial
    hashes in logarithmic time; the sort is a bottom-up mergesort that merges all runs at once.
@@ -19,7 +21,7 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from reelquarry.llm.common import documents, prepare, shuffle_partitions, slices
@@ -29,6 +31,8 @@ LENGTH = 400
 GRAM_SHARE = 0.25
 #: Bytes of records that are sorted together.
 SORT_BYTES = 1 << 20
+#: Records of an anchor from which its windows are cut into ranges of an eighth of the length, and of a 64th.
+HOT, HOTTER = 1 << 12, 1 << 16
 #: Positions of one text that are handled together; longer texts are read in overlapping stretches.
 STRETCH = 1 << 20
 _BASE = 0x9E3779B97F4A7C15 | 1
@@ -348,7 +352,7 @@ def _sorted_groups(length: int):
     return run
 
 
-def repeated_spans(docs: DataFrame, length: int = LENGTH) -> DataFrame:
+def repeated_spans(docs: DataFrame, length: int = LENGTH, hot: int = HOT, hotter: int = HOTTER) -> DataFrame:
     """`length` is at most 65535. (doc_id, text) -> (doc_id, t1, t2, copies, spans): repeated bytes of each text that has any, or has copies.
 
     `spans` are start and stop offsets, sorted, possibly overlapping; (t1, t2) is the text's digest.
@@ -367,16 +371,26 @@ def repeated_spans(docs: DataFrame, length: int = LENGTH) -> DataFrame:
     members = docs.select("doc_id", identify("text").alias("t")).select("doc_id", "t.*").where(F.col("n") >= length)
     classes = members.groupBy("t1", "t2").agg(F.min("doc_id").alias("rep"), F.count("*").alias("copies"))
 
-    found = docs.select("text").mapInArrow(_scan(length, gram), _ANCHORS).repartition(parts, "hash").sortWithinPartitions("hash", "t1", "t2", "place")
+    found = docs.select("text").mapInArrow(_scan(length, gram), _ANCHORS).repartition(parts, "hash")
+    # the low bits of the hash tell how hot it is; equal anchors keep equal hashes, in the same order
+    heat = F.count(F.lit(1)).over(Window.partitionBy("hash").orderBy("t1", "t2", "place").rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing))
+    level = F.when(heat > hotter, 2).when(heat > hot, 1).otherwise(0)
+    found = found.withColumn("level", level).select(F.col("hash").bitwiseAND(F.lit(-4)).bitwiseOR(F.col("level").cast("long")).alias("hash"), "t1", "t2", "place")
     common = found.mapInArrow(_repeated_anchors, _ANCHORS)
     held = common.groupBy("t1", "t2").agg(F.collect_list(F.struct("hash", "place")).alias("anchors"))
     sources = held.join(classes.where("rep IS NOT NULL"), ["t1", "t2"]).select("rep", "t1", "t2", "anchors")
     texts = docs.select("doc_id", "text")
+    # windows start `near` to `far` bytes before their anchor; range r holds distances r * w to r * w + w - 1
+    ranges = (
+        "flatten(transform(transform(anchors, a -> named_struct('hash', a.hash, 'pos', shiftright(a.place, 32), 'far', shiftright(a.place, 16) & 65535L,"
+        f" 'near', (shiftright(a.place, 16) & 65535L) - (a.place & 65535L), 'w', case a.hash & 3L when 0 then 65536L when 1 then {max(1, length // 8)}L else {max(1, length // 64)}L end)),"
+        " b -> transform(sequence(b.near div b.w, b.far div b.w), r -> named_struct('hash', b.hash, 'pos', b.pos, 'far', b.far, 'near', b.near, 'w', b.w, 'r', r))))"
+    )
     cut = (
         sources.hint("merge").join(texts, F.col("rep") == F.col("doc_id"))
-        .select("t1", "t2", F.coalesce("text", F.lit("")).cast("binary").alias("raw"), F.explode("anchors").alias("a"))
-        .select("a.hash", "t1", "t2", "raw", F.shiftright("a.place", 32).alias("pos"), (F.shiftright("a.place", 16).bitwiseAND(65535)).alias("back"), F.col("a.place").bitwiseAND(65535).alias("more"))
-        .select("hash", "t1", "t2", "raw", "pos", (F.col("pos") - F.col("back")).alias("first"), (F.col("pos") - F.col("back") + F.col("more")).alias("last"))
+        .select("t1", "t2", F.coalesce("text", F.lit("")).cast("binary").alias("raw"), F.explode(F.expr(ranges)).alias("a"))
+        .select("a.hash", "t1", "t2", "raw", "a.pos", "a.r", "a.w", (F.col("a.pos") - F.least("a.far", F.expr("a.r * a.w + a.w - 1"))).alias("first"), (F.col("a.pos") - F.greatest("a.near", F.expr("a.r * a.w"))).alias("last"))
+        .withColumn("hash", F.expr(f"if(w > {length}, hash, xxhash64(hash, r, substring(raw, int(pos - r * w + 1), int({length} - w + 1))))"))
         .select("hash", "t1", "t2", "pos", "first", "last", F.expr(f"substring(raw, int(first + 1), int(last - first + {length}))").alias("covered"))
         .where(F.expr(f"length(covered) = last - first + {length}"))
     )
@@ -406,7 +420,7 @@ def _cut_spans(raw: bytes, copies: int, spans: list[dict] | None) -> tuple[bytes
     return b"".join(kept), removed, runs
 
 
-def remove_repeats(docs: DataFrame, length: int = LENGTH) -> DataFrame:
+def remove_repeats(docs: DataFrame, length: int = LENGTH, hot: int = HOT, hotter: int = HOTTER) -> DataFrame:
     """Appends `kept` (binary), `n_bytes`, `n_removed` and `n_spans` to documents; other columns pass unchanged.
 
     Every byte covered by a `length`-byte string that also starts elsewhere, in the same or another row,
@@ -415,7 +429,7 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH) -> DataFrame:
     stand for its text among others.
     """
     spark = docs.sparkSession
-    spans = repeated_spans(docs, length).select(F.col("doc_id").alias("_id"), F.col("t1").alias("_t1"), F.col("t2").alias("_t2"), F.col("copies").alias("_copies"), F.col("spans").alias("_spans")).dropDuplicates(["_id", "_t1", "_t2"])
+    spans = repeated_spans(docs, length, hot, hotter).select(F.col("doc_id").alias("_id"), F.col("t1").alias("_t1"), F.col("t2").alias("_t2"), F.col("copies").alias("_copies"), F.col("spans").alias("_spans")).dropDuplicates(["_id", "_t1", "_t2"])
     grouped = spans.groupBy("_id").agg(F.collect_list(F.struct("_t1", "_t2", "_copies", "_spans")).alias("_found"))
     joined = docs.join(grouped.hint("merge"), docs["doc_id"].eqNullSafe(grouped["_id"]), "left").drop("_id")
 

@@ -75,6 +75,34 @@ def test_repeats(docs, length):
     assert got == want
 
 
+@pytest.mark.parametrize("hot, hotter", [(1, 3), (0, 1 << 16), (0, 0)])
+def test_repeats_of_hot_anchors(spark, hot, hotter):
+    from reelquarry.llm.suffixes import remove_repeats
+
+    length, rng = 64, np.random.default_rng(5)
+
+    def words(n):
+        return "".join(rng.choice(list("abcdefgh "), n))
+
+    passages = [words(n) for n in (30, 60, 70, 150, 700)]
+    texts = [words(90) + passages[i % 5] + words(40) + passages[(i * 3) % 4] + words(int(rng.integers(0, 90))) for i in range(60)]
+    texts += [passages[4] + passages[4], "ab" * 200, "x" * 300, texts[0], texts[1][1:], None, "", "é" * 100 + passages[3]]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3)
+    raws = {i: (t or "").encode() for i, t in enumerate(texts)}
+    seen = {}
+    for raw in raws.values():
+        for i in range(len(raw) - length + 1):
+            seen[raw[i : i + length]] = seen.get(raw[i : i + length], 0) + 1
+    want = {}
+    for d, raw in raws.items():
+        gone = np.zeros(len(raw), bool)
+        for i in range(len(raw) - length + 1):
+            if seen[raw[i : i + length]] > 1:
+                gone[i : i + length] = True
+        want[d] = bytes(np.frombuffer(raw, np.uint8)[~gone])
+    assert {r.doc_id: bytes(r.kept) for r in remove_repeats(docs, length, hot, hotter).collect()} == want
+
+
 def test_empty_tables(spark, docs):
     from reelquarry.llm import fingerprints, jaccard, langid, suffixes, toxicity
 
