@@ -24,6 +24,8 @@ from reelquarry.llm.common import documents, prepare, slices
 WINDOW = 4096
 END_ID = 2
 MEMO = 400_000
+#: New words that the library encodes as one text.
+TOGETHER = 4096
 _SCHEMA = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
 
 
@@ -106,6 +108,10 @@ class WordTokenizer:
         #: Separators that Python takes for white space.
         self.odd = regex.compile("[\x1c-\x1f]")
         self.memo: dict[str, bytes] = {}
+        vocabulary, suffix = self.library.get_vocab(), spec["model"].get("end_of_word_suffix") or ""
+        self.by_word = self.by_word and bool(suffix)
+        self.closes = np.zeros(max(vocabulary.values(), default=0) + 1, bool)
+        self.closes[[i for w, i in vocabulary.items() if suffix and w.endswith(suffix)]] = True
 
     def encode_many(self, texts: list[str]) -> list[bytes]:
         """Ids of each text as little-endian unsigned 32-bit integers; words that are new go to the library in one batch."""
@@ -119,11 +125,24 @@ class WordTokenizer:
         if len(memo) > MEMO:
             memo.clear()
         new = list({w for words in found if words for w in words}.difference(memo))
-        for w, e in zip(new, self.library.encode_batch_fast(new, add_special_tokens=False) if new else (), strict=True):
-            memo[w] = np.array(e.ids, "<u4").tobytes()
+        for at in range(0, len(new), TOGETHER):
+            self._learn(new[at : at + TOGETHER])
         whole = (np.array(self.library.encode(t, add_special_tokens=False).ids, "<u4").tobytes() if f is None else b"".join([memo[w] for w in f]) for t, f in zip(texts, found, strict=True))
         return list(whole)
 
+    def _learn(self, words: list[str]) -> None:
+        """Encodes words as one text; a space between two splits them, and a word's last id alone has the end-of-word suffix."""
+        ids = np.array(self.library.encode(" ".join(words), add_special_tokens=False).ids, "<u4")
+        stops = np.flatnonzero(self.closes[ids]) + 1
+        if len(stops) == len(words) and stops[-1] == len(ids):
+            raw, a = ids.tobytes(), 0
+            for w, b in zip(words, (4 * stops).tolist(), strict=True):
+                self.memo[w] = raw[a:b]
+                a = b
+        else:
+            for w in words:
+                self.memo[w] = np.array(self.library.encode(w, add_special_tokens=False).ids, "<u4").tobytes()
+
     def encode_bytes(self, text: str) -> bytes:
         return self.encode_many([text])[0]
 
