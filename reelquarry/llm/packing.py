@@ -9,6 +9,7 @@ partition's number in their upper bits.
 
 from __future__ import annotations
 
+import re
 import zlib
 from collections.abc import Iterator
 from functools import lru_cache
@@ -80,6 +81,22 @@ def best_fit_decreasing(lengths: list[int], window: int = WINDOW) -> tuple[list[
     return where, offset
 
 
+#: Code points of the texts that the memo serves; case and class of their letters don't depend on context or the Unicode version.
+PLAIN = (0x0, 0x24F), (0x2010, 0x2027), (0x2030, 0x205E), (0x20A0, 0x20BF)
+
+
+def splitter(pattern: str):
+    """The splitter for texts of PLAIN letters in lower case: the standard engine, whose classes list those letters, is twice as fast."""
+    outside = re.sub(r"\[[^\]]*\]", "", pattern)
+    if "\\" in outside or set(re.findall(r"\\.\{?\w?\}?", pattern)) - {r"\p{L}", r"\p{N}", r"\s"}:
+        return regex.compile(pattern)
+    letters = sorted({x for a, b in PLAIN for c in range(a, b + 1) for x in chr(c) + chr(c).lower()})
+    for kind in (r"\p{L}", r"\p{N}", r"\s"):
+        known = regex.compile(kind)
+        pattern = pattern.replace(kind, "".join(re.escape(c) for c in letters if known.fullmatch(c)))
+    return re.compile(pattern)
+
+
 class WordTokenizer:
     """The ids of a `tokenizers` file without special tokens, by a memo over the words of its own splitter.
 
@@ -102,9 +119,9 @@ class WordTokenizer:
         kinds = [n["type"] for n in (spec.get("normalizer") or {}).get("normalizers", [])]
         split = [p for p in (spec.get("pre_tokenizer") or {}).get("pretokenizers", []) if p["type"] == "Split"]
         self.by_word = kinds == ["NFC", "Replace", "Lowercase"] and len(split) == 1 and split[0]["behavior"] == "Removed" and split[0]["invert"]
-        self.words = regex.compile(split[0]["pattern"]["Regex"]) if self.by_word else None
-        #: Letters whose lower case or class depends on the Unicode version or on context.
-        self.rare = regex.compile("[^\x00-ɏ‐-‧‰-⁞₠-₿]|[İŉǰ]")
+        self.words = splitter(split[0]["pattern"]["Regex"]) if self.by_word else None
+        # three of the plain letters have a lower case or composition of several letters
+        self.rare = re.compile("[^" + "".join(f"{chr(a)}-{chr(b)}" for a, b in PLAIN) + "]|[İŉǰ]")
         #: Separators that Python takes for white space.
         self.odd = regex.compile("[\x1c-\x1f]")
         self.memo: dict[str, bytes] = {}
