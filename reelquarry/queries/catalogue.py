@@ -208,6 +208,14 @@ def unseen_items(spark: SparkSession, sf_dir: str) -> DataFrame:
     return c.join(p, "k").drop("k").join(ratings(spark, sf_dir), ["user_id", "item_id"], "left_anti")
 
 
+@query("recommended_items", R + """, n AS (SELECT user_id, sqrt(sum(rating * rating)) AS norm FROM ratings GROUP BY 1), d AS (SELECT a.user_id AS user_a, b.user_id AS user_b, sum(a.rating * b.rating) AS dot FROM ratings a JOIN ratings b ON a.item_id = b.item_id AND a.user_id <> b.user_id GROUP BY 1, 2),
+s AS (SELECT user_a AS user_id, r.item_id, sum(dot / (x.norm * y.norm) * rating) AS score FROM d JOIN n x ON user_a = x.user_id JOIN n y ON user_b = y.user_id JOIN ratings r ON user_b = r.user_id GROUP BY 1, 2),
+c AS (SELECT n.user_id, i.item_id, round(coalesce(s.score, 0), 6) AS score FROM n CROSS JOIN (SELECT DISTINCT item_id FROM ratings) i LEFT JOIN s ON n.user_id = s.user_id AND i.item_id = s.item_id WHERE NOT EXISTS (SELECT 1 FROM ratings r WHERE r.user_id = n.user_id AND r.item_id = i.item_id))
+SELECT user_id, row_number() OVER (PARTITION BY user_id ORDER BY score DESC, item_id) AS rank, item_id, score FROM c QUALIFY rank <= 20""")
+def recommended_items(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return J.recommend_unseen(ratings(spark, sf_dir), 20)
+
+
 @query("dag_levels", """WITH RECURSIVE l AS (SELECT p_partkey AS node, CAST(floor(log2(greatest(p_partkey, 1))) AS BIGINT) AS level FROM part) SELECT node, level FROM l""")
 def dag_levels(spark: SparkSession, sf_dir: str) -> DataFrame:
     from reelquarry.operators.graph import topological_levels

@@ -78,3 +78,27 @@ def test_scalar_functions(spark):
     ).first()
     assert row.log0 is None and row.stem == "runn" and row.key == "http://x/a?a=1&b=2"
     assert row.tc == "01:00:02:11" and row.frames == 90_061 and row.cos0 == 0.0 and row.j0 == 0.0
+
+
+@pytest.mark.parametrize("cells", [1 << 23, 40])
+def test_recommendations_match_brute_force(spark, cells):
+    import random
+
+    rnd = random.Random(2)
+    rated = {u: {i: float(rnd.randint(1, 5)) for i in rnd.sample(range(100, 130), rnd.randint(1, 9))} for u in range(14)}
+    rated[50] = {500: 4.0}  # shares no item with anyone
+    every, want = sorted({i for r in rated.values() for i in r}), set()
+    for u, own in rated.items():
+        score = dict.fromkeys(set(every) - set(own), 0.0)
+        for v, other in rated.items():
+            if v != u and (dot := sum(own[i] * other[i] for i in own.keys() & other.keys())):
+                sim = dot / (sum(x * x for x in own.values()) * sum(x * x for x in other.values())) ** 0.5
+                for i in other.keys() & score.keys():
+                    score[i] += sim * other[i]
+        best = sorted(score, key=lambda i: (-round(score[i], 6), i))[:7]
+        want |= {(u, k + 1, i, round(score[i], 6)) for k, i in enumerate(best)}
+    df = spark.createDataFrame([(u, i, x) for u, r in rated.items() for i, x in r.items()], "user_id long, item_id long, rating double")
+    got = joins.recommend_unseen(df, 7, cells).collect()
+    assert {(r.user_id, r.rank, r.item_id, r.score) for r in got} == want and len(got) == len(want)
+    pairs = {(r.user_id % 100, r.item_id % 100) for r in got}
+    assert any(a != b for a, b in pairs)
