@@ -141,6 +141,25 @@ def vector_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     return d.orderBy("d", "vec_id").limit(20).select("vec_id", "cosine", F.round("d", 5).alias("euclid"), F.round(1 / (1 + F.col("d")), 5).alias("similarity"), "manhattan")
 
 
+@query("tag_similarity_all", """WITH p AS (SELECT p_partkey, string_split(p_type, ' ') AS t FROM part), m AS (SELECT q.p_partkey AS query_id, p.p_partkey, len(list_intersect(p.t, q.t)) AS i, len(list_distinct(list_concat(p.t, q.t))) AS u, len(list_distinct(p.t)) AS a, len(list_distinct(q.t)) AS b FROM p, p AS q WHERE q.p_partkey % 50 = 0)
+SELECT query_id, p_partkey, round(i / u, 6) AS jaccard, round(2 * i / (a + b), 6) AS dice, round(i / least(a, b), 6) AS overlap, round(i / sqrt(a * b), 6) AS cosine FROM m""")
+def tag_similarity_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every part whose key is divisible by 50 against all parts."""
+    p = load(spark, sf_dir, "part").select("p_partkey", F.split("p_type", " ").alias("t"))
+    q = p.where("p_partkey % 50 = 0").select(F.col("p_partkey").alias("query_id"), F.col("t").alias("q"))
+    a, b = F.col("t"), F.col("q")
+    return p.crossJoin(q).select("query_id", "p_partkey", F.round(X.jaccard(a, b), 6).alias("jaccard"), F.round(X.dice(a, b), 6).alias("dice"), F.round(X.overlap(a, b), 6).alias("overlap"), F.round(X.cosine_binary(a, b), 6).alias("cosine"))
+
+
+@query("vector_search_all", """WITH d AS (SELECT q.vec_id AS query_id, e.vec_id, CAST(e.embedding AS DOUBLE[]) AS a, CAST(q.embedding AS DOUBLE[]) AS b FROM embeddings e, embeddings q WHERE q.vec_id % 50 = 0), r AS (SELECT *, list_distance(a, b) AS d, row_number() OVER (PARTITION BY query_id ORDER BY list_distance(a, b), vec_id) AS n FROM d)
+SELECT query_id, vec_id, round(list_cosine_similarity(a, b), 5) AS cosine, round(d, 5) AS euclid, round(1 / (1 + d), 5) AS similarity, round(list_sum(list_transform(list_zip(a, b), lambda x: abs(x[1] - x[2]))), 5) AS manhattan FROM r WHERE n <= 20""")
+def vector_search_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The 20 nearest of all vectors to every vector whose id is divisible by 50."""
+    e = load(spark, sf_dir, "embeddings").select("vec_id", F.col("embedding").alias("a"))
+    q = e.where("vec_id % 50 = 0").select(F.col("vec_id").alias("query_id"), F.col("a").alias("b"))
+    return J.nearest(e, q, 20).select("query_id", "vec_id", F.round("cosine", 5).alias("cosine"), F.round("d", 5).alias("euclid"), F.round(1 / (1 + F.col("d")), 5).alias("similarity"), F.round("manhattan", 5).alias("manhattan"))
+
+
 @query("hamming_pairs", """WITH h AS (SELECT vec_id, list_transform(embedding, lambda x: CASE WHEN x > 0 THEN 1 ELSE 0 END) AS v FROM embeddings), p AS (SELECT a.vec_id AS a_id, b.vec_id AS b_id, CAST(list_sum(list_transform(list_zip(a.v, b.v), lambda x: abs(x[1] - x[2]))) AS INTEGER) AS distance FROM h a JOIN h b ON a.vec_id < b.vec_id) SELECT * FROM p WHERE distance <= 12""")
 def hamming_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return J.hamming_pairs(load(spark, sf_dir, "embeddings").select("vec_id", X.sign_bits(F.col("embedding")).alias("bits")), "vec_id", "bits", 12)

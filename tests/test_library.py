@@ -102,3 +102,28 @@ def test_recommendations_match_brute_force(spark, cells):
     assert {(r.user_id, r.rank, r.item_id, r.score) for r in got} == want and len(got) == len(want)
     pairs = {(r.user_id % 100, r.item_id % 100) for r in got}
     assert any(a != b for a, b in pairs)
+
+
+@pytest.mark.parametrize("rows", [1024, 9])
+def test_nearest_matches_brute_force(spark, rows):
+    import random
+
+    rnd = random.Random(6)
+    vectors = {i: [rnd.uniform(-1, 1) for _ in range(5)] for i in range(1, 121)} | {200: [0.0] * 5, 201: [1.0] * 4, 202: None}
+    vectors[70] = vectors[60]
+    df = spark.createDataFrame(list(vectors.items()), "vec_id long, a array<float>")
+    got = joins.nearest(df, df.where("vec_id % 50 = 0").withColumnsRenamed({"vec_id": "query_id", "a": "b"}), 6, rows).collect()
+    known = {r.vec_id: r.a for r in df.collect() if r.a is not None and len(r.a) == 5}
+    want = {q: sorted(known, key=lambda i: (sum((x - y) ** 2 for x, y in zip(known[i], known[q], strict=True)), i))[:6] for q in (50, 100, 200)}
+    assert {(r.query_id, r.vec_id) for r in got} == {(q, i) for q, ids in want.items() for i in ids} and len(got) == 18
+    assert all(abs(r.manhattan - sum(abs(x - y) for x, y in zip(known[r.vec_id], known[r.query_id], strict=True))) < 1e-9 for r in got)
+
+
+def test_searches_take_every_fiftieth_row(spark):
+    from reelquarry import registry
+
+    sf = "/root/testdata/sf0.001"
+    for name, table, key, each in (("vector_search_all", "embeddings", "vec_id", 20), ("tag_similarity_all", "part", "p_partkey", None)):
+        rows = spark.read.parquet(f"{sf}/{table}.parquet")
+        counts = {r.query_id: r["count"] for r in registry.queries()[name](spark, sf).groupBy("query_id").count().collect()}
+        assert counts == {r[0]: each or rows.count() for r in rows.where(f"{key} % 50 = 0").select(key).collect()}
