@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+from itertools import count
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-MAX_DEPTH = 200
+#: Steps after which the rows found so far are put into one frame, so that plans stay short.
+TOGETHER = 16
 
 
 class CycleError(ValueError):
@@ -13,8 +16,8 @@ class CycleError(ValueError):
 
 
 def _cut(df: DataFrame) -> DataFrame:
-    """A reliable checkpoint where the cluster names a folder for it; local runs go without."""
-    return df.checkpoint() if df.sparkSession.conf.get("spark.checkpoint.dir", None) else df.cache()
+    """A reliable checkpoint where the cluster names a folder for it; else one that the executors hold. Both cut the lineage."""
+    return df.checkpoint() if df.sparkSession.conf.get("spark.checkpoint.dir", None) else df.localCheckpoint()
 
 
 def topological_levels(nodes: DataFrame, edges: DataFrame) -> DataFrame:
@@ -24,16 +27,18 @@ def topological_levels(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     """
     left_nodes, left_edges = _cut(nodes.select("node").distinct()), _cut(edges.select("src", "dst").where("src IS NOT NULL AND dst IS NOT NULL").distinct())
     out = None
-    for level in range(MAX_DEPTH):
+    for level in count():
         ready = _cut(left_nodes.join(left_edges.select(F.col("dst").alias("node")).distinct(), "node", "left_anti"))
         if ready.isEmpty():
             break
         found = ready.select("node", F.lit(level).cast("long").alias("level"))
         out = found if out is None else out.union(found)
+        if level % TOGETHER == TOGETHER - 1:
+            out = _cut(out.repartition("node"))
         left_nodes = _cut(left_nodes.join(ready, "node", "left_anti"))
         left_edges = _cut(left_edges.join(ready.select(F.col("node").alias("src")), "src", "left_anti"))
     if not left_nodes.isEmpty():
-        raise CycleError("the graph has a cycle or is deeper than the limit")
+        raise CycleError("the graph has a cycle")
     return out if out is not None else left_nodes.select("node", F.lit(0).cast("long").alias("level"))
 
 
@@ -45,17 +50,22 @@ def has_cycle(nodes: DataFrame, edges: DataFrame) -> bool:
     return False
 
 
-def ancestors(seeds: DataFrame, edges: DataFrame, depth_limit: int = MAX_DEPTH) -> DataFrame:
-    """(node, ancestor, depth) from each seed against the edges, itself at depth 0; cycles end at repeats."""
+def ancestors(seeds: DataFrame, edges: DataFrame, depth_limit: int | None = None) -> DataFrame:
+    """(node, ancestor, depth) from each seed against the edges, itself at depth 0; cycles end at repeats.
+
+    Walks until nothing new is found, or for `depth_limit` steps if one is given.
+    """
     frontier = seeds.select("node", F.col("node").alias("ancestor"), F.lit(0).cast("long").alias("depth"))
     out = frontier
-    edges = edges.select(F.col("src").alias("_src"), F.col("dst").alias("_dst"))
-    for _ in range(depth_limit):
+    edges = _cut(edges.select(F.col("src").alias("_src"), F.col("dst").alias("_dst")))
+    for step_no in count() if depth_limit is None else range(depth_limit):
         step = frontier.join(edges, F.col("ancestor") == F.col("_dst")).select("node", F.col("_src").alias("ancestor"), (F.col("depth") + 1).alias("depth")).distinct()
         frontier = _cut(step.join(out.select("node", "ancestor"), ["node", "ancestor"], "left_anti").select("node", "ancestor", "depth"))
         if frontier.isEmpty():
             return out
         out = out.union(frontier)
+        if step_no % TOGETHER == TOGETHER - 1:
+            out = _cut(out.repartition("node", "ancestor"))
     return out
 
 

@@ -251,3 +251,13 @@ def ancestors(spark: SparkSession, sf_dir: str) -> DataFrame:
     n = load(spark, sf_dir, "part").select(F.col("p_partkey").alias("node"))
     edges = n.where("node > 1").select(F.floor(F.col("node") / 2).alias("src"), F.col("node").alias("dst"))
     return walk(n.where("node % 50 = 0"), edges)
+
+
+@query("ancestors_all", """WITH RECURSIVE a(node, ancestor, depth) AS (SELECT p_partkey, p_partkey, CAST(0 AS BIGINT) FROM part UNION ALL SELECT node, ancestor // 2, depth + 1 FROM a WHERE ancestor > 1) SELECT * FROM a""")
+def ancestors_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The ancestry of every node."""
+    from reelquarry.operators.graph import ancestors as walk
+
+    n = load(spark, sf_dir, "part").select(F.col("p_partkey").alias("node"))
+    edges = n.where("node > 1").select(F.floor(F.col("node") / 2).alias("src"), F.col("node").alias("dst"))
+    return walk(n, edges)

@@ -127,3 +127,26 @@ def test_searches_take_every_fiftieth_row(spark):
         rows = spark.read.parquet(f"{sf}/{table}.parquet")
         counts = {r.query_id: r["count"] for r in registry.queries()[name](spark, sf).groupBy("query_id").count().collect()}
         assert counts == {r[0]: each or rows.count() for r in rows.where(f"{key} % 50 = 0").select(key).collect()}
+
+
+def test_graphs_of_any_depth(spark, monkeypatch):
+    import inspect
+
+    # chains beyond 200 take minutes here: the former limit is lowered instead
+    monkeypatch.setattr(graph, "MAX_DEPTH", 3, raising=False)
+    assert inspect.signature(graph.ancestors).parameters["depth_limit"].default is None
+    monkeypatch.setattr(graph, "TOGETHER", 2, raising=False)
+    length = 6
+    nodes = spark.createDataFrame([(i,) for i in range(length)], "node long").coalesce(1)
+    chain = spark.createDataFrame([(i, i + 1) for i in range(length - 1)], "src long, dst long").coalesce(1)
+    got = graph.ancestors(nodes.where(f"node = {length - 1}"), chain).collect()
+    assert {(r.ancestor, r.depth) for r in got} == {(length - 1 - d, d) for d in range(length)} and len(got) == length
+    assert {r.node: r.level for r in graph.topological_levels(nodes, chain).collect()} == {i: i for i in range(length)}
+
+
+def test_every_part_has_its_ancestry(spark):
+    from reelquarry import registry
+
+    sf = "/root/testdata/sf0.001"
+    got = {r.node for r in registry.queries()["ancestors_all"](spark, sf).collect()}
+    assert got == {r[0] for r in spark.read.parquet(f"{sf}/part.parquet").select("p_partkey").collect()}
