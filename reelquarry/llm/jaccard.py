@@ -226,7 +226,7 @@ def _meetings(num: int, den: int):
     return run
 
 
-_CELL = "cell string, side int, doc_id long, tokens binary"
+_CELL = "cell string, side int, doc_id long, s1 long, s2 long, tokens binary"
 
 
 def _sets(width: int):
@@ -239,44 +239,48 @@ def _sets(width: int):
             for cells, doc_id, s1, s2, tokens in zip(*(batch.column(i).to_pylist() for i in range(4)), sets, strict=True):
                 if _digest(tokens) == (s1, s2):
                     raw = tokens.tobytes()
-                    rows += [(c["cell"], c["side"], doc_id, raw) for c in cells]
+                    rows += [(c["cell"], c["side"], doc_id, s1, s2, raw) for c in cells]
             if rows:
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), (pa.string(), pa.int32(), pa.int64(), pa.binary()), strict=True)], names=["cell", "side", "doc_id", "tokens"])
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), (pa.string(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.binary()), strict=True)], names=["cell", "side", "doc_id", "s1", "s2", "tokens"])
 
     return run
 
 
 def _cells(num: int, den: int):
-    """Rows sorted by cell -> (doc_id, least doc_id of its group within the cell) for linked documents."""
+    """Rows sorted by cell, side and class -> (s1 of a linked class, least s1 and least doc_id of its group within the cell)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        cell, ids, sides, sets = None, [], [], []
-        out: list[tuple[int, int]] = []
+        cell, ids, keys, sides, sets = None, [], [], [], []
+        out: list[tuple[int, int, int]] = []
+
+        def rows() -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array([o[i] for o in out], pa.int64()) for i in range(3)], names=["a", "b", "least"])
 
         def close() -> None:
-            if len(set(ids)) < 2:
+            if len(set(keys)) < 2:
                 return
             tag = sides if len(set(sides)) > 1 else None
             for group in SignatureTree(sets, num, den, tag).join():
                 if len(group) > 1:
-                    least = min(ids[i] for i in group)
-                    out.extend((ids[i], least) for i in group)
+                    node, least = min(keys[i][0] for i in group), min(ids[i] for i in group)
+                    out.extend((keys[i][0], node, least) for i in group)
 
         for batch in batches:
-            for c, side, doc_id, raw in zip(*(x.to_pylist() for x in batch.columns), strict=True):
+            for c, side, doc_id, s1, s2, raw in zip(*(x.to_pylist() for x in batch.columns), strict=True):
                 if c != cell:
                     close()
-                    cell, ids, sides, sets = c, [], [], []
-                if doc_id in ids[-1:] and side == sides[-1]:
+                    cell, ids, keys, sides, sets = c, [], [], [], []
+                if (s1, s2) in keys[-1:] and side == sides[-1]:
                     continue
                 ids.append(doc_id)
+                keys.append((s1, s2))
                 sides.append(side)
                 sets.append(np.frombuffer(raw, np.uint64))
             if len(out) > 50_000:
-                yield pa.RecordBatch.from_arrays([pa.array([o[0] for o in out], pa.int64()), pa.array([o[1] for o in out], pa.int64())], names=["a", "b"])
+                yield rows()
                 out.clear()
         close()
-        yield pa.RecordBatch.from_arrays([pa.array([o[0] for o in out], pa.int64()), pa.array([o[1] for o in out], pa.int64())], names=["a", "b"])
+        yield rows()
 
     return run
 
@@ -339,14 +343,16 @@ def near_duplicates(docs: DataFrame, width: int = 5, num: int = 80, den: int = 1
     placed = materialize(_assign_cells(members, num, den, limit), "cells")
     # the join is hinted so that it has one shape at every size
     sets = placed.select("cells", "doc_id", "s1", "s2").hint("merge").join(docs, "doc_id").select("cells", "doc_id", "s1", "s2", "text").mapInArrow(_sets(width), _CELL)
-    linked = sets.repartition(parts, "cell").sortWithinPartitions("cell", "side", "doc_id").mapInArrow(_cells(num, den), "a long, b long")
+    linked = sets.repartition(parts, "cell").sortWithinPartitions("cell", "side", "s1", "s2").mapInArrow(_cells(num, den), "a long, b long, least long")
     links = materialize(linked, "links")
     if placed.where("large").limit(1).count():
-        found = connected_components(links).select(F.col("node").alias("rep"), "component")
+        groups = connected_components(links.select("a", "b"))
+        least = groups.join(links.groupBy("a").agg(F.min("least").alias("least")), F.col("node") == F.col("a")).groupBy("component").agg(F.min("least").alias("least"))
+        found = groups.join(least, "component").select(F.col("node").alias("s1"), F.col("least").alias("component"))
     else:
         # every document lies in one cell, so its group there is its component
-        found = links.groupBy(F.col("a").alias("rep")).agg(F.min("b").alias("component"))
-    resolved = classes.join(found, "rep", "left").select("s1", "s2", F.coalesce("component", "rep").alias("component"))
+        found = links.groupBy(F.col("a").alias("s1")).agg(F.min("least").alias("component"))
+    resolved = classes.join(found, "s1", "left").select("s1", "s2", F.coalesce("component", "rep").alias("component"))
     return (
         rows.join(resolved, ["s1", "s2"], "left")
         .select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("doc_id").isNull(), None).when(F.col("n") > 0, F.coalesce("component", "doc_id")).otherwise(F.col("doc_id")).alias("component_id"))

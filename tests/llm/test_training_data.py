@@ -233,3 +233,15 @@ def test_language_and_toxicity(spark):
     label = {r.doc_id: r.toxic for r in spark.read.parquet(f"{sf}/labels.parquet").collect()}
     held = [r for r in op4_toxicity(spark, sf).collect() if r.held_out and r.doc_id in label]
     assert sum(label[r.doc_id] == r.predicted for r in held) >= 0.95 * len(held)
+
+
+@pytest.mark.parametrize("limit", [4_000_000, 40])
+def test_jaccard_of_different_texts_under_one_id(spark, limit):
+    from reelquarry.llm.jaccard import near_duplicates
+
+    # 1 holds two unlike texts, linked to each other through 5, and each with a partner of its own
+    w = [f"w{i}" for i in range(60)]
+    base, a, b = w[:40], w[:40] + w[40:44], w[4:40]
+    rows = [(1, " ".join(a)), (1, " ".join(b)), (5, " ".join(base)), (6, " ".join(a + w[44:48])), (7, " ".join(b[4:])), (8, "alone " * 3)]
+    got = near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"), 1, 85, 100, limit).collect()
+    assert sorted((r.doc_id, r.component_id) for r in got) == [(1, 1), (1, 1), (5, 1), (6, 1), (7, 1), (8, 8)]
