@@ -3,14 +3,18 @@
 1. Every window of `length` bytes is owned by one anchor: the k-gram of least hash in it (leftmost on
    ties). Equal windows own equal anchors at equal distances, so repeats can only be found among
    windows whose anchors have the same hash. Anchors are about 2 / (length - k + 2) of the bytes.
+   A first pass counts them in a table of fixed size, which tells hot anchors from others.
 2. Anchors that occur once are dropped. The others send the text that their windows cover; records
-   with equal text are told apart no further, since each repeats the others. A hot anchor's windows
-   are first cut into short ranges of distance; all windows of a range share length - width + 1 bytes,
-   whose hash takes the place of the anchor's, so that different surroundings go to different tasks.
+   with equal text are told apart no further, since each repeats the others. A hot anchor, which is
+   common without being compared, has its windows cut into short ranges of distance; all windows of a
+   range share length - width + 1 bytes, whose hash takes the place of the anchor's, so that different
+   surroundings go to different tasks. Equal records of hot anchors are joined before the shuffle: a
+   task sends one of them, and the repeated spans of all.
 3. A task sorts the window starts of its records as suffixes, within equal anchor and distance.
    Suffixes are compared by their common extension, which binary search finds on prefix polynomial
    hashes in logarithmic time; the sort is a bottom-up mergesort that merges all runs at once.
    Neighbours with a common extension of `length` are repeats; their bytes are compared to verify it.
+   A group beyond LARGE bytes goes by in parts, from each of which one record per distinct window stays.
 """
 
 from __future__ import annotations
@@ -21,18 +25,26 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from reelquarry.llm.common import documents, prepare, shuffle_partitions, slices
+from reelquarry.llm.common import documents, materialize, prepare, shuffle_partitions, slices
 
 LENGTH = 400
 #: Anchor k-grams are this share of the window.
 GRAM_SHARE = 0.25
 #: Bytes of records that are sorted together.
 SORT_BYTES = 1 << 20
-#: Records of an anchor from which its windows are cut into ranges of an eighth of the length, and of a 64th.
+#: Records of an anchor from which its windows are cut into ranges of an eighth of the length, and of a 64th;
+#: each at least so many times the mean of a slot of the count table.
 HOT, HOTTER = 1 << 12, 1 << 16
+HOT_MEANS, HOTTER_MEANS = 2, 32
+#: Slots of the count table (a power of two), and the parts in which it is summed. Its size doesn't depend on the data.
+SLOT_BITS, CHUNKS = 18, 16
+#: Bytes of one group's records that are held at once.
+LARGE = 16 << 20
+#: Records of hot anchors that a task remembers to join equal ones; then it starts anew.
+JOINED = 200_000
 #: Positions of one text that are handled together; longer texts are read in overlapping stretches.
 STRETCH = 1 << 20
 _BASE = 0x9E3779B97F4A7C15 | 1
@@ -110,17 +122,67 @@ def _text_id(text: bytes) -> tuple[int, int]:
     return int.from_bytes(d[:8], "little", signed=True), int.from_bytes(d[8:], "little", signed=True)
 
 
-def _scan(length: int, gram: int):
-    """Anchors of each distinct text of a task, and (hash null) one row for each document: its text's id."""
+_SKETCH = "kind int, key long, t1 long, t2 long, n long, chunk int, counts binary"
+
+
+def _fields(schema: str) -> list[str]:
+    return [c.split()[0] for c in schema.split(", ")]
+
+
+def _sketch(length: int, gram: int):
+    """(key, text) -> the digest and size of each text (kind 0) and the task's anchor counts by slot (kind 1)."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        counts, seen = np.zeros(1 << SLOT_BITS, np.int64), set()
+        for batch in slices(batches, 1, 1 << 20):
+            texts = [(t or "").encode() for t in batch.column(1).to_pylist()]
+            ids, fresh, m = [_text_id(t) for t in texts], [], len(texts)
+            for t, tid in zip(texts, ids, strict=True):
+                if len(t) >= length and tid not in seen:
+                    seen.add(tid)
+                    fresh.append(t)
+            for hashes, *_ in anchors(fresh, length, gram):
+                counts += np.bincount((hashes.view(np.uint64) >> np.uint64(64 - SLOT_BITS)).astype(np.int64), minlength=len(counts))
+            columns = [pa.array([0] * m, pa.int32()), batch.column(0), *(pa.array([i[k] for i in ids], pa.int64()) for k in (0, 1)), pa.array(list(map(len, texts)), pa.int64()), pa.nulls(m, pa.int32()), pa.nulls(m, pa.binary())]
+            yield pa.RecordBatch.from_arrays(columns, names=_fields(_SKETCH))
+        parts = np.minimum(counts, 0xFFFFFFFF).astype("<u4").reshape(CHUNKS, -1)
+        kept = [i for i in range(CHUNKS) if parts[i].any()]
+        m = len(kept)
+        columns = [pa.array([1] * m, pa.int32()), *(pa.nulls(m, pa.int64()) for _ in range(4)), pa.array(kept, pa.int32()), pa.array([parts[i].tobytes() for i in kept], pa.binary())]
+        yield pa.RecordBatch.from_arrays(columns, names=_fields(_SKETCH))
+
+    return run
+
+
+def _heat_levels(sketch: DataFrame, hot: int, hotter: int) -> np.ndarray:
+    """0, 1 or 2 for each slot; the counts are summed by the executors and come as a table of fixed size."""
+
+    def total(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sums: dict[int, np.ndarray] = {}
+        for batch in batches:
+            for chunk, raw in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                part = np.frombuffer(raw, "<u4").astype("<i8")
+                sums[chunk] = sums[chunk] + part if chunk in sums else part
+        yield pa.RecordBatch.from_arrays([pa.array(list(sums), pa.int32()), pa.array([v.tobytes() for v in sums.values()], pa.binary())], names=["chunk", "sums"])
+
+    rows = sketch.where("kind = 1").select("chunk", "counts").repartition(min(CHUNKS, shuffle_partitions(sketch.sparkSession)), "chunk").mapInArrow(total, "chunk int, sums binary").collect()
+    table = np.zeros((CHUNKS, (1 << SLOT_BITS) // CHUNKS), np.int64)
+    for r in rows:
+        table[r.chunk] += np.frombuffer(r.sums, "<i8")
+    mean = table.sum() / table.size
+    return ((table > max(hot, HOT_MEANS * mean)).astype(np.uint8) + (table > max(hotter, HOTTER_MEANS * mean, hot))).ravel()
+
+
+def _scan(length: int, gram: int, levels):
+    """Anchors of each distinct text of a task; the low bits of the hash tell how hot it is, so equal anchors keep equal hashes."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[tuple[int, int]] = set()
+        heat = levels.value.astype(np.int64)
         for batch in slices(batches, 0, 1 << 20):
-            texts = [(t or "").encode() for t in batch.column(0).to_pylist()]
             fresh = []
-            for t in texts:
-                tid = _text_id(t)
-                if len(t) >= length and tid not in seen:
+            for t in ((t or "").encode() for t in batch.column(0).to_pylist()):
+                if len(t) >= length and (tid := _text_id(t)) not in seen:
                     seen.add(tid)
                     fresh.append((t, tid))
             found = anchors([t for t, _ in fresh], length, gram)
@@ -128,16 +190,17 @@ def _scan(length: int, gram: int):
             if sum(sizes):
                 ids = [np.repeat(np.array([tid[i] for _, tid in fresh], np.int64), sizes) for i in (0, 1)]
                 hashes, pos, first, last = (np.concatenate(c) for c in zip(*found, strict=True))
+                level = heat[(hashes.view(np.uint64) >> np.uint64(64 - SLOT_BITS)).astype(np.int64)]
                 place = (pos << 32) | ((pos - first) << 16) | (last - first)
-                yield pa.RecordBatch.from_arrays([pa.array(c) for c in (hashes, *ids, place)], names=[c.split()[0] for c in _ANCHORS.split(", ")])
+                yield pa.RecordBatch.from_arrays([pa.array(c) for c in ((hashes & -4) | level, *ids, place)], names=_fields(_ANCHORS))
 
     return run
 
 
 def _repeated_anchors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows sorted by all columns -> the distinct rows whose hash more than one of them has. The last row waits for the next."""
+    """Rows sorted by all columns -> the distinct rows whose hash is hot or more than one of them has. The last row waits for the next."""
     held, sent = None, False
-    names = [c.split()[0] for c in _ANCHORS.split(", ")]
+    names = _fields(_ANCHORS)
 
     def emit(rows: list[np.ndarray], chosen: np.ndarray) -> Iterator[pa.RecordBatch]:
         if chosen.any():
@@ -153,12 +216,12 @@ def _repeated_anchors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBa
         fresh[1:] = np.any([c[1:] != c[:-1] for c in rows], axis=0)
         rows = [c[fresh] for c in rows]
         same = rows[0][1:] == rows[0][:-1]
-        common = np.append(same, False)
+        common = np.append(same, False) | (rows[0] & 3 > 0)
         common[1:] |= same
         send = common.copy()
         if held is not None and sent:
             send[0] = False
-        if len(send) == 1:
+        if len(send) == 1 and not common[0]:
             held = [c[-1] for c in rows]
             continue
         held, sent = [c[-1] for c in rows], bool(common[-1])
@@ -316,26 +379,106 @@ def _verified(buf: np.ndarray, a: np.ndarray, b: np.ndarray, left: np.ndarray, r
     return out
 
 
+_RECORDS = "hash long, t1 long, t2 long, pos long, first long, last long, covered binary"
+
+
+def _cut(length: int):
+    """(t1, t2, text, anchors) -> records; a row whose text isn't the one of that digest gives none.
+
+    A record without `covered` stands for bytes that are known to be repeated.
+    """
+    widths = {1: max(1, length // 8), 2: max(1, length // 64)}
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        joined: dict[bytes, tuple | None] = {}
+        out: list[tuple] = []
+
+        def rows() -> pa.RecordBatch:
+            types = [pa.int64()] * 6 + [pa.binary()]
+            return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), types, strict=True)], names=_fields(_RECORDS))
+
+        for batch in slices(batches, 2, 1 << 20):
+            for t1, t2, text, held in zip(*(batch.column(i).to_pylist() for i in range(4)), strict=True):
+                raw = (text or "").encode()
+                if _text_id(raw) != (t1, t2):
+                    continue
+                for anchor in held:
+                    h, place = anchor["hash"], anchor["place"]
+                    pos, far = place >> 32, place >> 16 & 65535
+                    near = far - (place & 65535)
+                    if not h & 3:
+                        out.append((h, t1, t2, pos, pos - far, pos - near, raw[pos - far : pos - near + length]))
+                        continue
+                    w = widths[h & 3]
+                    for r in range(near // w, far // w + 1):
+                        first, last = pos - min(far, r * w + w - 1), pos - max(near, r * w)
+                        # all windows of the range have these bytes
+                        core = raw[pos - r * w : pos - r * w + length - w + 1]
+                        key = hashlib.blake2b(core, digest_size=8, key=(h & (1 << 64) - 1).to_bytes(8, "little") + r.to_bytes(4, "little")).digest()
+                        covered = raw[first : last + length]
+                        whole = key + (pos - first).to_bytes(4, "little") + hashlib.blake2b(covered, digest_size=16).digest()
+                        if whole in joined:
+                            if (known := joined[whole]) is not None:
+                                out.append(known)
+                                joined[whole] = None
+                            out.append((t1, t1, t2, 0, first, last, None))
+                            continue
+                        if len(joined) >= JOINED:
+                            joined.clear()
+                        joined[whole] = (t1, t1, t2, 0, first, last, None)
+                        out.append((int.from_bytes(key, "little", signed=True), t1, t2, pos, first, last, covered))
+                if len(out) > 4000:
+                    yield rows()
+                    out.clear()
+        if out:
+            yield rows()
+
+    return run
+
+
 _SPANS = "t1 long, t2 long, start long, stop long"
 
 
-def _sorted_groups(length: int):
-    """Rows sorted by (hash, text) -> repeated spans. Groups are never split; small ones are sorted together."""
+def _one_each(records: list[tuple], length: int) -> list[tuple]:
+    """Records of one group, fewer of them, that still hold every distinct window and distance of all."""
+    sizes = np.array([len(r[6]) for r in records], np.int64)
+    base = np.concatenate(([0], sizes.cumsum()[:-1]))
+    count = np.array([r[4] - r[3] + 1 for r in records], np.int64)
+    owner = np.repeat(np.arange(len(records)), count)
+    step = np.arange(int(count.sum())) - np.repeat(np.concatenate(([0], count.cumsum()[:-1])), count)
+    whole = PrefixHashes(np.frombuffer(b"".join(r[6] for r in records), np.uint8)).of(base[owner] + step, length)
+    distance = np.array([r[5] - r[3] for r in records], np.int64)[owner] - step
+    first = np.unique(np.stack([whole.view(np.int64), distance]), axis=1, return_index=True)[1]
+    return [records[i] for i in np.unique(owner[first]).tolist()]
+
+
+def _sorted_groups(length: int, large: int):
+    """Records sorted by (hash, text) -> repeated spans. Small groups are sorted together; one above `large` bytes in parts."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def emit(rows: list[tuple]) -> Iterator[pa.RecordBatch]:
             if rows:
-                yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*rows, strict=True)], names=[c.split()[0] for c in _SPANS.split(", ")])
+                yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*rows, strict=True)], names=_fields(_SPANS))
 
         held: list[tuple] = []
-        size, known, group = 0, [], None
+        size, own, bound, known, group = 0, 0, large, [], None
         for batch in batches:
-            for row in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                h, t1, t2, pos, first, last, text = row
-                if h != group and size >= SORT_BYTES:
+            for h, t1, t2, pos, first, last, text in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                if text is None:
+                    known.append((t1, t2, first, last + length))
+                    continue
+                if h != group:
+                    if size >= SORT_BYTES:
+                        yield from emit(known + _repeats(held, length))
+                        held, size, known = [], 0, []
+                    group, own, bound = h, 0, large
+                elif own > bound:
+                    others = [r for r in held if r[0] != h]
                     yield from emit(known + _repeats(held, length))
-                    held, size, known = [], 0, []
-                group = h
+                    held, known = _one_each(held[len(others) :], length), []
+                    size = own = sum(len(r[6]) for r in held)
+                    # what stays may not shrink: the next part is as large as it
+                    bound = max(large, 2 * own)
                 if held and held[-1][0] == h and held[-1][6] == text and held[-1][5] - held[-1][3] == pos - first:
                     # the same text around the same anchor: all windows of both repeat
                     p = held[-1]
@@ -344,6 +487,7 @@ def _sorted_groups(length: int):
                     continue
                 held.append((h, t1, t2, first, last, pos, text))
                 size += len(text)
+                own += len(text)
             if len(known) > 50_000:
                 yield from emit(known)
                 known = []
@@ -352,8 +496,13 @@ def _sorted_groups(length: int):
     return run
 
 
-def repeated_spans(docs: DataFrame, length: int = LENGTH, hot: int = HOT, hotter: int = HOTTER) -> DataFrame:
-    """`length` is at most 65535. (doc_id, text) -> (doc_id, t1, t2, copies, spans): repeated bytes of each text that has any, or has copies.
+def _key(docs: DataFrame) -> F.Column:
+    """A number that finds a row again: of its id, or of its text where the id is null. Texts found by it are checked by digest."""
+    return F.when(docs["doc_id"].isNotNull(), F.xxhash64(docs["doc_id"])).otherwise(F.xxhash64(docs["text"]))
+
+
+def repeated_spans(docs: DataFrame, length: int = LENGTH, hot: int = HOT, hotter: int = HOTTER, large: int = LARGE) -> DataFrame:
+    """`length` is at most 65535. (key, text) -> (key, t1, t2, copies, spans): repeated bytes of each text that has any, or has copies.
 
     `spans` are start and stop offsets, sorted, possibly overlapping; (t1, t2) is the text's digest.
     """
@@ -361,49 +510,29 @@ def repeated_spans(docs: DataFrame, length: int = LENGTH, hot: int = HOT, hotter
     prepare(spark)
     gram = max(4, int(length * GRAM_SHARE))
     parts = shuffle_partitions(spark)
-
-    @F.pandas_udf("struct<t1:long,t2:long,n:long>")
-    def identify(texts: pd.Series) -> pd.DataFrame:
-        raw = [(t or "").encode() for t in texts]
-        ids = [_text_id(r) for r in raw]
-        return pd.DataFrame({"t1": [i[0] for i in ids], "t2": [i[1] for i in ids], "n": [len(r) for r in raw]}, dtype="int64")
-
-    members = docs.select("doc_id", identify("text").alias("t")).select("doc_id", "t.*").where(F.col("n") >= length)
-    classes = members.groupBy("t1", "t2").agg(F.min("doc_id").alias("rep"), F.count("*").alias("copies"))
-
-    found = docs.select("text").mapInArrow(_scan(length, gram), _ANCHORS).repartition(parts, "hash")
-    # the low bits of the hash tell how hot it is; equal anchors keep equal hashes, in the same order
-    heat = F.count(F.lit(1)).over(Window.partitionBy("hash").orderBy("t1", "t2", "place").rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing))
-    level = F.when(heat > hotter, 2).when(heat > hot, 1).otherwise(0)
-    found = found.withColumn("level", level).select(F.col("hash").bitwiseAND(F.lit(-4)).bitwiseOR(F.col("level").cast("long")).alias("hash"), "t1", "t2", "place")
-    common = found.mapInArrow(_repeated_anchors, _ANCHORS)
+    sketch = materialize(docs.select("key", "text").mapInArrow(_sketch(length, gram), _SKETCH), "digests", "kind")
+    levels = spark.sparkContext.broadcast(_heat_levels(sketch, hot, hotter))
+    members = sketch.where(f"kind = 0 AND n >= {length}").select("key", "t1", "t2")
+    classes = members.groupBy("t1", "t2").agg(F.min("key").alias("rep"), F.count("*").alias("copies"))
+
+    # a hot anchor's records need not meet: they are dealt by their texts
+    found = docs.select("text").mapInArrow(_scan(length, gram, levels), _ANCHORS)
+    dealt = found.repartition(parts, "hash", F.when(F.col("hash").bitwiseAND(3) > 0, F.col("t1")).otherwise(0))
+    common = dealt.sortWithinPartitions("hash", "t1", "t2", "place").mapInArrow(_repeated_anchors, _ANCHORS)
     held = common.groupBy("t1", "t2").agg(F.collect_list(F.struct("hash", "place")).alias("anchors"))
-    sources = held.join(classes.where("rep IS NOT NULL"), ["t1", "t2"]).select("rep", "t1", "t2", "anchors")
-    texts = docs.select("doc_id", "text")
-    # windows start `near` to `far` bytes before their anchor; range r holds distances r * w to r * w + w - 1
-    ranges = (
-        "flatten(transform(transform(anchors, a -> named_struct('hash', a.hash, 'pos', shiftright(a.place, 32), 'far', shiftright(a.place, 16) & 65535L,"
-        f" 'near', (shiftright(a.place, 16) & 65535L) - (a.place & 65535L), 'w', case a.hash & 3L when 0 then 65536L when 1 then {max(1, length // 8)}L else {max(1, length // 64)}L end)),"
-        " b -> transform(sequence(b.near div b.w, b.far div b.w), r -> named_struct('hash', b.hash, 'pos', b.pos, 'far', b.far, 'near', b.near, 'w', b.w, 'r', r))))"
-    )
-    cut = (
-        sources.hint("merge").join(texts, F.col("rep") == F.col("doc_id"))
-        .select("t1", "t2", F.coalesce("text", F.lit("")).cast("binary").alias("raw"), F.explode(F.expr(ranges)).alias("a"))
-        .select("a.hash", "t1", "t2", "raw", "a.pos", "a.r", "a.w", (F.col("a.pos") - F.least("a.far", F.expr("a.r * a.w + a.w - 1"))).alias("first"), (F.col("a.pos") - F.greatest("a.near", F.expr("a.r * a.w"))).alias("last"))
-        .withColumn("hash", F.expr(f"if(w > {length}, hash, xxhash64(hash, r, substring(raw, int(pos - r * w + 1), int({length} - w + 1))))"))
-        .select("hash", "t1", "t2", "pos", "first", "last", F.expr(f"substring(raw, int(first + 1), int(last - first + {length}))").alias("covered"))
-        .where(F.expr(f"length(covered) = last - first + {length}"))
-    )
-    spans = cut.repartition(parts, "hash").sortWithinPartitions("hash", "covered", "t1", "t2", "first").mapInArrow(_sorted_groups(length), _SPANS)
+    sources = held.join(classes, ["t1", "t2"]).select("rep", "t1", "t2", "anchors")
+    texts = docs.select("key", "text")
+    cut = sources.hint("merge").join(texts, F.col("rep") == F.col("key")).select("t1", "t2", "text", "anchors").mapInArrow(_cut(length), _RECORDS)
+    spans = cut.repartition(parts, "hash").sortWithinPartitions("hash", "covered", "t1", "t2", "first").mapInArrow(_sorted_groups(length, large), _SPANS)
     merged = spans.groupBy("t1", "t2").agg(F.sort_array(F.collect_set(F.struct("start", "stop"))).alias("spans"))
     whole = classes.join(merged, ["t1", "t2"], "left").where("copies > 1 OR spans IS NOT NULL").select("t1", "t2", "copies", "spans")
-    return members.select("doc_id", "t1", "t2").join(whole, ["t1", "t2"])
+    return members.select("key", "t1", "t2").join(whole, ["t1", "t2"])
 
 
-def _cut_spans(raw: bytes, copies: int, spans: list[dict] | None) -> tuple[bytes, int, int]:
-    """(kept bytes, removed bytes, maximal removed runs)."""
+def _cut_spans(raw: bytes, copies: int, spans: list[dict] | None) -> tuple[list[bytes], int, int]:
+    """(kept pieces, removed bytes, maximal removed runs)."""
     if copies > 1:
-        return b"", len(raw), 1
+        return [], len(raw), 1
     kept, at, runs, removed = [], 0, 0, 0
     stop = -1
     for s in spans if spans is not None else ():
@@ -417,23 +546,27 @@ def _cut_spans(raw: bytes, copies: int, spans: list[dict] | None) -> tuple[bytes
         stop = max(stop, b)
         at = stop
     kept.append(raw[at:])
-    return b"".join(kept), removed, runs
+    return kept, removed, runs
+
 
+_RESULT = "kept binary, kept_text string, n_bytes long, n_removed long, n_spans long"
 
-def remove_repeats(docs: DataFrame, length: int = LENGTH, hot: int = HOT, hotter: int = HOTTER) -> DataFrame:
-    """Appends `kept` (binary), `n_bytes`, `n_removed` and `n_spans` to documents; other columns pass unchanged.
+
+def remove_repeats(docs: DataFrame, length: int = LENGTH, hot: int = HOT, hotter: int = HOTTER, large: int = LARGE) -> DataFrame:
+    """Appends `kept` (binary), `kept_text`, `n_bytes`, `n_removed` and `n_spans` to documents; other columns pass unchanged.
 
     Every byte covered by a `length`-byte string that also starts elsewhere, in the same or another row,
-    is removed; strings are judged on the input. Null text counts as empty. Rows with equal text count
-    as copies of each other, whatever their ids; a null id takes part like any other id but can't
-    stand for its text among others.
+    is removed; strings are judged on the input. `kept_text` is `kept` without what is left of characters
+    that were cut. Null text counts as empty; its kept_text is empty too. Rows with equal text count as
+    copies of each other, whatever their ids, null ids included. Input columns with a result's name are replaced.
     """
-    spark = docs.sparkSession
-    spans = repeated_spans(docs, length, hot, hotter).select(F.col("doc_id").alias("_id"), F.col("t1").alias("_t1"), F.col("t2").alias("_t2"), F.col("copies").alias("_copies"), F.col("spans").alias("_spans")).dropDuplicates(["_id", "_t1", "_t2"])
-    grouped = spans.groupBy("_id").agg(F.collect_list(F.struct("_t1", "_t2", "_copies", "_spans")).alias("_found"))
-    joined = docs.join(grouped.hint("merge"), docs["doc_id"].eqNullSafe(grouped["_id"]), "left").drop("_id")
+    row = [F.col(c) for c in docs.columns if c not in _fields(_RESULT)]
+    docs = docs.select(_key(docs).alias("key"), F.col("text"), F.struct(*row).alias("row"))
+    spans = repeated_spans(docs.select("key", "text"), length, hot, hotter, large).dropDuplicates(["key", "t1", "t2"])
+    grouped = spans.groupBy("key").agg(F.collect_list(F.struct("t1", "t2", "copies", "spans")).alias("found"))
+    joined = docs.join(grouped.hint("merge"), "key", "left")
 
-    @F.pandas_udf("struct<kept:binary,n_bytes:long,n_removed:long,n_spans:long>")
+    @F.pandas_udf(_RESULT)
     def apply(texts: pd.Series, found: pd.Series) -> pd.DataFrame:
         rows = []
         for text, options in zip(texts, found, strict=True):
@@ -441,15 +574,15 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, hot: int = HOT, hotter
             own = None
             if options is not None and len(options):
                 tid = _text_id(raw)
-                own = next((o for o in options if (o["_t1"], o["_t2"]) == tid), None)
-            kept, removed, runs = _cut_spans(raw, own["_copies"], own["_spans"]) if own else (raw, 0, 0)
-            rows.append((kept, len(raw), removed, runs))
-        return pd.DataFrame(rows, columns=["kept", "n_bytes", "n_removed", "n_spans"])
+                own = next((o for o in options if (o["t1"], o["t2"]) == tid), None)
+            kept, removed, runs = _cut_spans(raw, own["copies"], own["spans"]) if own else ([raw], 0, 0)
+            rows.append((b"".join(kept), "".join([k.decode(errors="ignore") for k in kept]), len(raw), removed, runs))
+        return pd.DataFrame(rows, columns=_fields(_RESULT))
 
-    return joined.withColumn("_cut", apply("text", "_found")).select(*[F.col(c) for c in docs.columns], "_cut.*")
+    return joined.withColumn("cut", apply("text", "found")).select("row.*", "cut.*")
 
 
 def op10_suffixes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Every document without the bytes of repeated 400-byte strings, as digests."""
+    """Every document without the bytes of repeated 400-byte strings, as digests and as text."""
     docs = documents(spark, sf_dir).select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    return remove_repeats(docs).select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
+    return remove_repeats(docs).select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"), F.col("kept_text").alias("text"))
