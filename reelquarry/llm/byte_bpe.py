@@ -1,13 +1,14 @@
 """Byte-level BPE encoding and decoding by overlapping chunks.
 
-A long text is cut into chunks that overlap; the chunks are pre-tokenised independently (and, within
-a task, in parallel: the pattern library frees the interpreter lock while it matches). A chunk other
-than the first may begin inside a pre-token, so its first boundaries can be wrong; from the first
-boundary that it has in common with the chunk before, both agree, because the pattern's next match
-depends only on the text from there on. The chunks are stitched at that boundary. Where an overlap
-holds no common boundary, as in a very long run of letters, the earlier chunk is read on until there
-is one. The pieces are then encoded by rank merges, each pre-token separately, and decoding
-concatenates the tokens' bytes.
+A long text is cut into chunks that overlap; each chunk is pre-tokenised whole and independently, in
+parallel within a task (the pattern library frees the interpreter lock while it matches), and its
+pre-tokens are kept. A chunk other than the first may begin inside a pre-token, so its first
+boundaries can be wrong; from the first boundary that it has in common with the chunk before, both
+agree, because the pattern's next match depends only on the text from there on. There the lists of
+pre-tokens are stitched: what the later chunk has before that point is dropped. Where an overlap holds
+no common boundary, as in a very long run of letters, the earlier chunk is read on until there is one.
+The stitched pre-tokens are then encoded by rank merges, each separately, and decoding concatenates
+the tokens' bytes.
 """
 
 from __future__ import annotations
@@ -17,6 +18,7 @@ import hashlib
 from collections.abc import Iterator
 from concurrent.futures import ThreadPoolExecutor
 from functools import lru_cache
+from itertools import accumulate, chain
 
 import numpy as np
 import pyarrow as pa
@@ -25,7 +27,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from reelquarry.llm.common import documents, prepare, slices
 
-CHUNK = 1 << 16
+CHUNK = 1 << 13
 OVERLAP = 1 << 9
 #: Characters by which a chunk's own last matches may lack right context.
 MARGIN = 64
@@ -91,54 +93,72 @@ class ByteBPE:
             i = right[i]
         return out
 
-    def boundaries(self, text: str, start: int, end: int) -> list[int]:
-        """Ends of the pre-tokens that begin at `start` and on, up to `end`; the text stands in full context."""
-        return [m.end() for m in self.pattern.finditer(text, start, end, concurrent=True)]
+    def _read(self, text: str, start: int, end: int) -> tuple[list[str], list[int]]:
+        """Pre-tokens from `start` that can't change with what follows `end`, and where each of them ends.
 
-    def cuts(self, text: str, pool: ThreadPoolExecutor | None = None) -> list[int]:
-        """Stitch points that cut `text` into pieces at true pre-token boundaries, 0 and the end included."""
+        The last ones are left out if they reach into the margin or end behind white space: the pattern
+        looks ahead there, so a piece that ended at one would be split otherwise without the text that follows.
+        """
+        stop = min(len(text), end + MARGIN)
+        found = self.pattern.findall(text, start, stop, concurrent=True)
+        ends = list(accumulate(map(len, found), initial=start))[1:]
+        if (ends[-1] if ends else start) != stop:
+            raise ValueError("the pattern leaves characters out")
+        if stop < len(text):
+            keep = len(ends)
+            while keep and (ends[keep - 1] > end or text[ends[keep - 1] - 1].isspace()):
+                keep -= 1
+            del found[keep:], ends[keep:]
+        return found, ends
+
+    def pretokens(self, text: str, pool: ThreadPoolExecutor | None = None) -> list[str]:
+        """The pattern's matches over the whole text, from chunks that were read on their own."""
         if len(text) <= self.chunk + self.overlap:
-            return [0, len(text)]
+            return self.pattern.findall(text)
         starts = list(range(0, len(text), self.chunk))
-        if len(text) - starts[-1] <= self.overlap + MARGIN and len(starts) > 1:
+        if len(text) - starts[-1] <= self.overlap + MARGIN:
             starts.pop()
 
-        def head(at: int) -> list[int]:
-            return self._settled(text, at, at + self.overlap)
-
-        heads = list(pool.map(head, starts[1:]) if pool else map(head, starts[1:]))
-        points = [0]
-        for at, own in zip(starts[1:], heads, strict=True):
-            # the chunk before, read from its true start through the overlap
-            before = self._from(text, points[-1], at, at + self.overlap)
-            common = sorted(set(before) & set(own))
-            reach = self.overlap
-            while not common and at + reach < len(text):
+        def chunk(at: int) -> tuple[list[str], list[int]]:
+            last = at == starts[-1]
+            return self._read(text, at, len(text) if last else at + self.chunk + self.overlap)
+
+        chunks = pool.map(chunk, starts) if pool else map(chunk, starts)
+        pieces: list[list[str]] = []
+        tokens, ends = next(chunks)
+        origin = 0
+        for at, (later, their) in zip(starts[1:], chunks, strict=True):
+            common, reach = self._common(text, ends, their, at), self.overlap
+            while common is None and their and (ends[-1] if ends else origin) < their[-1]:
+                # no boundary in common yet: the true reading goes on
                 reach *= 2
-                common = sorted(set(self._from(text, points[-1], at, at + reach)) & set(self._settled(text, at, at + reach)))
-            if common and common[0] > points[-1]:
-                points.append(common[0])
-        return points if points[-1] == len(text) else [*points, len(text)]
-
-    def _settled(self, text: str, start: int, end: int) -> list[int]:
-        """Boundaries of matches from `start` that can't change with what follows `end`.
-
-        Those behind white space are left out: the pattern looks ahead there, so a piece that ended
-        at one would be split otherwise without the text that follows.
-        """
-        stop = min(len(text), end + MARGIN)
-        return [b for b in self.boundaries(text, start, stop) if (b <= end or stop == len(text)) and not text[b - 1].isspace()]
-
-    def _from(self, text: str, true_start: int, low: int, end: int) -> list[int]:
-        return [b for b in self._settled(text, true_start, end) if b >= low]
+                more, further = self._read(text, ends[-1] if ends else origin, min(len(text), at + reach))
+                tokens, ends = tokens + more, ends + further
+                common = self._common(text, ends, their, at)
+            if common is None:
+                # the true reading has gone past this chunk
+                continue
+            own, other = common
+            pieces.append(tokens[: own + 1])
+            tokens, ends, origin = later[other + 1 :], their[other + 1 :], their[other]
+        last = ends[-1] if ends else origin
+        if last < len(text):
+            tokens = tokens + self._read(text, last, len(text))[0]
+        pieces.append(tokens)
+        return list(chain.from_iterable(pieces))
+
+    @staticmethod
+    def _common(text: str, ends: list[int], their: list[int], at: int) -> tuple[int, int] | None:
+        """Where two readings have their first boundary behind `at` in common that does not end in white space."""
+        own = {e: i for i, e in enumerate(ends) if e >= at}
+        for j, e in enumerate(their):
+            if e in own and not text[e - 1].isspace():
+                return own[e], j
+        return None
 
     def encode_bytes(self, text: str, pool: ThreadPoolExecutor | None = None) -> bytes:
         """Ids as little-endian unsigned 32-bit integers."""
-        points = self.cuts(text, pool)
-        return b"".join(self._piece(text[a:b]) for a, b in zip(points, points[1:], strict=False))
-
-    def _piece(self, text: str) -> bytes:
-        memo, found = self.memo, self.pattern.findall(text)
+        memo, found = self.memo, self.pretokens(text, pool)
         try:
             return b"".join([memo[t] for t in found])
         except KeyError:

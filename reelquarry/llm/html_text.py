@@ -4,6 +4,10 @@ A tree builder reads tags, comments and raw-text elements, supplies implied tags
 list items, table rows and cells end where HTML says so) and ignores stray end tags. A renderer walks
 the visible elements and lays text out: blocks stand apart, list items carry marks, preformatted text
 keeps its spaces, and table cells are padded to the width of their columns.
+
+Lines of more than WIDE characters do not widen a column; they run over it. The padding of a page's
+tables is at most PADDING times its source: a table that would need more than is left is laid out
+with two spaces between its cells, without columns.
 """
 
 from __future__ import annotations
@@ -20,7 +24,7 @@ from reelquarry.llm.common import prepare, slices
 
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 RAW = frozenset("script style textarea title xmp iframe noembed noframes".split())
-HIDDEN = frozenset("head script style template noscript iframe noembed noframes datalist audio video canvas object svg math map".split())
+HIDDEN = frozenset("head script style template noscript iframe noembed noframes datalist audio video canvas object map annotation annotation-xml".split())
 #: Blocks with an empty line around them, and other blocks.
 SPACED = frozenset("p h1 h2 h3 h4 h5 h6 ul ol dl table blockquote pre figure fieldset hr".split())
 BLOCK = SPACED | frozenset("address article aside body center dd details dialog dir div dt fieldset figcaption footer form header hgroup html legend li main menu nav optgroup option search section summary tbody td tfoot th thead tr caption".split())
@@ -40,6 +44,10 @@ IMPLIED = {
 }
 IMPLIED["thead"] = IMPLIED["tfoot"] = IMPLIED["tbody"]
 SCOPE = frozenset("table td th caption html template".split())
+#: Characters up to which a line widens its column, and padding of all tables of a page by source characters.
+WIDE, PADDING = 100, 8
+#: Columns up to which cells span columns and rows; spans that reach further end there.
+SPANNED = 256
 #: Deeper elements become children of the last one at this depth, as browsers do.
 MAX_DEPTH = 256
 _TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*(?:\"|\Z)|'[^']*(?:'|\Z))*)(?:>|\Z)", re.S)
@@ -86,7 +94,8 @@ def build(source: str) -> tuple[Node, list[str]]:
     def opened(tag: str, attrs: dict) -> Node:
         node = Node(tag, attrs)
         stack[-1].children.append(node)
-        if tag not in VOID and len(stack) < MAX_DEPTH:
+        # one more for hidden elements, whose content must not come out
+        if tag not in VOID and len(stack) < MAX_DEPTH + (tag in HIDDEN):
             stack.append(node)
         return node
 
@@ -121,13 +130,14 @@ def build(source: str) -> tuple[Node, list[str]]:
         if tag == "body" or tag in BLOCK and tag != "html":
             close(frozenset({"head"}), frozenset({"#none"}))
         node = opened(tag, _attributes(m[3]))
-        if tag in RAW and stack[-1] is node:
+        if tag in RAW:
             end = re.compile(rf"</{re.escape(tag)}(?=[\s/>])[^>]*>?", re.I).search(source, at)
             raw = source[at : end.start() if end else len(source)]
             if tag == "style":
                 styles.append(raw)
             node.children.append(html.unescape(raw) if tag in ("textarea", "title") else raw)
-            stack.pop()
+            if stack[-1] is node:
+                stack.pop()
             at = end.end() if end else len(source)
     text(source[at:])
     return root, styles
@@ -138,13 +148,35 @@ def _style(text: str) -> dict:
     return {k.strip(): v.replace("!important", "").strip() for k, v in pairs}
 
 
+_AT_RULE = re.compile(r"@([\w-]+)([^{};]*)([{;])")
+
+
+def _on_screen(css: str) -> str:
+    """Style text without comments and without at-rules that don't apply to a screen; @media for screens keeps its rules."""
+    css, out, at = re.sub(r"/\*.*?\*/", "", css, flags=re.S), [], 0
+    while (m := _AT_RULE.search(css, at)) is not None:
+        out.append(css[at : m.start()])
+        at = m.end()
+        if m[3] == "{":
+            depth = 1
+            while depth and (b := re.compile("[{}]").search(css, at)):
+                depth += 1 if b[0] == "{" else -1
+                at = b.end()
+            if depth:
+                at = len(css)
+            medium = m[2].lower()
+            if m[1].lower() in ("media", "supports", "layer") and ("print" not in medium or "not print" in medium or "screen" in medium):
+                out.append(_on_screen(css[m.end() : at - 1 if not depth else at]))
+    return "".join(out) + css[at:]
+
+
 class Sheet:
     """Display and visibility of simple selectors: tag, .class, #id and a tag with one of them."""
 
     def __init__(self, styles: list[str]):
         self.rules: list[tuple[str, str, str, dict]] = []
         for css in styles:
-            for selectors, body in _RULE.findall(re.sub(r"/\*.*?\*/", "", css, flags=re.S)):
+            for selectors, body in _RULE.findall(_on_screen(css)):
                 wanted = {k: v for k, v in _style(body).items() if k in ("display", "visibility")}
                 for s in selectors.split(",") if wanted else ():
                     m = re.fullmatch(r"\s*([a-zA-Z][\w-]*|\*)?(?:\.([\w-]+))?(?:#([\w-]+))?\s*", s)
@@ -167,19 +199,29 @@ class Canvas:
 
     def __init__(self) -> None:
         self.lines: list[str] = []
-        self.line = ""
+        self.parts: list[str] = []
         self.gap = 0
 
+    @property
+    def line(self) -> str:
+        if len(self.parts) > 1:
+            self.parts = ["".join(self.parts)]
+        return self.parts[0] if self.parts else ""
+
+    @line.setter
+    def line(self, text: str) -> None:
+        self.parts = [text] if text else []
+
     def write(self, text: str) -> None:
         text = _SPACE.sub(" ", text)
-        if not self.line or self.line.endswith(" "):
+        if not self.parts or self.parts[-1].endswith(" "):
             text = text.lstrip(" ")
         if text:
-            if not self.line and self.gap and self.lines:
+            if not self.parts and self.gap and self.lines:
                 self.lines += [""] * (self.gap - 1)
-            if not self.line:
+            if not self.parts:
                 self.gap = 0
-            self.line += text
+            self.parts.append(text)
 
     def end(self, gap: int = 1) -> None:
         if self.line.strip(" "):
@@ -214,6 +256,7 @@ class Canvas:
 class Renderer:
     def __init__(self, styles: list[str]):
         self.sheet = Sheet(styles)
+        self.padding = 0
 
     def render(self, node: Node, canvas: Canvas, pre: bool = False, shown: bool = True) -> None:
         for child in node.children:
@@ -225,6 +268,12 @@ class Renderer:
             if child.tag in HIDDEN or style.get("display") == "none" or (child.tag == "dialog" and "open" not in child.attrs):
                 continue
             visible = {"hidden": False, "collapse": False, "visible": True}.get(style.get("visibility", ""), shown)
+            if child.tag == "svg":
+                # of a drawing only its text elements are text
+                for part in _below(child):
+                    if part.tag == "text":
+                        self.render(Node("#part", {}, ["\n", *part.children, "\n"]), canvas, False, visible)
+                continue
             self._element(child, canvas, pre, visible, style.get("display", ""))
 
     @staticmethod
@@ -304,7 +353,9 @@ class Renderer:
                 visible = {"hidden": False, "collapse": False, "visible": True}.get(style.get("visibility", ""), shown)
                 lines = self._inner(child, pre, visible)
                 if lines:
-                    canvas.place(lines, mark, " " * len(mark))
+                    # indentation comes from the same allowance as the padding of tables
+                    self.padding -= len(mark) * len(lines)
+                    canvas.place(lines, mark, " " * len(mark) if self.padding >= 0 else "")
             else:
                 self.render(Node("#part", {}, [child]), canvas, pre, shown)
 
@@ -337,10 +388,12 @@ class Renderer:
 
             def skip() -> None:
                 nonlocal at
+                begin = at
                 while down.get(at, 0):
                     down[at] -= 1
-                    cells.append(([], 1))
                     at += 1
+                if at > begin:
+                    cells.append(([], at - begin))
 
             for cell in tr.children:
                 if isinstance(cell, str) and not cell.strip():
@@ -352,9 +405,10 @@ class Renderer:
                 skip()
                 seen = {"hidden": False, "collapse": False, "visible": True}.get(style.get("visibility", ""), visible)
                 span, tall = (int(v) if re.fullmatch(r"[1-9]\d{0,2}", v := part.attrs.get(k, "1")) else 1 for k in ("colspan", "rowspan"))
+                span = max(1, min(span, SPANNED - at))
                 cells.append((self._inner(part, pre, seen), span))
                 for c in range(at, at + span):
-                    if tall > 1:
+                    if tall > 1 and c < SPANNED:
                         down[c] = tall - 1
                 at += span
             skip()
@@ -362,30 +416,47 @@ class Renderer:
                 rows.append(cells)
 
         walk(node, shown)
+        canvas.place(self._aligned(rows) or ["  ".join(lines[i] for lines, _ in cells if i < len(lines)).rstrip(" ") for cells in rows for i in range(max((len(lines) for lines, _ in cells), default=0))])
+
+    def _aligned(self, rows: list[list[tuple[list[str], int]]]) -> list[str] | None:
+        """Lines with the cells of a column under each other; None if that takes more padding than is left."""
+
+        def widest(lines: list[str]) -> int:
+            return max((n for n in map(len, lines) if n <= WIDE), default=0)
+
         width: dict[int, int] = {}
         for cells in rows:
             at = 0
             for lines, span in cells:
-                if span == 1:
-                    width[at] = max(width.get(at, 0), *map(len, lines), 0) if lines else width.get(at, 0)
+                if span == 1 and lines:
+                    width[at] = max(width.get(at, 0), widest(lines))
                 at += span
         for cells in rows:
             at = 0
             for lines, span in cells:
-                short = max(map(len, lines), default=0) - sum(width.get(c, 0) for c in range(at, at + span)) - 2 * (span - 1)
-                if short > 0:
-                    width[at + span - 1] = width.get(at + span - 1, 0) + short
+                if lines:
+                    short = widest(lines) - sum(width.get(c, 0) for c in range(at, at + span)) - 2 * (span - 1)
+                    if short > 0:
+                        width[at + span - 1] = width.get(at + span - 1, 0) + short
                 at += span
         out: list[str] = []
+        left = self.padding
+        if left < 0:
+            return None
         for cells in rows:
+            last = max((k for k, (lines, _) in enumerate(cells) if lines), default=-1)
+            rooms, at = [], 0
+            for _, span in cells[:last]:
+                rooms.append(sum(width.get(c, 0) for c in range(at, at + span)) + 2 * (span - 1))
+                at += span
             for i in range(max((len(lines) for lines, _ in cells), default=0)):
-                line, at = [], 0
-                for lines, span in cells:
-                    room = sum(width.get(c, 0) for c in range(at, at + span)) + 2 * (span - 1)
-                    line.append((lines[i] if i < len(lines) else "").ljust(room))
-                    at += span
-                out.append("  ".join(line).rstrip(" "))
-        canvas.place(out)
+                line = [lines[i] if i < len(lines) else "" for lines, _ in cells[: last + 1]]
+                left -= sum(max(room - len(x), 0) + 2 for room, x in zip(rooms, line, strict=False))
+                if left < 0:
+                    return None
+                out.append("  ".join([*(x.ljust(room) for x, room in zip(line, rooms, strict=False)), *line[last:]]).rstrip(" "))
+        self.padding = left
+        return out
 
 
 def _below(node: Node) -> Iterator[Node]:
@@ -401,7 +472,9 @@ def render(source: str | None) -> str:
         return ""
     root, styles = build(source.replace("\0", ""))
     canvas = Canvas()
-    Renderer(styles).render(root, canvas)
+    renderer = Renderer(styles)
+    renderer.padding = PADDING * len(source)
+    renderer.render(root, canvas)
     return "\n".join(canvas.done()).strip("\n")
 
 
