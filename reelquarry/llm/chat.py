@@ -51,11 +51,13 @@ class ChatTemplate:
 
 
 def format_conversations(turns: DataFrame, template: ChatTemplate | None = None) -> DataFrame:
-    """(conv_id, turn, role, text) -> conv_id, state, first_invalid_turn, segments, formatted.
+    """(conv_id, turn, role, text) -> conv_id, state, first_invalid_turn, segments, formatted, loss_turns.
 
     Rows are ordered by turn, then role and text; null text or role counts as empty, null conv_id is
     a conversation of its own. `state` is the machine's last state, or "rejected" for a wrong order;
     rejected conversations are formatted all the same and their first wrong position (from 0) is given.
+    `loss_turns` has a flag for each turn of `formatted`: whether its text is under the loss mask. An
+    empty table gives no rows.
     """
     t = template or ChatTemplate()
     moves = F.create_map(*[F.lit(x) for s, to in t.moves.items() for r, n in to.items() for x in (f"{s}>{r}", n)])
@@ -89,6 +91,8 @@ def format_conversations(turns: DataFrame, template: ChatTemplate | None = None)
         grouped.select("conv_id", machine.alias("machine"), segments.alias("segments"))
         .select("conv_id", F.col("machine.state").alias("state"), F.col("machine.bad").alias("first_invalid_turn"), "segments")
         .withColumn("formatted", F.array_join(F.transform("segments", lambda s: s["text"]), ""))
+        # every third segment, from the second on, is the text of a turn
+        .withColumn("loss_turns", F.transform(F.filter("segments", lambda s, i: i % 3 == 1), lambda s: s["loss"]))
     )
 
 
@@ -121,10 +125,10 @@ def op3_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.lit(probe).alias("text"),
     )
     made = format_conversations(turns.unionByName(extra), t)
-    loss = t.unescaped(F.array_join(F.transform(F.filter("segments", lambda s: s["loss"]), lambda s: s["text"]), ""))
-    read = made.select(
-        "conv_id", "state", "first_invalid_turn", parse_formatted(F.col("formatted"), t).alias("back"), loss.alias("loss"), F.length("formatted").cast("long").alias("formatted_chars")
-    )
+    back = made.select("conv_id", "state", "first_invalid_turn", "loss_turns", parse_formatted(F.col("formatted"), t).alias("back"), F.length("formatted").cast("long").alias("formatted_chars"))
+    # the mask's flags pick the texts out of what was read back from the formatted text
+    masked = F.zip_with("back", "loss_turns", lambda x, flag: F.when(flag, x["text"]).otherwise(""))
+    read = back.withColumn("loss", F.array_join(masked, ""))
     whole = F.array_join(F.transform("back", lambda x: F.concat(x["role"], F.lit("\n"), x["text"], F.lit("\n"))), "")
     return read.select(
         "conv_id",

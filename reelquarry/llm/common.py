@@ -55,7 +55,24 @@ def materialize(df: DataFrame, label: str, partition_by: str | None = None) -> D
     spark, path = df.sparkSession, shared_path(df.sparkSession, label)
     writer = df.write.partitionBy(partition_by) if partition_by else df.write
     writer.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    back = spark.read.schema(df.schema).parquet(path)
+    back.stored_at = path
+    return back
+
+
+def _delete(spark: SparkSession, path: str) -> None:
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
+
+
+def discard(df: DataFrame) -> None:
+    """Deletes the folder of a table that `materialize` returned, once nothing reads it any more."""
+    _delete(df.sparkSession, df.stored_at)
+
+
+def discard_all(spark: SparkSession) -> None:
+    """Deletes all that these operators have written to the shared folder; for when their results have been read or saved."""
+    _delete(spark, f"{shared_base(spark)}/reelquarry")
 
 
 def shuffle_partitions(spark: SparkSession) -> int:

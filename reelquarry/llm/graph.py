@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from reelquarry.llm.common import materialize
+from reelquarry.llm.common import discard, materialize
 
 MAX_ROUNDS = 60
 
@@ -33,7 +33,8 @@ def connected_components(edges: DataFrame) -> DataFrame:
         # small star: smaller neighbours and the node itself move to the least one
         least = grown.groupBy("u").agg(F.min("v").alias("m"))
         moved = grown.join(least, "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
-        known = materialize(moved.union(least.select("u", F.col("m").alias("v"))).distinct(), "components")
+        before, known = known, materialize(moved.union(least.select("u", F.col("m").alias("v"))).distinct(), "components")
+        discard(before)
         last, state = state, _state(known)
         if state == last:
             break

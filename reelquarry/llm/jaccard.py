@@ -36,6 +36,8 @@ FEW = 8
 MANY = 1 << 20
 #: Tokens of a cluster that one task takes whole.
 CLUSTER_TOKENS = 4_000_000
+#: Bytes up to which a word is told by a polynomial modulo 2**64; in longer ones such hashes can be made to collide.
+SHORT_WORD = 64
 _SPACE = np.zeros(256, bool)
 _SPACE[[32, 9, 10, 11, 12, 13]] = True
 _POWERS = np.cumprod(np.full(64, 0x9E3779B97F4A7C15 | 1, np.uint64))
@@ -72,6 +74,8 @@ def shingle_sets(texts: list[bytes], width: int) -> list[np.ndarray]:
     place = np.arange(int(lens.sum())) - np.repeat(first, lens)
     letters = (buf[solid].astype(np.uint64) + np.uint64(1)) * _powers(int(lens.max()))[place]
     words = _mix(np.add.reduceat(letters, first) + lens.astype(np.uint64))
+    for i in np.flatnonzero(lens > SHORT_WORD).tolist():
+        words[i] = int.from_bytes(hashlib.blake2b(buf[starts[i] : stops[i]].tobytes(), digest_size=8).digest(), "little")
     bounds = np.searchsorted(starts, ends).tolist()
     odd = _powers(64)[1 : width + 1]
     rolled = words[: max(len(words) - width + 1, 0)] * odd[0]

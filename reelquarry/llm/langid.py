@@ -206,7 +206,7 @@ class MixtureInference:
 def identify(docs: DataFrame, model: LanguageModel) -> DataFrame:
     """Appends lang_pred, lang_share (its proportion, 0 to 1) and lang_count. Other columns pass unchanged.
 
-    A null text, or one without letters, gets `und`, 0 and 0.
+    A null text, or one without letters, gets `und`, 0 and 0. Input columns with a result's name are replaced.
     """
     prepare(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast(model)
@@ -217,7 +217,8 @@ def identify(docs: DataFrame, model: LanguageModel) -> DataFrame:
         for texts in parts:
             yield pd.DataFrame(mixture.infer(texts.tolist()), columns=["lang_pred", "lang_share", "lang_count"])
 
-    return docs.withColumn("_language", infer("text")).select("*", "_language.*").drop("_language")
+    row = [F.col(c) for c in docs.columns if c not in ("lang_pred", "lang_share", "lang_count")]
+    return docs.select(F.struct(*row).alias("row"), infer("text").alias("language")).select("row.*", "language.*")
 
 
 def op8_language(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from reelquarry.llm.common import documents, materialize, prepare, slices
+from reelquarry.llm.common import discard, documents, materialize, prepare, slices
 
 #: Most labelled rows used to fit.
 SAMPLE = 12_000
@@ -234,7 +234,8 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> ToxicityMod
     """Fits on labelled rows outside the held-out fold (crc32 of the id modulo 5 is 0), at most `sample` of them.
 
     Rows without id or label are left out; of repeated ids the greater label holds. Without rows of
-    both labels the model gives the smoothed share of label 1.
+    both labels the model gives the smoothed share of label 1. A quarter of the rows, by their ids, is
+    kept for the calibration: neither the lexicon nor the trees see it.
     """
     spark = docs.sparkSession
     prepare(spark)
@@ -245,13 +246,18 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> ToxicityMod
         .limit(sample)
     )
     # at most `sample` rows of two numbers are broadcast
-    held = materialize(docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").select("doc_id", "text", "toxic"), "toxicity")
-    totals = {r.toxic: r.n for r in held.groupBy("toxic").agg(F.count("*").alias("n")).collect()}
+    held = stored = materialize(docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").select("doc_id", "text", "toxic", (F.pmod(F.xxhash64(F.lit(1), "doc_id"), F.lit(4)) == 3).alias("calibrates")), "toxicity")
+    sides = {r.toxic for r in held.where("NOT calibrates").select("toxic").distinct().collect()}, held.where("calibrates").limit(1).count()
+    if len(sides[0]) < 2 or not sides[1]:
+        # too few rows to keep some apart
+        held = held.withColumn("calibrates", F.lit(False))
+    learned = held.where("NOT calibrates")
+    totals = {r.toxic: r.n for r in learned.groupBy("toxic").agg(F.count("*").alias("n")).collect()}
     clean, toxic = totals.get(0, 0), totals.get(1, 0)
     prior = (toxic + 0.5) / (clean + toxic + 1)
     if not clean or not toxic:
         return ToxicityModel({}, None, None, prior)
-    counts = held.mapInArrow(_word_counts, "word string, clean long, toxic long").groupBy("word").agg(F.sum("clean").alias("c"), F.sum("toxic").alias("t"))
+    counts = learned.mapInArrow(_word_counts, "word string, clean long, toxic long").groupBy("word").agg(F.sum("clean").alias("c"), F.sum("toxic").alias("t"))
     t, c, n = F.col("t").cast("double"), F.col("c").cast("double"), clean + toxic
     odds = F.log((t + 0.5) / (toxic + 1.0)) - F.log((c + 0.5) / (clean + 1.0))
     # twice the log-likelihood ratio of "the word depends on the label"
@@ -267,20 +273,19 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> ToxicityMod
         made = Featurizer(lexicon)
         for batch in slices(batches, 1):
             x = [made.features(t or "") for t in batch.column(1).to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(x, pa.list_(pa.float64())), batch.column(2)], names=["doc_id", "x", "toxic"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(x, pa.list_(pa.float64())), batch.column(2), batch.column(3)], names=["doc_id", "x", "toxic", "calibrates"])
 
-    got = held.mapInArrow(rows, "doc_id long, x array<double>, toxic int").orderBy(F.xxhash64("doc_id"), "doc_id").toPandas()
+    got = held.mapInArrow(rows, "doc_id long, x array<double>, toxic int, calibrates boolean").orderBy(F.xxhash64("doc_id"), "doc_id").toPandas()
+    discard(stored)
     x, y = np.array(got.x.tolist()), got.toxic.to_numpy(np.float64)
-    calibrate = np.arange(len(y)) % 4 == 3
-    if len({*y[~calibrate]}) < 2 or not calibrate.any():
-        calibrate = np.zeros(len(y), bool)
+    calibrate = got.calibrates.to_numpy(bool)
     trees = BoostedTrees().fit(x[~calibrate], y[~calibrate])
     at = calibrate if calibrate.any() else ~calibrate
     return ToxicityModel(lexicon, trees, isotonic(trees.decision(x[at]), y[at]), prior)
 
 
 def score_documents(docs: DataFrame, model: ToxicityModel) -> DataFrame:
-    """Appends `toxicity` (0 to 1) to documents; null text counts as empty. Other columns pass unchanged."""
+    """Appends `toxicity` (0 to 1) to documents, in place of an input column of that name; null text counts as empty. Other columns pass unchanged."""
     prepare(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
