@@ -28,23 +28,29 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def keep_languages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Drops documents without letters and those in which no known language has a fair share."""
+    """Drops documents without letters and those whose languages are so mixed that none has a fair share.
+
+    The shares are of the learned languages: text in a language that was not learned takes the most similar one and stays.
+    """
     model = langid.fit(docs.select("doc_id", "text", "lang"))
     kept = langid.identify(docs.select(*COLUMNS), model).where((F.col("lang_pred") != langid.UNKNOWN) & (F.col("lang_share") >= LEAST_SHARE))
     return kept.select(*COLUMNS)
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps the document of least id of each group alike in five-word shingles at 0.8 or more."""
+    """Keeps the document of least id of each group alike in five-word shingles at 0.8 or more.
+
+    The rows of one id count as one document: they stay if one of them stands for its group. Rows without an id stay.
+    """
     found = jaccard.near_duplicates(docs.select("doc_id", "text"), 5, 80, 100)
-    losers = found.where("component_id <> doc_id").select("doc_id").distinct()
+    losers = found.groupBy("doc_id").agg(F.max(F.col("component_id") == F.col("doc_id")).alias("stays")).where("NOT stays").select("doc_id")
     return docs.select(*COLUMNS).join(losers.hint("merge"), "doc_id", "left_anti").select(*COLUMNS)
 
 
 def drop_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Removes repeated passages from the texts; bytes of a character that is cut go with it."""
     cut = suffixes.remove_repeats(docs.select(*COLUMNS), PASSAGE_BYTES)
-    text = F.when(F.col("n_removed") > 0, F.replace(F.make_valid_utf8(F.col("kept").cast("string")), F.lit("�"), F.lit(""))).otherwise(F.col("text"))
+    text = F.when(F.col("n_removed") > 0, F.col("kept_text")).otherwise(F.col("text"))
     changed = cut.withColumn("text", text)
     return changed.withColumn("n_chars", F.when(F.col("n_removed") > 0, F.length("text")).otherwise(F.col("n_chars")).cast("long")).select(*COLUMNS)
 
@@ -62,7 +68,7 @@ STAGES = [
     ("packing", pack),
 ]
 
-#: SQL can't express the classifiers; the stages are tested against brute force instead.
+#: SQL can't express the classifiers; tests/llm/test_pipeline.py holds the stages against brute force and labels instead.
 ORACLE_SQL = None
 
 
