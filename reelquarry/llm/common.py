@@ -10,6 +10,7 @@ from pathlib import Path
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 ROOT = str(Path(__file__).resolve().parents[2])
 _OWN_DIR: dict[str, str] = {}
@@ -75,6 +76,23 @@ def discard_all(spark: SparkSession) -> None:
     _delete(spark, f"{shared_base(spark)}/reelquarry")
 
 
+#: Rows of a class from which its rows do not meet in one task, and classes of that many rows at most.
+CROWD, CROWDS = 1 << 10, 1 << 16
+
+
+def join_classes(rows: DataFrame, table: DataFrame, keys: list[str], classes: DataFrame, total: int) -> DataFrame:
+    """rows.join(table, keys, "left") for a `table` with one row a class, however many rows a class has.
+
+    `classes` has the keys and `copies`, `total` is the number of rows. Classes with more than CROWD rows and
+    more than one in CROWDS of all rows number CROWDS at most: their rows of the table are broadcast.
+    """
+    crowds = classes.where(F.col("copies") > max(CROWD, total // CROWDS)).select(*keys)
+    marked = rows.join(F.broadcast(crowds.withColumn("_crowd", F.lit(True))), keys, "left")
+    few = marked.where("_crowd IS NULL").drop("_crowd").join(table.hint("merge"), keys, "left")
+    many = marked.where("_crowd").drop("_crowd").join(F.broadcast(table.join(F.broadcast(crowds), keys, "left_semi")), keys, "left")
+    return few.unionByName(many)
+
+
 def shuffle_partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 

@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from reelquarry.llm.common import documents, materialize, prepare, shuffle_partitions, slices
+from reelquarry.llm.common import documents, join_classes, materialize, prepare, shuffle_partitions, slices
 from reelquarry.llm.graph import connected_components
 from reelquarry.llm.signature_tree import SignatureTree
 
@@ -336,7 +336,7 @@ def near_duplicates(docs: DataFrame, width: int = 5, num: int = 80, den: int = 1
     sketch = materialize(docs.mapInArrow(_sketch(width), _SKETCH), "sketch", "kind")
     levels = spark.sparkContext.broadcast(_frequency_levels(sketch))
     rows = sketch.where("kind = 0").select("doc_id", "n", "s1", "s2")
-    classes = rows.where("n > 0").groupBy("s1", "s2").agg(F.min("doc_id").alias("rep"), F.first("n").alias("n")).where("rep IS NOT NULL")
+    classes = rows.where("n > 0").groupBy("s1", "s2").agg(F.min("doc_id").alias("rep"), F.first("n").alias("n"), F.count("*").alias("copies")).where("rep IS NOT NULL")
 
     records = docs.select("text").mapInArrow(_keys(width, num, den, levels), "token long, sid long, n int")
     meetings = records.repartition(parts, "token").sortWithinPartitions("token", "n", "sid").select("token", "n", "sid").mapInArrow(_meetings(num, den), "a long, b long, shared long, least long")
@@ -358,7 +358,7 @@ def near_duplicates(docs: DataFrame, width: int = 5, num: int = 80, den: int = 1
         found = links.groupBy(F.col("a").alias("s1")).agg(F.min("least").alias("component"))
     resolved = classes.join(found, "s1", "left").select("s1", "s2", F.coalesce("component", "rep").alias("component"))
     return (
-        rows.join(resolved, ["s1", "s2"], "left")
+        join_classes(rows, resolved, ["s1", "s2"], classes, rows.count())
         .select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("doc_id").isNull(), None).when(F.col("n") > 0, F.coalesce("component", "doc_id")).otherwise(F.col("doc_id")).alias("component_id"))
     )
 

@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from reelquarry.llm.common import documents, materialize, prepare, shuffle_partitions, slices
+from reelquarry.llm.common import documents, join_classes, materialize, prepare, shuffle_partitions, slices
 
 LENGTH = 400
 #: Anchor k-grams are this share of the window.
@@ -525,8 +525,10 @@ def repeated_spans(docs: DataFrame, length: int = LENGTH, hot: int = HOT, hotter
     cut = sources.hint("merge").join(texts, F.col("rep") == F.col("key")).select("t1", "t2", "text", "anchors").mapInArrow(_cut(length), _RECORDS)
     spans = cut.repartition(parts, "hash").sortWithinPartitions("hash", "covered", "t1", "t2", "first").mapInArrow(_sorted_groups(length, large), _SPANS)
     merged = spans.groupBy("t1", "t2").agg(F.sort_array(F.collect_set(F.struct("start", "stop"))).alias("spans"))
-    whole = classes.join(merged, ["t1", "t2"], "left").where("copies > 1 OR spans IS NOT NULL").select("t1", "t2", "copies", "spans")
-    return members.select("key", "t1", "t2").join(whole, ["t1", "t2"])
+    # of a text with copies every byte goes: its spans are not needed
+    whole = classes.join(merged, ["t1", "t2"], "left").select("t1", "t2", "copies", F.when(F.col("copies") == 1, F.col("spans")).alias("spans")).where("copies > 1 OR spans IS NOT NULL")
+    total = sketch.where("kind = 0").count()
+    return join_classes(members, whole, ["t1", "t2"], classes, total).where("copies IS NOT NULL")
 
 
 def _cut_spans(raw: bytes, copies: int, spans: list[dict] | None) -> tuple[list[bytes], int, int]:
@@ -562,8 +564,8 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, hot: int = HOT, hotter
     """
     row = [F.col(c) for c in docs.columns if c not in _fields(_RESULT)]
     docs = docs.select(_key(docs).alias("key"), F.col("text"), F.struct(*row).alias("row"))
-    spans = repeated_spans(docs.select("key", "text"), length, hot, hotter, large).dropDuplicates(["key", "t1", "t2"])
-    grouped = spans.groupBy("key").agg(F.collect_list(F.struct("t1", "t2", "copies", "spans")).alias("found"))
+    spans = repeated_spans(docs.select("key", "text"), length, hot, hotter, large)
+    grouped = spans.groupBy("key").agg(F.collect_set(F.struct("t1", "t2", "copies", "spans")).alias("found"))
     joined = docs.join(grouped.hint("merge"), "key", "left")
 
     @F.pandas_udf(_RESULT)
