@@ -11,15 +11,35 @@ def _at(values: Column, index: Column) -> Column:
     return F.get(values, index.cast("int"))
 
 
+#: Ranges of about equal depth into which each group's values are cut.
+RANGES = 100
+
+
+def ranked_values(df: DataFrame, group: str, value: str, ranges: int = RANGES) -> DataFrame:
+    """(group, value, c, lo, hi, n): each distinct value with the rows below it, up to it and in all; nulls are left out.
+
+    Values are counted first, with partial counts before the shuffle. Approximate quantiles cut each group into
+    ranges; a running count over the few ranges and one within each range give exact places, so that a group
+    of any size is sorted by as many tasks as it has ranges.
+    """
+    counts = df.where(F.col(value).isNotNull()).groupBy(group, value).agg(F.count("*").alias("c"))
+    shares = F.array(*[F.lit((i + 1) / ranges) for i in range(ranges - 1)])
+    edges = counts.groupBy(F.col(group).alias("_g")).agg(F.percentile_approx(value, shares, F.lit(10 * ranges)).alias("_edges"))
+    laid = counts.join(edges, F.col(group).eqNullSafe(F.col("_g"))).withColumn("_range", F.size(F.filter("_edges", lambda e: e < F.col(value)))).drop("_g", "_edges")
+    own = W.partitionBy("_g").orderBy("_r")
+    depth = laid.groupBy(F.col(group).alias("_g"), F.col("_range").alias("_r")).agg(F.sum("c").alias("_rows"))
+    depth = depth.withColumn("_before", F.sum("_rows").over(own) - F.col("_rows")).withColumn("n", F.sum("_rows").over(W.partitionBy("_g"))).drop("_rows")
+    placed = laid.join(depth, F.col(group).eqNullSafe(F.col("_g")) & (F.col("_range") == F.col("_r")))
+    hi = F.col("_before") + F.sum("c").over(W.partitionBy(group, "_range").orderBy(value))
+    return placed.withColumn("hi", hi).select(group, value, "c", (F.col("hi") - F.col("c")).alias("lo"), "hi", "n")
+
+
 def percentile_conventions(df: DataFrame, group: str, value: str, p: float) -> DataFrame:
     """The five percentile conventions and the upper median of each group; nulls are left out.
 
-    All read one sorted distribution of (value, rows up to it), so a group is never held as a list:
-    ranks come from a running count of distinct values.
+    All read one distribution of values and their places, so a group is never held as a list.
     """
-    counts = df.where(F.col(value).isNotNull()).groupBy(group, value).agg(F.count("*").alias("c"))
-    run = counts.withColumn("hi", F.sum("c").over(W.partitionBy(group).orderBy(value))).withColumn("n", F.sum("c").over(W.partitionBy(group)))
-    run = run.withColumn("lo", F.col("hi") - F.col("c"))
+    run = ranked_values(df, group, value)
     n = F.col("n")
     linear = p / 100 * (n - 1)
 
@@ -52,6 +72,13 @@ def full_rollup(df: DataFrame, keys: list, value: str, order: str) -> DataFrame:
     )
 
 
+def stability(v: Column) -> Column:
+    """1 less the coefficient of variation, within 0 to 1; 1 below two values; of mean 0, 1 without spread and 0 with it."""
+    mean, std = F.avg(v), F.stddev_pop(v)
+    flat = F.when(std < 1e-12, 1.0).otherwise(0.0)
+    return F.when(F.count(v) < 2, 1.0).when(F.abs(mean) < 1e-12, flat).otherwise(F.greatest(F.least(1 - F.try_divide(std, mean), F.lit(1.0)), F.lit(0.0)))
+
+
 def summary_statistics(df: DataFrame, keys: list[str], value: str) -> DataFrame:
     """Pooling, stability and spread: mean, harmonic mean, population deviation, 1 - CV, share below a mark."""
     v = F.col(value)
@@ -61,7 +88,7 @@ def summary_statistics(df: DataFrame, keys: list[str], value: str) -> DataFrame:
         F.round(mean, 6).alias("mean"),
         F.round(F.count(v) / F.sum(1 / F.greatest(v, F.lit(1e-10))), 6).alias("harmonic"),
         F.round(std, 6).alias("std"),
-        F.round(F.when(F.count(v) < 2, 1.0).otherwise(F.greatest(F.least(1 - std / mean, F.lit(1.0)), F.lit(0.0))), 6).alias("stability"),
+        F.round(stability(v), 6).alias("stability"),
         F.round(F.avg((v < 50).cast("int")), 6).alias("below_50"),
     )
 
@@ -90,18 +117,34 @@ def duplicate_groups(df: DataFrame, digest: Column, id_col: str, size: str) -> D
 
 
 def histogram(df: DataFrame, value: str, buckets: int) -> DataFrame:
-    """Fixed number of integer-width buckets over the range; empty ones are given too."""
-    edge = df.agg(F.min(value).alias("lo"), F.max(value).alias("hi"))
+    """(upper, n): a fixed number of buckets of whole width over the range, empty ones too, by their upper bounds.
+
+    Equal values give one bucket at that value; no values give none.
+    """
+    edge = df.agg(F.min(value).alias("lo"), F.max(value).alias("hi")).where("lo IS NOT NULL")
     width = F.greatest(F.ceil((F.col("hi") - F.col("lo")) / buckets), F.lit(1))
-    edge = edge.select("lo", width.alias("width"))
-    counted = df.crossJoin(F.broadcast(edge)).groupBy(F.least(F.floor((F.col(value) - F.col("lo")) / F.col("width")), F.lit(buckets - 1)).alias("bucket")).agg(F.count("*").alias("n"))
-    slots = edge.select(F.explode(F.sequence(F.lit(0).cast("long"), F.lit(buckets - 1).cast("long"))).alias("bucket"), "lo", "width")
-    return slots.join(counted, "bucket", "left").select("bucket", (F.col("lo") + F.col("bucket") * F.col("width")).cast("double").alias("start"), F.coalesce("n", F.lit(0)).cast("long").alias("n"))
+    edge = edge.select("lo", "hi", width.alias("width"), F.when(F.col("lo") == F.col("hi"), 1).otherwise(buckets).cast("long").alias("slots"))
+    place = F.least(F.floor((F.col(value) - F.col("lo")) / F.col("width")), F.col("slots") - 1)
+    counted = df.where(F.col(value).isNotNull()).crossJoin(F.broadcast(edge)).groupBy(place.alias("bucket")).agg(F.count("*").alias("n"))
+    slots = edge.select(F.explode(F.sequence(F.lit(0).cast("long"), F.col("slots") - 1)).alias("bucket"), "lo", "hi", "width", "slots")
+    upper = F.when(F.col("slots") == 1, F.col("hi")).otherwise(F.col("lo") + (F.col("bucket") + 1) * F.col("width"))
+    return slots.join(counted, "bucket", "left").select(upper.cast("double").alias("upper"), F.coalesce("n", F.lit(0)).cast("long").alias("n"))
 
 
 def iqr_outliers(df: DataFrame, key: str, value: str, mild: float = 1.5, extreme: float = 3.0) -> DataFrame:
     """Rows outside the fences of their group (strictly); groups below four rows give none."""
-    q = df.groupBy(key).agg(F.percentile(value, F.lit(0.25)).alias("q1"), F.percentile(value, F.lit(0.75)).alias("q3"), F.count(value).alias("n")).where("n >= 4")
+    places = ranked_values(df, key, value)
+
+    def quartile(p: float) -> Column:
+        at = p * (F.col("n") - 1)
+
+        def pick(index: Column) -> Column:
+            return F.max(F.when((index >= F.col("lo")) & (index < F.col("hi")), F.col(value)))
+
+        low = pick(F.floor(at))
+        return low + (pick(F.ceil(at)) - low) * F.max(at - F.floor(at))
+
+    q = places.groupBy(key).agg(quartile(0.25).alias("q1"), quartile(0.75).alias("q3"), F.max("n").alias("n")).where("n >= 4")
     spread = F.col("q3") - F.col("q1")
     v = F.col(value)
 

@@ -7,6 +7,8 @@ from itertools import count
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from reelquarry.storage import checkpoint
+
 #: Steps after which the rows found so far are put into one frame, so that plans stay short.
 TOGETHER = 16
 
@@ -15,28 +17,23 @@ class CycleError(ValueError):
     pass
 
 
-def _cut(df: DataFrame) -> DataFrame:
-    """A reliable checkpoint where the cluster names a folder for it; else one that the executors hold. Both cut the lineage."""
-    return df.checkpoint() if df.sparkSession.conf.get("spark.checkpoint.dir", None) else df.localCheckpoint()
-
-
 def topological_levels(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     """(node, level): the longest path from a node without predecessors. A cycle raises CycleError.
 
     Peels the nodes whose open predecessors are gone, one level at a time.
     """
-    left_nodes, left_edges = _cut(nodes.select("node").distinct()), _cut(edges.select("src", "dst").where("src IS NOT NULL AND dst IS NOT NULL").distinct())
+    left_nodes, left_edges = checkpoint(nodes.select("node").distinct()), checkpoint(edges.select("src", "dst").where("src IS NOT NULL AND dst IS NOT NULL").distinct())
     out = None
     for level in count():
-        ready = _cut(left_nodes.join(left_edges.select(F.col("dst").alias("node")).distinct(), "node", "left_anti"))
+        ready = checkpoint(left_nodes.join(left_edges.select(F.col("dst").alias("node")).distinct(), "node", "left_anti"))
         if ready.isEmpty():
             break
         found = ready.select("node", F.lit(level).cast("long").alias("level"))
         out = found if out is None else out.union(found)
         if level % TOGETHER == TOGETHER - 1:
-            out = _cut(out.repartition("node"))
-        left_nodes = _cut(left_nodes.join(ready, "node", "left_anti"))
-        left_edges = _cut(left_edges.join(ready.select(F.col("node").alias("src")), "src", "left_anti"))
+            out = checkpoint(out.repartition("node"))
+        left_nodes = checkpoint(left_nodes.join(ready, "node", "left_anti"))
+        left_edges = checkpoint(left_edges.join(ready.select(F.col("node").alias("src")), "src", "left_anti"))
     if not left_nodes.isEmpty():
         raise CycleError("the graph has a cycle")
     return out if out is not None else left_nodes.select("node", F.lit(0).cast("long").alias("level"))
@@ -57,15 +54,15 @@ def ancestors(seeds: DataFrame, edges: DataFrame, depth_limit: int | None = None
     """
     frontier = seeds.select("node", F.col("node").alias("ancestor"), F.lit(0).cast("long").alias("depth"))
     out = frontier
-    edges = _cut(edges.select(F.col("src").alias("_src"), F.col("dst").alias("_dst")))
+    edges = checkpoint(edges.select(F.col("src").alias("_src"), F.col("dst").alias("_dst")))
     for step_no in count() if depth_limit is None else range(depth_limit):
         step = frontier.join(edges, F.col("ancestor") == F.col("_dst")).select("node", F.col("_src").alias("ancestor"), (F.col("depth") + 1).alias("depth")).distinct()
-        frontier = _cut(step.join(out.select("node", "ancestor"), ["node", "ancestor"], "left_anti").select("node", "ancestor", "depth"))
+        frontier = checkpoint(step.join(out.select("node", "ancestor"), ["node", "ancestor"], "left_anti").select("node", "ancestor", "depth"))
         if frontier.isEmpty():
             return out
         out = out.union(frontier)
         if step_no % TOGETHER == TOGETHER - 1:
-            out = _cut(out.repartition("node", "ancestor"))
+            out = checkpoint(out.repartition("node", "ancestor"))
     return out
 
 
@@ -81,3 +78,27 @@ def roots(nodes: DataFrame, edges: DataFrame) -> DataFrame:
 
 def neighbours(edges: DataFrame) -> DataFrame:
     return edges.select(F.col("src").alias("node"), F.col("dst").alias("neighbour")).union(edges.select("dst", "src")).distinct()
+
+
+def best_children(edges: DataFrame, weights: DataFrame) -> DataFrame:
+    """(node, child, weight): of each node the child of greatest weight, the greatest id on ties. weights (node, weight)."""
+    w = weights.select(F.col("node").alias("child"), F.coalesce("weight", F.lit(0.0)).alias("weight"))
+    known = edges.select(F.col("src").alias("node"), F.col("dst").alias("child")).distinct().join(w, "child", "left")
+    best = F.max_by(F.struct("child", "weight"), F.struct(F.coalesce("weight", F.lit(0.0)), "child"))
+    return known.groupBy("node").agg(best.alias("b")).select("node", "b.child", F.coalesce("b.weight", F.lit(0.0)).alias("weight"))
+
+
+def hot_path(edges: DataFrame, weights: DataFrame) -> DataFrame:
+    """(step, node) from the root of greatest weight down the heaviest children; a node seen before ends the walk.
+
+    Every step is one lookup in the table of best children.
+    """
+    spark = edges.sparkSession
+    sources = edges.select(F.col("src").alias("node")).distinct()
+    start = roots(sources, edges).join(weights, "node", "left").orderBy(F.desc_nulls_last("weight"), F.desc("node")).limit(1).first()
+    if start is None:
+        return spark.createDataFrame([], f"step long, node {dict(sources.dtypes)['node']}")
+    best, path = checkpoint(best_children(edges, weights)), [start.node]
+    while (step := best.where(F.col("node") == path[-1]).first()) is not None and step.child not in path:
+        path.append(step.child)
+    return spark.createDataFrame(list(enumerate(path)), f"step long, node {dict(sources.dtypes)['node']}")

@@ -72,3 +72,68 @@ def seasonal(df: DataFrame, key: str, order: str, value: str, period: int) -> Da
     out = out.withColumn("trend", trend).withColumn("phase", F.col("i") % period)
     out = out.withColumn("season", F.avg(F.col(value) - F.col("trend")).over(W.partitionBy(key, "phase")))
     return out.withColumn("residual", F.col(value) - F.col("trend") - F.col("season"))
+
+
+def seasonal_anomalies(df: DataFrame, key: str, order: str, value: str, period: int, sigmas: float) -> DataFrame:
+    """Rows of a decomposition whose residual lies more than `sigmas` deviations from its mean; none for a series without spread."""
+    whole = W.partitionBy(key)
+    r = seasonal(df, key, order, value, period).withColumn("_m", F.avg("residual").over(whole)).withColumn("_s", F.stddev_pop("residual").over(whole))
+    return r.where((F.col("_s") >= 1.1920929e-07) & (F.abs(F.col("residual") - F.col("_m")) > sigmas * F.col("_s"))).drop("_m", "_s")
+
+
+def seasonal_forecast(df: DataFrame, key: str, order: str, value: str, period: int, ahead: int) -> DataFrame:
+    """(key, step, forecast): the mean trend of the last `period` rows and the phase's season, for `ahead` steps from 0."""
+    r = seasonal(df, key, order, value, period)
+    n = F.max("i").over(W.partitionBy(key)) + 1
+    sized = r.withColumn("_n", n)
+    last = sized.groupBy(key).agg(F.avg(F.when(F.col("i") >= F.col("_n") - period, F.col("trend"))).alias("_trend"), F.max("_n").alias("_n"))
+    phases = r.select(key, "phase", "season").distinct()
+    steps = last.select(key, "_trend", F.explode(F.sequence(F.lit(0), F.lit(ahead - 1))).alias("step"), ((F.col("_n") + F.col("step")) % period).alias("phase")) if ahead else None
+    if steps is None:
+        return r.limit(0).select(key, F.lit(0).cast("long").alias("step"), F.col("trend").alias("forecast"))
+    return steps.join(phases, [key, "phase"]).select(key, F.col("step").cast("long").alias("step"), (F.col("_trend") + F.col("season")).alias("forecast"))
+
+
+def merge_consecutive(df: DataFrame, key: str, start: str, end: str, text: str, gap: int = 500) -> DataFrame:
+    """Segments of a key joined where the next one begins less than `gap` after the end of the one before.
+
+    The joined segment ends where its last one does; texts are joined by a space, unless nothing is there yet.
+    """
+    w = W.partitionBy(key).orderBy(start, end, text)
+    new = F.greatest(F.col(start) - F.lag(end).over(w), F.lit(0)) >= gap
+    runs = df.withColumn("_new", F.coalesce(new.cast("int"), F.lit(1))).withColumn("_run", F.sum("_new").over(w))
+    parts = F.sort_array(F.collect_list(F.struct(F.col(start), F.col(end), F.coalesce(text, F.lit("")).alias("_t"))))
+    joined = F.aggregate(F.transform("_parts", lambda p: p["_t"]), F.lit(""), lambda acc, t: F.when(acc == "", t).otherwise(F.concat(acc, F.lit(" "), t)))
+    return runs.groupBy(key, "_run").agg(parts.alias("_parts")).select(key, F.col("_parts")[0][start].alias(start), F.element_at("_parts", -1)[end].alias(end), joined.alias(text), F.size("_parts").cast("long").alias("segments"))
+
+
+def timecode_breaks(df: DataFrame, key: str, frame: str, timecode: str) -> DataFrame:
+    """Rows that follow the frame before but not its timecode by one; (key, frame)."""
+    w = W.partitionBy(key).orderBy(frame)
+    broken = (F.col(frame) == F.lag(frame).over(w) + 1) & (F.col(timecode) != F.lag(timecode).over(w) + 1)
+    return df.withColumn("_broken", broken).where("_broken").select(key, frame)
+
+
+def autocorrelation(df: DataFrame, key: str, order: str, value: str, lags: int) -> DataFrame:
+    """(key, lag, r): the sum of products of a series and itself `lag` rows later, for lags 0 to `lags` - 1 below its length."""
+    w = W.partitionBy(key).orderBy(order)
+    v = F.col(value)
+    products = df.select(key, *[(v * F.lead(value, k).over(w) if k else v * v).alias(f"_{k}") for k in range(lags)])
+    sums = products.groupBy(key).agg(*[F.sum(f"_{k}").alias(f"_{k}") for k in range(lags)])
+    return sums.select(key, F.posexplode(F.array(*[f"_{k}" for k in range(lags)])).alias("lag", "r")).where("r IS NOT NULL").select(key, F.col("lag").cast("long").alias("lag"), "r")
+
+
+def capacity_window(df: DataFrame, key: str, order: list, capacity: int) -> DataFrame:
+    """The last `capacity` rows of each key: what a ring buffer of that size holds."""
+    return df.withColumn("_rank", F.row_number().over(W.partitionBy(key).orderBy(*[F.desc(c) for c in order]))).where(F.col("_rank") <= capacity).drop("_rank")
+
+
+def interleave(df: DataFrame, source: str, rank: str) -> DataFrame:
+    """Ranked lists taken in turns: all firsts by source, then all seconds, with a new `position` from 1.
+
+    The position is the number of rows with a lesser rank, and of those of the same rank from sources before.
+    """
+    below = df.groupBy(rank).agg(F.count("*").alias("_n"))
+    # one row a rank: as long as the longest list
+    before = below.withColumn("_before", F.sum("_n").over(W.orderBy(rank)) - F.col("_n")).drop("_n")
+    return df.join(before, rank).withColumn("position", (F.col("_before") + F.row_number().over(W.partitionBy(rank).orderBy(source))).cast("long")).drop("_before")

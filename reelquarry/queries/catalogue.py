@@ -6,12 +6,13 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from reelquarry.functions import scoring as S
 from reelquarry.functions import text as T
 from reelquarry.functions import vectors as X
 from reelquarry.operators import joins as J
 from reelquarry.operators import windows as Wn
 from reelquarry.registry import query
-from reelquarry.tables import RATINGS_SQL, load, ratings
+from reelquarry.tables import RATINGS_SQL, VIEWS_SQL, load, ratings, views
 
 R = f"WITH {RATINGS_SQL} "
 _DAYS = "CAST(floor(epoch(l_shipdate) / 86400) AS BIGINT)"
@@ -21,17 +22,30 @@ def _days(c: str) -> F.Column:
     return F.floor(F.unix_timestamp(F.col(c).cast("timestamp")) / 86400)
 
 
+#: The territory that stands for all.
+WORLD = "*"
+
+
 def _windows(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Rights windows: (id, holder, start_d, end_d) for one in forty suppliers' lines."""
-    return load(spark, sf_dir, "lineitem").select((F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("id"), F.col("l_suppkey").alias("holder"), _days("l_shipdate").alias("start_d"), (_days("l_shipdate") + F.col("l_quantity").cast("long")).alias("end_d"))
+    """Rights windows (id, holder, territory, start_d, end_d), one for each order line; one order in 4,096 is worldwide."""
+    territory = F.when(F.col("l_orderkey") % 4096 == 0, WORLD).otherwise(F.col("l_suppkey").cast("string"))
+    return load(spark, sf_dir, "lineitem").select((F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("id"), F.col("l_suppkey").alias("holder"), territory.alias("territory"), _days("l_shipdate").alias("start_d"), (_days("l_shipdate") + F.col("l_quantity").cast("long")).alias("end_d"))
 
 
-_WINDOWS_SQL = f"WITH w AS (SELECT l_orderkey * 10 + l_linenumber AS id, l_suppkey AS holder, {_DAYS} AS start_d, {_DAYS} + CAST(l_quantity AS BIGINT) AS end_d FROM lineitem) "
+_WINDOWS_SQL = f"WITH w AS (SELECT l_orderkey * 10 + l_linenumber AS id, l_suppkey AS holder, CASE WHEN l_orderkey % 4096 = 0 THEN '*' ELSE CAST(l_suppkey AS VARCHAR) END AS territory, {_DAYS} AS start_d, {_DAYS} + CAST(l_quantity AS BIGINT) AS end_d FROM lineitem) "
+_OVERLAP = "a.start_d < b.end_d AND b.start_d < a.end_d"
 
 
-@query("rights_overlaps", _WINDOWS_SQL + "SELECT a.id AS a_id, b.id AS b_id, greatest(a.start_d, b.start_d) AS from_t, least(a.end_d, b.end_d) AS to_t FROM w a JOIN w b ON a.holder = b.holder AND a.id < b.id AND a.start_d < b.end_d AND b.start_d < a.end_d")
+@query("rights_overlaps", _WINDOWS_SQL + f"SELECT a.id AS a_id, b.id AS b_id, greatest(a.start_d, b.start_d) AS from_t, least(a.end_d, b.end_d) AS to_t FROM w a JOIN w b ON a.territory = b.territory AND a.id < b.id AND {_OVERLAP} UNION ALL SELECT least(a.id, b.id), greatest(a.id, b.id), greatest(a.start_d, b.start_d), least(a.end_d, b.end_d) FROM w a JOIN w b ON a.territory = '*' AND b.territory <> '*' AND {_OVERLAP}")
 def rights_overlaps(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return J.interval_overlaps(_windows(spark, sf_dir), "id", "holder", "start_d", "end_d", 30)
+    return J.interval_overlaps(_windows(spark, sf_dir), "id", "territory", "start_d", "end_d", 30, WORLD)
+
+
+@query("conflict_counts", f"WITH {VIEWS_SQL}, w AS (SELECT event_id AS id, user_id AS holder, t AS start_d, t + 60 * CAST(floor(duration) AS BIGINT) AS end_d FROM views), k AS (SELECT * FROM w WHERE end_d > start_d) SELECT a.id, count(b.id) AS conflicts FROM k a LEFT JOIN k b ON a.holder = b.holder AND a.id <> b.id AND {_OVERLAP} GROUP BY 1")
+def conflict_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How many other viewings of its user each viewing (a minute for each unit of its value) overlaps."""
+    w = views(spark, sf_dir).select(F.col("event_id").alias("id"), F.col("user_id").alias("holder"), F.col("t").alias("start_d"), (F.col("t") + 60 * F.floor("duration")).alias("end_d"))
+    return J.overlap_counts(w, "id", "holder", "start_d", "end_d")
 
 
 @query("rights_gaps", _WINDOWS_SQL + ", n AS (SELECT holder, end_d AS gap_start, lead(start_d) OVER (PARTITION BY holder ORDER BY start_d, end_d) AS gap_end FROM w) SELECT * FROM n WHERE gap_end - gap_start > 3")
@@ -39,10 +53,12 @@ def rights_gaps(spark: SparkSession, sf_dir: str) -> DataFrame:
     return Wn.gaps(_windows(spark, sf_dir), "holder", "start_d", "end_d", 3)
 
 
-@query("rights_expiry", _WINDOWS_SQL + ", n AS (SELECT max(start_d) AS now FROM w) SELECT id, greatest(end_d - now, 0) AS days_left FROM w, n WHERE end_d <= now + 30 AND start_d >= now - 60")
+@query("rights_expiry", _WINDOWS_SQL + ", n AS (SELECT max(start_d) AS now FROM w) SELECT id, greatest(end_d - now, 0) * 86400 AS seconds_remaining, end_d <= now AS already_expired FROM w, n WHERE end_d <= now + 30")
 def rights_expiry(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every right that has ended or ends within 30 days of the latest start."""
     w = _windows(spark, sf_dir)
-    return w.crossJoin(F.broadcast(w.agg(F.max("start_d").alias("now")))).where("end_d <= now + 30 AND start_d >= now - 60").select("id", F.expr("greatest(end_d - now, 0L)").alias("days_left"))
+    # one row is broadcast
+    return w.crossJoin(F.broadcast(w.agg(F.max("start_d").alias("now")))).where("end_d <= now + 30").select("id", F.expr("greatest(end_d - now, 0L) * 86400L").alias("seconds_remaining"), F.expr("end_d <= now").alias("already_expired"))
 
 
 @query("usage_report", """SELECT CASE WHEN grouping(o_orderpriority) = 0 THEN 'type' WHEN grouping(o_orderstatus) = 0 THEN 'platform' ELSE 'all' END AS by_what, coalesce(o_orderpriority, o_orderstatus) AS value, count(*) AS n, round(sum(o_totalprice), 2) AS total
@@ -66,9 +82,10 @@ def royalty_by_holder(spark: SparkSession, sf_dir: str) -> DataFrame:
     return load(spark, sf_dir, "lineitem").groupBy(F.col("l_suppkey").alias("holder")).agg(F.sum(F.round(F.col("l_extendedprice") * 100).cast("long")).alias("cents"), F.round(royalty(F.sum("l_extendedprice"), 8.0, 1000.0), 2).alias("due"))
 
 
-@query("cost_rollup", """SELECT l_shipmode, l_returnflag, n FROM (SELECT l_linestatus AS l_shipmode, l_returnflag, count(*) AS n FROM lineitem GROUP BY ROLLUP (l_linestatus, l_returnflag))""")
+@query("cost_rollup", """SELECT l_linestatus AS region, l_returnflag AS tier, count(*) AS n, CAST(sum(CAST(round(l_extendedprice * (1 - l_discount) * 100) AS BIGINT)) AS BIGINT) AS cents FROM lineitem GROUP BY ROLLUP (l_linestatus, l_returnflag)""")
 def cost_rollup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return load(spark, sf_dir, "lineitem").rollup(F.col("l_linestatus").alias("l_shipmode"), "l_returnflag").agg(F.count("*").alias("n"))
+    cents = F.round(F.col("l_extendedprice") * (1 - F.col("l_discount")) * 100).cast("long")
+    return load(spark, sf_dir, "lineitem").rollup(F.col("l_linestatus").alias("region"), F.col("l_returnflag").alias("tier")).agg(F.count("*").alias("n"), F.sum(cents).alias("cents"))
 
 
 @query("clip_search_scored", """WITH s AS (SELECT p_partkey, (CASE WHEN contains(lower(p_name), 'a') THEN 10 ELSE 0 END + CASE WHEN lower(p_name) = 'a' THEN 20 ELSE 0 END + 5 * len(list_filter(string_split(p_type, ' '), lambda k: contains(lower(k), 'a'))) + CASE WHEN contains(lower(p_brand), 'a') THEN 3 ELSE 0 END)::DOUBLE AS score FROM part)
@@ -83,9 +100,9 @@ def clip_search_scored(spark: SparkSession, sf_dir: str) -> DataFrame:
     return load(spark, sf_dir, "part").select("p_partkey", score.cast("double").alias("score")).where("score > 0")
 
 
-@query("clip_filter", "SELECT p_partkey FROM part WHERE p_size BETWEEN 5 AND 20 AND p_retailprice >= 1000 AND list_contains(string_split(p_type, ' '), 'STEEL') ")
+@query("clip_filter", "SELECT p_partkey FROM part WHERE p_size BETWEEN 5 AND 20 AND p_retailprice >= 950 AND list_contains(string_split(p_type || ' ' || p_name, ' '), 'ECONOMY')")
 def clip_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return load(spark, sf_dir, "part").where(F.col("p_size").between(5, 20) & (F.col("p_retailprice") >= 1000) & F.array_contains(F.split("p_type", " "), "STEEL")).select("p_partkey")
+    return load(spark, sf_dir, "part").where(F.col("p_size").between(5, 20) & (F.col("p_retailprice") >= 950) & F.array_contains(F.split(F.concat_ws(" ", "p_type", "p_name"), " "), "ECONOMY")).select("p_partkey")
 
 
 @query("page_slice", "SELECT p_partkey, p_name FROM part ORDER BY p_name, p_partkey LIMIT 25 OFFSET 50")
@@ -93,15 +110,22 @@ def page_slice(spark: SparkSession, sf_dir: str) -> DataFrame:
     return load(spark, sf_dir, "part").select("p_partkey", "p_name").orderBy("p_name", "p_partkey").offset(50).limit(25)
 
 
-@query("collaborative_items", R + ", p AS (SELECT * FROM ratings WHERE item_id % 20 = 0) SELECT a.item_id AS item_a, b.item_id AS item_b, count(*) AS common, round(sum(a.rating * b.rating) / sqrt(sum(a.rating * a.rating) * sum(b.rating * b.rating)), 6) AS similarity FROM ratings a JOIN ratings b ON a.user_id = b.user_id AND a.item_id < b.item_id GROUP BY 1, 2 HAVING count(*) >= 2")
+@query("collaborative_items", R + "SELECT a.item_id AS item_a, b.item_id AS item_b, count(*) AS common, round(sum(a.rating * b.rating) / sqrt(sum(a.rating * a.rating) * sum(b.rating * b.rating)), 6) AS similarity FROM ratings a JOIN ratings b ON a.user_id = b.user_id AND a.item_id < b.item_id GROUP BY 1, 2 HAVING count(*) >= 2")
 def collaborative_items(spark: SparkSession, sf_dir: str) -> DataFrame:
     return J.item_neighbours(ratings(spark, sf_dir))
 
 
-@query("collaborative_users", R + """, n AS (SELECT user_id, sqrt(sum(rating * rating)) AS norm FROM ratings GROUP BY 1), d AS (SELECT a.user_id AS user_a, b.user_id AS user_b, sum(a.rating * b.rating) AS dot, count(*) AS common FROM ratings a JOIN ratings b ON a.item_id = b.item_id AND a.user_id < b.user_id GROUP BY 1, 2 HAVING count(*) >= 2)
-SELECT user_a, user_b, common, round(dot / (x.norm * y.norm), 6) AS cosine FROM d JOIN n x ON user_a = x.user_id JOIN n y ON user_b = y.user_id""")
+@query("collaborative_users", R + """, n AS (SELECT user_id, sqrt(sum(rating * rating)) AS norm FROM ratings GROUP BY 1), d AS (SELECT a.user_id AS user_a, b.user_id AS user_b, sum(a.rating * b.rating) AS dot, count(*) AS common, CASE WHEN stddev_pop(a.rating) * stddev_pop(b.rating) > 1e-12 THEN covar_pop(a.rating, b.rating) / (stddev_pop(a.rating) * stddev_pop(b.rating)) ELSE 0 END AS pearson FROM ratings a JOIN ratings b ON a.item_id = b.item_id AND a.user_id < b.user_id GROUP BY 1, 2 HAVING count(*) >= 2)
+SELECT user_a, user_b, common, round(dot / (x.norm * y.norm), 6) AS cosine, round(pearson, 6) + 0.0 AS pearson FROM d JOIN n x ON user_a = x.user_id JOIN n y ON user_b = y.user_id""")
 def collaborative_users(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return J.user_neighbours(ratings(spark, sf_dir)).select("user_a", "user_b", "common", "cosine")
+    return J.user_neighbours(ratings(spark, sf_dir)).select("user_a", "user_b", "common", "cosine", (F.round("pearson", 6) + 0.0).alias("pearson"))
+
+
+@query("item_neighbours_top", R + """, p AS (SELECT a.item_id AS item_a, b.item_id AS item_b, round(sum(a.rating * b.rating) / sqrt(sum(a.rating * a.rating) * sum(b.rating * b.rating)), 6) AS score FROM ratings a JOIN ratings b ON a.user_id = b.user_id AND a.item_id <> b.item_id GROUP BY 1, 2 HAVING count(*) >= 2)
+SELECT item_a AS node, item_b AS neighbour, score, row_number() OVER (PARTITION BY item_a ORDER BY score DESC, item_b) AS rank FROM p QUALIFY rank <= 10""")
+def item_neighbours_top(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The ten nearest items of every item."""
+    return J.best_neighbours(J.item_neighbours(ratings(spark, sf_dir)), "item_a", "item_b", "similarity", 10)
 
 
 @query("rating_statistics", R + "SELECT item_id, count(*) AS n, round(avg(rating), 6) AS mean, round(stddev_pop(rating), 6) AS std, count(*) FILTER (WHERE rating = 5) AS fives FROM ratings GROUP BY 1")
@@ -112,8 +136,11 @@ def rating_statistics(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("baseline_predict", R + ", g AS (SELECT avg(rating) AS mu FROM ratings WHERE rating > 0), u AS (SELECT user_id, avg(rating) AS m FROM ratings GROUP BY 1), i AS (SELECT item_id, avg(rating) AS m FROM ratings GROUP BY 1) SELECT user_id, item_id, round(least(greatest(mu + (u.m - mu) + (i.m - mu), 0), 5), 6) AS predicted FROM ratings JOIN u USING (user_id) JOIN i USING (item_id), g")
 def baseline_predict(spark: SparkSession, sf_dir: str) -> DataFrame:
     r = ratings(spark, sf_dir)
-    u, i = r.groupBy("user_id").agg(F.avg("rating").alias("um")), r.groupBy("item_id").agg(F.avg("rating").alias("im"))
-    mu = F.broadcast(r.where("rating > 0").agg(F.avg("rating").alias("mu")))
+    rated = F.col("rating") > 0
+    u = r.groupBy("user_id").agg(F.avg("rating").alias("um"), F.sum(F.when(rated, F.col("rating"))).alias("s"), F.count_if(rated).alias("c"))
+    i = r.groupBy("item_id").agg(F.avg("rating").alias("im"))
+    # the mean of all ratings comes from the users' sums; one row is broadcast
+    mu, u = F.broadcast(u.agg((F.sum("s") / F.sum("c")).alias("mu"))), u.drop("s", "c")
     return r.join(u, "user_id").join(i, "item_id").crossJoin(mu).selectExpr("user_id", "item_id", "round(least(greatest(um + im - mu, 0), 5), 6) AS predicted")
 
 
@@ -160,9 +187,13 @@ def vector_search_all(spark: SparkSession, sf_dir: str) -> DataFrame:
     return J.nearest(e, q, 20).select("query_id", "vec_id", F.round("cosine", 5).alias("cosine"), F.round("d", 5).alias("euclid"), F.round(1 / (1 + F.col("d")), 5).alias("similarity"), F.round("manhattan", 5).alias("manhattan"))
 
 
-@query("hamming_pairs", """WITH h AS (SELECT vec_id, list_transform(embedding, lambda x: CASE WHEN x > 0 THEN 1 ELSE 0 END) AS v FROM embeddings), p AS (SELECT a.vec_id AS a_id, b.vec_id AS b_id, CAST(list_sum(list_transform(list_zip(a.v, b.v), lambda x: abs(x[1] - x[2]))) AS INTEGER) AS distance FROM h a JOIN h b ON a.vec_id < b.vec_id) SELECT * FROM p WHERE distance <= 12""")
+@query("hamming_pairs", """WITH e AS (SELECT vec_id, embedding AS v FROM embeddings UNION ALL SELECT vec_id + 1000000, list_transform(embedding, lambda x, i: CASE WHEN i <= vec_id % 16 THEN -x ELSE x END) FROM embeddings), h AS (SELECT vec_id, list_transform(v, lambda x: CASE WHEN x > 0 THEN 1 ELSE 0 END) AS v FROM e),
+p AS (SELECT a.vec_id AS a_id, b.vec_id AS b_id, CAST(list_sum(list_transform(list_zip(a.v, b.v), lambda x: abs(x[1] - x[2]))) AS INTEGER) AS distance FROM h a JOIN h b ON a.vec_id < b.vec_id) SELECT * FROM p WHERE distance <= 12""")
 def hamming_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return J.hamming_pairs(load(spark, sf_dir, "embeddings").select("vec_id", X.sign_bits(F.col("embedding")).alias("bits")), "vec_id", "bits", 12)
+    """Sign hashes of all vectors and of copies with up to 15 signs turned."""
+    e = load(spark, sf_dir, "embeddings").select("vec_id", "embedding")
+    turned = e.select((F.col("vec_id") + 1_000_000).alias("vec_id"), F.transform("embedding", lambda x, i: F.when(i < F.col("vec_id") % 16, -x).otherwise(x)).alias("embedding"))
+    return J.hamming_pairs(e.union(turned).select("vec_id", X.sign_bits(F.col("embedding")).alias("bits")), "vec_id", "bits", 12)
 
 
 @query("text_track_statistics", """WITH c AS (SELECT conv_id, length(text) AS n, len(list_filter(regexp_split_to_array(text, '\\s+'), lambda t: t <> '')) AS w FROM conversations) SELECT conv_id, count(*) AS cues, CAST(sum(n) AS BIGINT) AS chars, CAST(sum(w) AS BIGINT) AS words, max(n) AS longest, count(*) FILTER (WHERE n > 500) AS fast FROM c GROUP BY 1""".replace("\\\\", "\\"))
@@ -175,14 +206,16 @@ def text_track_statistics(spark: SparkSession, sf_dir: str) -> DataFrame:
 f AS (SELECT doc_id, term, count(*) AS tf FROM t WHERE term IN ('idiot', 'license', 'public') GROUP BY 1, 2), d AS (SELECT term, count(*) AS df FROM f GROUP BY 1)
 SELECT doc_id, round(sum(ln((n - df + 0.5) / (df + 0.5) + 1) * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * dl / avgdl))), 5) AS score FROM f JOIN d USING (term) JOIN l USING (doc_id), a GROUP BY 1""")
 def bm25_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Two scans of the texts and no shuffle of rows: a one-row table of corpus figures, then a score in each row."""
     terms = ["idiot", "license", "public"]
-    d = load(spark, sf_dir, "documents").select("doc_id", T.tokens(F.col("text")).alias("tokens")).where(F.size("tokens") > 0)
-    stats = F.broadcast(d.agg(F.avg(F.size("tokens")).alias("avgdl"), F.count("*").alias("n")))
-    # term counts stay in the row: no token is exploded that isn't asked for
-    hits = d.select("doc_id", F.size("tokens").alias("dl"), F.explode(F.array(*[F.struct(F.lit(t).alias("term"), (F.size("tokens") - F.size(F.array_remove("tokens", t))).alias("tf")) for t in terms])).alias("h")).select("doc_id", "dl", "h.*").where("tf > 0")
-    df = F.broadcast(hits.groupBy("term").agg(F.count("*").alias("df")))
-    scored = hits.join(df, "term").crossJoin(stats)
-    return scored.groupBy("doc_id").agg(F.round(F.sum(T.bm25_term(F.col("tf"), T.bm25_idf(F.col("n"), F.col("df")), F.col("dl"), F.col("avgdl"))), 5).alias("score"))
+    words = load(spark, sf_dir, "documents").select("doc_id", T.tokens(F.col("text")).alias("tokens"))
+    # lengths and counts come from one pass over the tokens of a row
+    counted = words.select("doc_id", F.aggregate("tokens", F.array(*[F.lit(0)] * (len(terms) + 1)), lambda acc, t: F.zip_with(acc, F.array(F.lit(1), *[(t == x).cast("int") for x in terms]), lambda a, b: a + b)).alias("n"))
+    flat = counted.select("doc_id", F.col("n")[0].alias("dl"), *[F.col("n")[i + 1].alias(f"tf{i}") for i in range(len(terms))])
+    full = F.col("dl") > 0
+    stats = flat.agg(F.avg(F.when(full, F.col("dl"))).alias("avgdl"), F.count_if(full).alias("docs"), *[F.count_if(F.col(f"tf{i}") > 0).alias(f"df{i}") for i in range(len(terms))])
+    score = sum((F.when(F.col(f"tf{i}") > 0, T.bm25_term(F.col(f"tf{i}"), T.bm25_idf(F.col("docs"), F.col(f"df{i}")), F.col("dl"), F.col("avgdl"))).otherwise(0.0) for i in range(len(terms))), F.lit(0.0))
+    return flat.where(" OR ".join(f"tf{i} > 0" for i in range(len(terms)))).crossJoin(F.broadcast(stats)).select("doc_id", F.round(score, 5).alias("score"))
 
 
 @query("boolean_search", "SELECT doc_id FROM documents WHERE (contains(lower(text), 'idiot') OR contains(lower(text), 'stupid')) AND NOT contains(lower(text), 'scum') AND lang = 'en'")
@@ -200,8 +233,9 @@ def fuzzy_vocabulary(spark: SparkSession, sf_dir: str) -> DataFrame:
     return load(spark, sf_dir, "part").where(d.between(1, 2)).select("p_partkey", d.cast("long").alias("distance"), F.round(T.similarity_bytes(F.col("p_brand"), q), 6).alias("similarity"))
 
 
-@query("cache_keys", """WITH u AS (SELECT page_id, lower(split_part(url, '#', 1)) AS u FROM pages), p AS (SELECT page_id, regexp_replace(split_part(u, '?', 1), '/+$', '') AS path, array_to_string(list_sort(list_filter(string_split(CASE WHEN contains(u, '?') THEN substring(u, strpos(u, '?') + 1) END, '&'), lambda x: x <> '')), '&') AS q FROM u)
-SELECT page_id, CASE WHEN coalesce(q, '') = '' THEN path ELSE path || '?' || q END AS cache_key FROM p""")
+@query("cache_keys", """WITH u AS (SELECT page_id, lower(split_part(url, '#', 1)) AS u FROM pages), p AS (SELECT page_id, split_part(u, '?', 1) AS p, array_to_string(list_sort(list_filter(string_split(CASE WHEN contains(u, '?') THEN substring(u, strpos(u, '?') + 1) END, '&'), lambda x: x <> '')), '&') AS q FROM u),
+r AS (SELECT page_id, q, CASE WHEN ends_with(p, '/') AND NOT (CASE WHEN contains(p, '://') THEN regexp_matches(substring(p, strpos(p, '://') + 3), '^[^/]*/$') ELSE p = '/' END) THEN left(p, length(p) - 1) ELSE p END AS path FROM p)
+SELECT page_id, CASE WHEN coalesce(q, '') = '' THEN path ELSE path || '?' || q END AS cache_key FROM r""")
 def cache_keys(spark: SparkSession, sf_dir: str) -> DataFrame:
     return load(spark, sf_dir, "pages").select("page_id", T.cache_key(F.col("url")).alias("cache_key"))
 
@@ -214,17 +248,14 @@ def version_diff(spark: SparkSession, sf_dir: str) -> DataFrame:
     return J.table_diff(o.where("k % 7 <> 0"), new, "k", ["v"])
 
 
-@query("novelty", R + "SELECT item_id, round(-log2(count(DISTINCT user_id) / (SELECT count(DISTINCT user_id) FROM ratings)), 6) AS novelty FROM ratings GROUP BY 1")
+@query("novelty", R + ", g AS (SELECT item_id, count(DISTINCT user_id) / (SELECT count(DISTINCT user_id) FROM ratings) AS popularity FROM ratings GROUP BY 1) SELECT item_id, round(0.6 + 0.4 * (1 - least(popularity, 1)), 6) AS to_new_users, round(0.4 * (1 - least(popularity, 1)), 6) AS to_its_users FROM g")
 def novelty(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The novelty of every item to users who have not rated it, and to those who have."""
     r = ratings(spark, sf_dir)
-    return r.groupBy("item_id").agg(F.countDistinct("user_id").alias("u")).crossJoin(F.broadcast(r.agg(F.countDistinct("user_id").alias("n")))).select("item_id", F.round(-F.log2(F.col("u") / F.col("n")), 6).alias("novelty"))
-
-
-@query("unseen_items", R + "SELECT c.c_custkey AS user_id, p.p_partkey AS item_id FROM customer c JOIN part p ON c.c_custkey % 100 = p.p_partkey % 100 WHERE NOT EXISTS (SELECT 1 FROM ratings r WHERE r.user_id = c.c_custkey AND r.item_id = p.p_partkey)")
-def unseen_items(spark: SparkSession, sf_dir: str) -> DataFrame:
-    c = load(spark, sf_dir, "customer").select(F.col("c_custkey").alias("user_id"), (F.col("c_custkey") % 100).alias("k"))
-    p = load(spark, sf_dir, "part").select(F.col("p_partkey").alias("item_id"), (F.col("p_partkey") % 100).alias("k"))
-    return c.join(p, "k").drop("k").join(ratings(spark, sf_dir), ["user_id", "item_id"], "left_anti")
+    # one row is broadcast
+    g = r.groupBy("item_id").agg(F.countDistinct("user_id").alias("u")).crossJoin(F.broadcast(r.agg(F.countDistinct("user_id").alias("n"))))
+    share = F.col("u") / F.col("n")
+    return g.select("item_id", F.round(S.novelty(F.lit(True), share), 6).alias("to_new_users"), F.round(S.novelty(F.lit(False), share), 6).alias("to_its_users"))
 
 
 @query("recommended_items", R + """, n AS (SELECT user_id, sqrt(sum(rating * rating)) AS norm FROM ratings GROUP BY 1), d AS (SELECT a.user_id AS user_a, b.user_id AS user_b, sum(a.rating * b.rating) AS dot FROM ratings a JOIN ratings b ON a.item_id = b.item_id AND a.user_id <> b.user_id GROUP BY 1, 2),
@@ -235,22 +266,56 @@ def recommended_items(spark: SparkSession, sf_dir: str) -> DataFrame:
     return J.recommend_unseen(ratings(spark, sf_dir), 20)
 
 
-@query("dag_levels", """WITH RECURSIVE l AS (SELECT p_partkey AS node, CAST(floor(log2(greatest(p_partkey, 1))) AS BIGINT) AS level FROM part) SELECT node, level FROM l""")
+# parts as a graph with joins: from half and a third of the key, and for every seventh from the key before
+_EDGES_SQL = "e(src, dst) AS (SELECT p_partkey // 2, p_partkey FROM part WHERE p_partkey > 1 UNION SELECT p_partkey // 3, p_partkey FROM part WHERE p_partkey > 2 UNION SELECT p_partkey - 1, p_partkey FROM part WHERE p_partkey % 7 = 0 AND p_partkey > 0)"
+
+
+def _part_graph(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    n = load(spark, sf_dir, "part").select(F.col("p_partkey").alias("node"))
+    edges = n.where("node > 1").selectExpr("node div 2 AS src", "node AS dst").union(n.where("node > 2").selectExpr("node div 3", "node")).union(n.where("node % 7 = 0 AND node > 0").selectExpr("node - 1", "node"))
+    return n, edges.distinct()
+
+
+@query("dag_levels", f"WITH RECURSIVE {_EDGES_SQL}, p(node, d) AS (SELECT p_partkey, CAST(0 AS BIGINT) FROM part WHERE p_partkey NOT IN (SELECT dst FROM e) UNION SELECT e.dst, d + 1 FROM p JOIN e ON p.node = e.src) SELECT node, max(d) AS level FROM p GROUP BY 1")
 def dag_levels(spark: SparkSession, sf_dir: str) -> DataFrame:
     from reelquarry.operators.graph import topological_levels
 
-    n = load(spark, sf_dir, "part").select(F.col("p_partkey").alias("node"))
-    edges = n.where("node > 1").select(F.floor(F.col("node") / 2).alias("src"), F.col("node").alias("dst"))
-    return topological_levels(n, edges)
+    return topological_levels(*_part_graph(spark, sf_dir))
 
 
-@query("ancestors", """WITH RECURSIVE a(node, ancestor, depth) AS (SELECT p_partkey, p_partkey, CAST(0 AS BIGINT) FROM part WHERE p_partkey % 50 = 0 UNION ALL SELECT node, ancestor // 2, depth + 1 FROM a WHERE ancestor > 1) SELECT * FROM a""")
-def ancestors(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from reelquarry.operators.graph import ancestors as walk
+@query("graph_neighbours", f"WITH {_EDGES_SQL} SELECT src AS node, dst AS neighbour FROM e UNION SELECT dst, src FROM e")
+def graph_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from reelquarry.operators.graph import neighbours
 
-    n = load(spark, sf_dir, "part").select(F.col("p_partkey").alias("node"))
-    edges = n.where("node > 1").select(F.floor(F.col("node") / 2).alias("src"), F.col("node").alias("dst"))
-    return walk(n.where("node % 50 = 0"), edges)
+    return neighbours(_part_graph(spark, sf_dir)[1])
+
+
+@query("graph_ends", f"WITH {_EDGES_SQL} SELECT p_partkey AS node, CASE WHEN p_partkey NOT IN (SELECT dst FROM e) THEN CASE WHEN p_partkey NOT IN (SELECT src FROM e) THEN 'both' ELSE 'source' END ELSE 'sink' END AS side FROM part WHERE p_partkey NOT IN (SELECT dst FROM e) OR p_partkey NOT IN (SELECT src FROM e)")
+def graph_ends(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Nodes without predecessors or without successors."""
+    from reelquarry.operators.graph import roots
+
+    n, edges = _part_graph(spark, sf_dir)
+    back = edges.select(F.col("dst").alias("src"), F.col("src").alias("dst"))
+    first, last = roots(n, edges).withColumn("first", F.lit(True)), roots(n, back).withColumn("last", F.lit(True))
+    return first.join(last, "node", "full").select("node", F.when(F.col("first") & F.col("last"), "both").when(F.col("first"), "source").otherwise("sink").alias("side"))
+
+
+@query("graph_reachable", f"WITH RECURSIVE {_EDGES_SQL}, r(node) AS (SELECT 5 UNION SELECT e.dst FROM r JOIN e ON r.node = e.src) SELECT CAST(node AS BIGINT) AS node FROM r")
+def graph_reachable(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All that node 5 leads to."""
+    from reelquarry.operators.graph import reachable
+
+    n, edges = _part_graph(spark, sf_dir)
+    return reachable(n.where("node = 5"), edges)
+
+
+@query("call_hot_path", f"WITH RECURSIVE {_EDGES_SQL}, w AS (SELECT p_partkey AS node, p_retailprice + p_size AS v FROM part), b AS (SELECT src, max_by(dst, (coalesce(v, 0), dst)) AS child FROM e LEFT JOIN w ON dst = node GROUP BY 1), s AS (SELECT src AS node FROM e LEFT JOIN w ON src = node WHERE src NOT IN (SELECT dst FROM e) ORDER BY v DESC NULLS LAST, src DESC LIMIT 1), p(step, node) AS (SELECT CAST(0 AS BIGINT), node FROM s UNION ALL SELECT step + 1, child FROM p JOIN b ON p.node = b.src) SELECT * FROM p")
+def call_hot_path(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from reelquarry.operators.graph import hot_path
+
+    weights = load(spark, sf_dir, "part").select(F.col("p_partkey").alias("node"), (F.col("p_retailprice") + F.col("p_size")).alias("weight"))
+    return hot_path(_part_graph(spark, sf_dir)[1], weights)
 
 
 @query("ancestors_all", """WITH RECURSIVE a(node, ancestor, depth) AS (SELECT p_partkey, p_partkey, CAST(0 AS BIGINT) FROM part UNION ALL SELECT node, ancestor // 2, depth + 1 FROM a WHERE ancestor > 1) SELECT * FROM a""")

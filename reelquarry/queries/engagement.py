@@ -25,7 +25,8 @@ SELECT item_id, round(w * greatest(ln(u + 1), 1), 4) AS score, CAST(floor(w) AS
 FROM g ORDER BY score DESC, item_id LIMIT 20""")
 def trending_top(spark: SparkSession, sf_dir: str) -> DataFrame:
     v = views(spark, sf_dir)
-    return A.trending(v, _now(v).first().now).orderBy(F.desc("score"), "item_id").limit(20)
+    # one row is broadcast
+    return A.trending(v.crossJoin(F.broadcast(_now(v))), F.col("now")).orderBy(F.desc("score"), "item_id").limit(20)
 
 
 _PCT = V + """, r AS (SELECT kind, list_sort(list(duration)) AS v, count(*) AS n FROM views GROUP BY kind)
@@ -47,7 +48,7 @@ def metric_rollup_hour(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query("quality_pooling", V + """SELECT kind, count(*) AS n, round(avg(duration), 6) AS mean, round(count(*) / sum(1 / greatest(duration, 1e-10)), 6) AS harmonic,
-round(stddev_pop(duration), 6) AS std, round(greatest(least(1 - stddev_pop(duration) / avg(duration), 1), 0), 6) AS stability,
+round(stddev_pop(duration), 6) AS std, round(CASE WHEN count(*) < 2 THEN 1 WHEN abs(avg(duration)) < 1e-12 THEN CASE WHEN stddev_pop(duration) < 1e-12 THEN 1 ELSE 0 END ELSE greatest(least(1 - stddev_pop(duration) / avg(duration), 1), 0) END, 6) AS stability,
 round(avg(CASE WHEN duration < 50 THEN 1 ELSE 0 END), 6) AS below_50 FROM views GROUP BY kind""")
 def quality_pooling(spark: SparkSession, sf_dir: str) -> DataFrame:
     return A.summary_statistics(views(spark, sf_dir), ["kind"], "duration")
@@ -125,11 +126,11 @@ def familiarity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return v.groupBy("user_id", "item_id").agg(F.count("*").alias("n")).join(totals, "user_id").select("user_id", "item_id", F.round(F.col("n") / F.col("all_n"), 6).alias("familiarity"))
 
 
-@query("duration_histogram", V + """, e AS (SELECT min(duration) AS lo, greatest(ceil((max(duration) - min(duration)) / 10), 1) AS width FROM views),
+@query("duration_histogram", V + """, e AS (SELECT min(duration) AS lo, max(duration) AS hi, greatest(ceil((max(duration) - min(duration)) / 10), 1) AS width FROM views),
 c AS (SELECT least(CAST(floor((duration - lo) / width) AS BIGINT), 9) AS bucket, count(*) AS n FROM views, e GROUP BY 1)
-SELECT b.bucket, round(lo + b.bucket * width, 6) AS start, coalesce(n, 0) AS n FROM (SELECT unnest(range(10)) AS bucket) b CROSS JOIN e LEFT JOIN c USING (bucket)""")
+SELECT round(CASE WHEN lo = hi THEN hi ELSE lo + (b.bucket + 1) * width END, 6) AS upper, coalesce(n, 0) AS n FROM (SELECT unnest(range(10)) AS bucket) b CROSS JOIN e LEFT JOIN c USING (bucket) WHERE lo < hi OR b.bucket = 0""")
 def duration_histogram(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return A.histogram(views(spark, sf_dir), "duration", 10).withColumn("start", F.round("start", 6))
+    return A.histogram(views(spark, sf_dir), "duration", 10).withColumn("upper", F.round("upper", 6))
 
 
 @query("iqr_outliers", V + """, q AS (SELECT kind, quantile_cont(duration, 0.25) AS q1, quantile_cont(duration, 0.75) AS q3 FROM views GROUP BY 1 HAVING count(*) >= 4)
@@ -171,7 +172,7 @@ def session_statistics(spark: SparkSession, sf_dir: str) -> DataFrame:
 SELECT user_id, round(coalesce(100.0 * sum(CASE WHEN kind <> 'error' THEN held ELSE 0 END) / nullif(sum(held), 0), 0), 6) AS uptime_pct FROM h GROUP BY 1""")
 def uptime(spark: SparkSession, sf_dir: str) -> DataFrame:
     v = views(spark, sf_dir)
-    return Wn.uptime(v, "user_id", "t", F.col("kind") != "error", F.lit(_now(v).first().now))
+    return Wn.uptime(v.crossJoin(F.broadcast(_now(v))), "user_id", "t", F.col("kind") != "error", F.col("now"))
 
 
 @query("status_transitions", V + """, l AS (SELECT event_id, user_id, kind, lag(kind) OVER (PARTITION BY user_id ORDER BY t, event_id) AS previous FROM views)
@@ -188,13 +189,15 @@ def throughput_window(spark: SparkSession, sf_dir: str) -> DataFrame:
     return views(spark, sf_dir).select("event_id", F.round(F.sum("duration").over(w) * 8 / 3600, 6).alias("mbps"))
 
 
-@query("quota_window", V + """SELECT event_id, count(*) OVER (PARTITION BY user_id ORDER BY t RANGE BETWEEN 86400 PRECEDING AND CURRENT ROW) AS submitted,
-count(*) OVER (PARTITION BY user_id ORDER BY t RANGE BETWEEN 86400 PRECEDING AND CURRENT ROW) <= 3 AS allowed FROM views""")
+@query("quota_window", """WITH RECURSIVE """ + VIEWS_SQL + """, o AS (SELECT user_id, event_id, t, row_number() OVER (PARTITION BY user_id ORDER BY t, event_id) AS n FROM views),
+f AS (SELECT user_id, n, event_id, CAST(0 AS BIGINT) AS within, true AS allowed, CAST(NULL AS BIGINT) AS retry_after, [t] AS held FROM o WHERE n = 1
+UNION ALL SELECT o.user_id, o.n, o.event_id, len(k), len(k) < 3, CASE WHEN len(k) >= 3 THEN k[1] + 86400 - t END, CASE WHEN len(k) < 3 THEN list_append(k, t) ELSE k END
+FROM (SELECT o.*, list_filter(f.held, lambda x: x >= o.t - 86400) AS k FROM f JOIN o ON o.user_id = f.user_id AND o.n = f.n + 1) AS o)
+SELECT event_id, within, allowed, retry_after FROM f""")
 def quota_window(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from pyspark.sql import Window as W
+    from reelquarry.operators.quota import sliding_quota
 
-    n = F.count("*").over(W.partitionBy("user_id").orderBy("t").rangeBetween(-86400, 0))
-    return views(spark, sf_dir).select("event_id", n.alias("submitted"), (n <= 3).alias("allowed"))
+    return sliding_quota(views(spark, sf_dir), "user_id", ["t", "event_id"], "t", "event_id", 3, 86_400).drop("user_id")
 
 
 @query("frequency_buckets", V + """, u AS (SELECT min(t) AS lo, max(t) AS hi FROM views), s AS (SELECT unnest(range(0, (hi - lo) // 86400 + 1)) AS bucket FROM u),
@@ -211,13 +214,11 @@ def frequency_buckets(spark: SparkSession, sf_dir: str) -> DataFrame:
 i AS (SELECT *, row_number() OVER (PARTITION BY kind ORDER BY h) - 1 AS i FROM d),
 tr AS (SELECT *, CASE WHEN count(v) OVER c = 25 THEN avg(v) OVER c ELSE avg(v) OVER (PARTITION BY kind) END AS trend FROM i WINDOW c AS (PARTITION BY kind ORDER BY h ROWS BETWEEN 12 PRECEDING AND 12 FOLLOWING)),
 se AS (SELECT *, avg(v - trend) OVER (PARTITION BY kind, i % 24) AS season FROM tr), re AS (SELECT *, v - trend - season AS residual FROM se),
-st AS (SELECT *, stddev_pop(residual) OVER (PARTITION BY kind) AS s FROM re)
-SELECT kind, h, round(residual, 4) AS residual FROM st WHERE abs(residual) > 2.5 * s""")
+st AS (SELECT *, avg(residual) OVER (PARTITION BY kind) AS m, stddev_pop(residual) OVER (PARTITION BY kind) AS s FROM re)
+SELECT kind, h, round(residual, 4) AS residual FROM st WHERE s >= 1.1920929e-07 AND abs(residual - m) > 2.5 * s""")
 def seasonal_anomalies(spark: SparkSession, sf_dir: str) -> DataFrame:
     d = views(spark, sf_dir).groupBy("kind", F.floor(F.col("t") / 3600).alias("h")).agg(F.sum("duration").alias("v"))
-    r = Wn.seasonal(d, "kind", "h", "v", 24)
-    spread = r.groupBy("kind").agg(F.stddev_pop("residual").alias("s"))
-    return r.join(F.broadcast(spread), "kind").where("abs(residual) > 2.5 * s").select("kind", "h", F.round("residual", 4).alias("residual"))
+    return Wn.seasonal_anomalies(d, "kind", "h", "v", 24, 2.5).select("kind", "h", F.round("residual", 4).alias("residual"))
 
 
 @query("slo_compliance", V + "SELECT kind, round(100.0 * avg(CASE WHEN duration <= 200 THEN 1 ELSE 0 END), 6) AS latency_pct, round(100.0 * avg(CASE WHEN duration >= 20 THEN 1 ELSE 0 END), 6) AS throughput_pct FROM views GROUP BY 1")
@@ -231,20 +232,25 @@ round(1 / power(1 + age, 2), 6) AS poly, round(exp(-(age * age) / (2 * 48.0 * 48
 round(exp(-ln(2) * age / 24.0), 6) AS half, round(duration / power(age + 2, 1.8), 6) AS hn FROM a""")
 def decay_functions(spark: SparkSession, sf_dir: str) -> DataFrame:
     v = views(spark, sf_dir)
-    age = (F.lit(_now(v).first().now) - F.col("t")) / 3600.0
+    v = v.crossJoin(F.broadcast(_now(v)))
+    age = (F.col("now") - F.col("t")) / 3600.0
     cols = {"expo": S.exponential_decay(age, 24.0), "linear": S.linear_decay(age, 240.0), "loga": S.logarithmic_decay(age), "poly": S.polynomial_decay(age, 2), "gauss": S.gaussian_decay(age, 48.0), "half": S.half_life_weight(age, 24.0), "hn": S.hackernews_score(F.col("duration"), age)}
     return v.select("event_id", *[F.round(c, 6).alias(k) for k, c in cols.items()], S.step_decay(age, [(24, 1.0), (168, 0.5)], 0.1).alias("step"))
 
 
-@query("item_scores", V + """, g AS (SELECT item_id, count(*) FILTER (WHERE kind = 'purchase') AS up, count(*) FILTER (WHERE kind = 'error') AS down, count(*) AS n, avg(duration) AS m, max(t) AS last FROM views GROUP BY 1), a AS (SELECT sum(n) AS total FROM g)
-SELECT item_id, round(sign(up - down) * log10(greatest(abs(up - down), 1)) + last / 45000.0, 6) AS hot, round(m + sqrt(2) * sqrt(ln(total) / n), 6) AS ucb, round((1.0 + up) / (2 + up + down), 6) AS thompson,
-round(0.3 * n + 0.4 * m + 0.3 * up, 6) AS composite, round(greatest(m * 12.5 / 100, 20), 6) AS royalty FROM g, a""")
+@query("item_scores", V + """, n AS (SELECT max(t) AS now FROM views), g AS (SELECT item_id, count(*) FILTER (WHERE kind = 'purchase') AS up, count(*) FILTER (WHERE kind = 'error') AS down, count(*) AS n, avg(duration) AS m, min(t) AS first, max(t) AS last FROM views GROUP BY 1), a AS (SELECT sum(n) AS total FROM g)
+SELECT item_id, round(sign(up - down) * CASE WHEN up = down THEN 1 ELSE greatest(log10(abs(up - down)), 1) END + greatest(last - 1114293600, 0) / 45000.0, 6) AS hot, round(m + sqrt(2) * sqrt(ln(total) / g.n), 6) AS ucb, round((1.0 + up) / (2 + up + down), 6) AS thompson,
+round(0.3 * exp(-0.1 * (now - last) / 3600.0) + 0.4 * CASE WHEN g.n * 24 * 3600.0 / greatest(last - first, 3600) < 1 THEN 0 ELSE least(ln(g.n * 24 * 3600.0 / greatest(last - first, 3600)) / 10, 1) END + 0.3 * up / g.n, 6) AS composite, round(greatest(m * 12.5 / 100, 20), 6) AS royalty FROM g, a, n""")
 def item_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Scores of every item; views per hour are taken 24-fold, so that the series spans the velocity's range."""
     v = views(spark, sf_dir)
-    g = v.groupBy("item_id").agg(F.count_if(F.col("kind") == "purchase").alias("up"), F.count_if(F.col("kind") == "error").alias("down"), F.count("*").alias("n"), F.avg("duration").alias("m"), F.max("t").alias("last"))
-    g = g.crossJoin(F.broadcast(g.agg(F.sum("n").alias("total"))))
+    g = v.groupBy("item_id").agg(F.count_if(F.col("kind") == "purchase").alias("up"), F.count_if(F.col("kind") == "error").alias("down"), F.count("*").alias("n"), F.avg("duration").alias("m"), F.min("t").alias("first"), F.max("t").alias("last"))
+    # one row is broadcast
+    g = g.crossJoin(F.broadcast(g.agg(F.sum("n").alias("total"), F.max("last").alias("now"))))
     c = F.col
-    return g.select("item_id", F.round(S.reddit_hot_score(c("up"), c("down"), c("last")), 6).alias("hot"), F.round(S.ucb(c("m"), c("total"), c("n")), 6).alias("ucb"), F.round(S.thompson_mean(c("up"), c("down")), 6).alias("thompson"), F.round(S.trending_composite(c("n"), c("m"), c("up")), 6).alias("composite"), F.round(S.royalty(c("m"), 12.5, 20.0), 6).alias("royalty"))
+    hourly = c("n") * 24 * 3600.0 / F.greatest(c("last") - c("first"), F.lit(3600))
+    composite = S.trending_composite((c("now") - c("last")) / 3600.0, hourly, c("up") / c("n"))
+    return g.select("item_id", F.round(S.reddit_hot_score(c("up"), c("down"), c("last")), 6).alias("hot"), F.round(S.ucb(c("m"), c("total"), c("n")), 6).alias("ucb"), F.round(S.thompson_mean(c("up"), c("down")), 6).alias("thompson"), F.round(composite, 6).alias("composite"), F.round(S.royalty(c("m"), 12.5, 20.0), 6).alias("royalty"))
 
 
 @query("funnel", V + """, f AS (SELECT user_id, min(t) FILTER (WHERE kind = 'view') AS a, min(t) FILTER (WHERE kind = 'click') AS b, min(t) FILTER (WHERE kind = 'purchase') AS c FROM views GROUP BY 1)

@@ -3,6 +3,7 @@
 import os
 
 import duckdb
+import pandas as pd
 import pytest
 
 from reelquarry import registry
@@ -13,9 +14,9 @@ TABLES = "region nation customer supplier part orders lineitem events documents
 
 def _rows(df):
     def value(x):
-        if x is None or x != x:
+        if x is None or x is pd.NA or x != x:
             return None
-        return round(float(x), 3) if isinstance(x, float) else x
+        return round(float(x), 6) + 0.0 if isinstance(x, float) else x
 
     df = df[sorted(df.columns)].astype(object)
     return sorted((tuple(value(x) for x in r) for r in df.itertuples(index=False)), key=repr)
@@ -38,4 +39,4 @@ def test_matches_sql(spark, duck, name):
     a, b = _rows(got), _rows(want)
     assert len(a) == len(b)
     for x, y in zip(a, b, strict=True):
-        assert all(u == v or abs(u - v) < 0.01 for u, v in zip(x, y, strict=True) if not (u is None and v is None)), (x, y)
+        assert all(u == v or abs(u - v) <= 2e-6 * max(1, abs(u)) for u, v in zip(x, y, strict=True) if not (u is None and v is None)), (x, y)
