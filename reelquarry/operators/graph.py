@@ -102,3 +102,23 @@ def hot_path(edges: DataFrame, weights: DataFrame) -> DataFrame:
     while (step := best.where(F.col("node") == path[-1]).first()) is not None and step.child not in path:
         path.append(step.child)
     return spark.createDataFrame(list(enumerate(path)), f"step long, node {dict(sources.dtypes)['node']}")
+
+
+def components(edges: DataFrame) -> DataFrame:
+    """(node, component): the least node that each node's links (src, dst) lead to; nodes without a link are left out.
+
+    Large and small stars in turns: greater neighbours move to the least one, then smaller ones and the node do. Each
+    round is checkpointed; the number of rounds grows with the logarithm of the longest path.
+    """
+    known = checkpoint(edges.where("src <> dst").select(F.greatest("src", "dst").alias("u"), F.least("src", "dst").alias("v")).distinct())
+    size = None
+    while True:
+        both = known.union(known.select(F.col("v").alias("u"), F.col("u").alias("v")))
+        least = both.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m"))
+        grown = both.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
+        least = grown.groupBy("u").agg(F.min("v").alias("m"))
+        known = checkpoint(grown.join(least, "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")).union(least.select("u", "m")).distinct())
+        state = tuple(known.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(20,0)"))).first())
+        if state == size:
+            return known.groupBy(F.col("u").alias("node")).agg(F.min("v").alias("component")).union(known.select("v", "v").distinct())
+        size = state

@@ -218,12 +218,43 @@ def bm25_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     return flat.where(" OR ".join(f"tf{i} > 0" for i in range(len(terms)))).crossJoin(F.broadcast(stats)).select("doc_id", F.round(score, 5).alias("score"))
 
 
-@query("boolean_search", "SELECT doc_id FROM documents WHERE (contains(lower(text), 'idiot') OR contains(lower(text), 'stupid')) AND NOT contains(lower(text), 'scum') AND lang = 'en'")
+_WORDS_SQL = r"WITH w AS (SELECT doc_id, lang, source, text, n_chars, list_filter(regexp_split_to_array(lower(text), '[^\p{L}\p{N}_]+'), lambda x: x <> '') AS w FROM documents) "
+
+
+@query("boolean_search", _WORDS_SQL + "SELECT doc_id FROM w WHERE (list_contains(w, 'idiot') OR list_contains(w, 'stupid')) AND NOT list_contains(w, 'scum') AND lang = 'en'")
 def boolean_search(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from reelquarry.plans.search import And, Field, Not, Or, Term, compile_query
+    from reelquarry.plans.search import And, Field, Not, Or, Term, search
 
     ast = And(Or(Term("idiot"), Term("stupid")), Not(Term("scum")), Field("lang", "en"))
-    return load(spark, sf_dir, "documents").where(compile_query(ast, "text")).select("doc_id")
+    return search(load(spark, sf_dir, "documents"), ast, "text").select("doc_id")
+
+
+@query("phrase_search", _WORDS_SQL + "SELECT doc_id, contains(' ' || array_to_string(w, ' ') || ' ', ' public license ') AS adjacent FROM w WHERE list_contains(w, 'public') AND list_contains(w, 'license') AND n_chars BETWEEN 100 AND 20000")
+def phrase_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents with all words of a phrase, and whether they stand together."""
+    from reelquarry.plans.search import And, Phrase, Range, compile_query, search
+
+    words = ("public", "license")
+    found = search(load(spark, sf_dir, "documents"), And(Phrase(words), Range("n_chars", 100, 20_000)), "text")
+    return found.select("doc_id", compile_query(Phrase(words, adjacent=True), "text").alias("adjacent"))
+
+
+@query("clip_search", "SELECT p_partkey FROM part WHERE (contains(lower(p_name), 'ring') OR contains(lower(p_brand), 'ring') OR contains(lower(p_type), 'ring')) AND (contains(lower(p_name), 'red') OR contains(lower(p_brand), 'red') OR contains(lower(p_type), 'red')) AND p_size BETWEEN 5 AND 45")
+def clip_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Parts in which every word of the query is in the name, brand or type, within a range of ratings."""
+    from reelquarry.plans.search import all_terms, rating_predicate
+
+    return load(spark, sf_dir, "part").where(all_terms(["p_name", "p_brand", "p_type"], "Ring red") & rating_predicate("p_size", least=5, most=45)).select("p_partkey")
+
+
+@query("clip_query", "SELECT p_partkey FROM part WHERE p_name LIKE '%ring%' AND p_size >= 20 AND p_partkey % 2 = 0")
+def clip_query(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Parts as clips, through the SQL builder."""
+    from reelquarry.plans.search import ClipQuery
+
+    clips = load(spark, sf_dir, "part").selectExpr("p_partkey", "p_name AS name", "p_size AS rating", "p_partkey % 2 = 0 AS is_favorite", "p_retailprice AS created_at")
+    q = ClipQuery("{clips}").name("ring").least_rating(20).favorite(True)
+    return spark.sql(q.sql(), args=q.args, clips=clips).select("p_partkey")
 
 
 @query("fuzzy_vocabulary", """SELECT p_partkey, levenshtein(p_brand, 'Brand#11') AS distance, round(1 - levenshtein(p_brand, 'Brand#11') / greatest(strlen(p_brand), 8), 6) AS similarity FROM part WHERE levenshtein(p_brand, 'Brand#11') BETWEEN 1 AND 2""")
