@@ -212,9 +212,9 @@ def signal_peaks(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query("autocorrelation", V + f""", {_DAILY}, i AS (SELECT kind, v, row_number() OVER (PARTITION BY kind ORDER BY d) AS i FROM d)
-SELECT a.kind, b.i - a.i AS lag, round(sum(a.v * b.v), 2) AS r FROM i a JOIN i b ON a.kind = b.kind AND b.i - a.i BETWEEN 0 AND 4 GROUP BY 1, 2""")
+SELECT a.kind, b.i - a.i AS lag, round(sum(a.v * b.v) / 1e6, 4) AS r FROM i a JOIN i b ON a.kind = b.kind AND b.i - a.i BETWEEN 0 AND 4 GROUP BY 1, 2""")
 def autocorrelation(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return Wn.autocorrelation(_daily(spark, sf_dir), "kind", "d", "v", 5).select("kind", "lag", F.round("r", 2).alias("r"))
+    return Wn.autocorrelation(_daily(spark, sf_dir), "kind", "d", "v", 5).select("kind", "lag", F.round(F.col("r") / 1e6, 4).alias("r"))
 
 
 @query("seasonal_forecast", V + """, d AS (SELECT kind, t // 3600 AS h, sum(duration) AS v FROM views GROUP BY 1, 2), i AS (SELECT *, row_number() OVER (PARTITION BY kind ORDER BY h) - 1 AS i, count(*) OVER (PARTITION BY kind) AS n FROM d),

@@ -59,11 +59,12 @@ def _methods(spark: SparkSession, sf_dir: str) -> DataFrame:
 _WEIGHT = "CASE method " + " ".join(f"WHEN '{k}' THEN {v}" for k, v in WEIGHTS.items()) + " ELSE 0 END"
 
 
-@query("hybrid_merge", f"WITH {RATINGS_SQL}, {VIEWS_SQL}, {_METHODS}, s AS (SELECT item_id, round(sum(score * {_WEIGHT}), 6) AS score FROM m GROUP BY 1) SELECT item_id, score, row_number() OVER (ORDER BY score DESC, item_id) AS rank FROM s QUALIFY rank <= 200")
+@query("hybrid_merge", f"WITH {RATINGS_SQL}, {VIEWS_SQL}, {_METHODS}, s AS (SELECT item_id, round(sum(score * {_WEIGHT}) + 1e-9, 6) AS score FROM m GROUP BY 1) SELECT item_id, score, row_number() OVER (ORDER BY score DESC, item_id) AS rank FROM s QUALIFY rank <= 200")
 def hybrid_merge(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The 200 best items by the weighted sum of four methods; unknown methods weigh nothing."""
     weights = F.create_map(*[F.lit(x) for pair in WEIGHTS.items() for x in pair])
-    s = _methods(spark, sf_dir).groupBy("item_id").agg(F.round(F.sum(F.col("score") * F.coalesce(F.try_element_at(weights, F.col("method")), F.lit(0.0))), 6).alias("score"))
+    # a little is added so that sums that end in a half round alike in any order of their parts
+    s = _methods(spark, sf_dir).groupBy("item_id").agg(F.round(F.sum(F.col("score") * F.coalesce(F.try_element_at(weights, F.col("method")), F.lit(0.0))) + 1e-9, 6).alias("score"))
     top = s.orderBy(F.desc("score"), "item_id").limit(200)
     # 200 rows
     return top.withColumn("rank", F.row_number().over(W.orderBy(F.desc("score"), "item_id")).cast("long"))

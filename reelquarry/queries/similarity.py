@@ -264,7 +264,7 @@ def text_diffs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return text_diff(c.select((F.col("conv_id") * 1000 + F.col("turn")).alias("id"), old.alias("old"), "text"), "id", "old", "text")
 
 
-@query("scalar_scores", "SELECT p_partkey, round(0.5 * p_size + 0.3 * (p_size / 50.0) * 100 + 0.2 * least(greatest((p_size - 20) / 30.0 * 100, 0), 100), 6) AS quality, round((p_retailprice - 950) / 950 * 1e6, 4) AS ppm, round(2 * 6371.0 * asin(sqrt(power(sin(radians(p_size - 10) / 2), 2) + cos(radians(10)) * cos(radians(p_size)) * power(sin(radians(20) / 2), 2))), 4) AS km, round((p_size - 25.0) / 14.0, 6) AS z, round(p_size * 0.2 + p_retailprice * 0.01, 6) AS linear, greatest(p_size * (1 - 0.02), 0.01)::DOUBLE AS epsilon FROM part")
+@query("scalar_scores", "SELECT p_partkey, round(0.5 * p_size + 0.3 * (p_size / 50.0) * 100 + 0.2 * least(greatest((p_size - 20) / 30.0 * 100, 0), 100), 6) AS quality, round((p_retailprice - 950) / 950 * 1e6, 4) AS ppm, round(2 * 6371.0 * asin(sqrt(power(sin(radians(p_size - 10) / 2), 2) + cos(radians(10)) * cos(radians(p_size)) * power(sin(radians(20) / 2), 2))), 4) AS km, round((p_size - 25.0) / 14.0, 6) AS z, round(p_size * 0.2 + p_retailprice * 0.01, 6) AS linear, round(greatest(p_size * (1 - 0.02), 0.01), 6)::DOUBLE AS epsilon FROM part")
 def scalar_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     s, one = F.col("p_size").cast("double"), F.lit
     made = {
@@ -273,7 +273,7 @@ def scalar_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
         "km": F.round(C.haversine_km(one(10.0), one(0.0), s, one(20.0)), 4),
         "z": F.round(C.z_score(s, one(25.0), one(14.0)), 6),
         "linear": F.round(X.linear_score(F.array(s, F.col("p_retailprice")), [0.2, 0.01]), 6),
-        "epsilon": C.epsilon_decay(s, 0.02),
+        "epsilon": F.round(C.epsilon_decay(s, 0.02), 6),
     }
     return load(spark, sf_dir, "part").select("p_partkey", *[c.alias(k) for k, c in made.items()])
 

@@ -9,9 +9,10 @@ from pyspark.sql import functions as F
 MEDIA = ("mp4", "mkv", "webm", "mov", "ogg", "flac", "wav", "mp3", "ts", "jpg", "png")
 
 
-def scan_media(spark: SparkSession, path: str, extensions: tuple[str, ...] = MEDIA, content: bool = False) -> DataFrame:
-    """path, modificationTime, length and extension of media files below a folder; bytes only on demand."""
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path)
+def scan_media(spark: SparkSession, path: str, extensions: tuple[str, ...] = MEDIA, content: bool = False, glob: str | None = None, recursive: bool = True) -> DataFrame:
+    """path, modificationTime, length and extension of media files of a folder, by name pattern if given; bytes only on demand."""
+    reader = spark.read.format("binaryFile").option("recursiveFileLookup", str(recursive).lower())
+    files = (reader.option("pathGlobFilter", glob) if glob else reader).load(path)
     ext = F.lower(F.regexp_extract("path", r"\.([^./]+)$", 1))
     out = files.withColumn("extension", ext).where(F.col("extension").isin(*extensions))
     return out if content else out.drop("content")
@@ -62,3 +63,24 @@ def edl_line(number: Column, reel: Column, src_in: Column, src_out: Column, fps:
     from reelquarry.functions.text import timecode
 
     return F.format_string("%03d  %-8s V     C        %s %s", number, reel, timecode(src_in, fps), timecode(src_out, fps))
+
+
+def import_clips(spark: SparkSession, path: str, into: str, extensions: tuple[str, ...] = MEDIA) -> DataFrame:
+    """Adds the media files of a folder to a clip table (file_path, name, extension, size, created_at); files that it has already are left out."""
+    found = scan_media(spark, path, extensions)
+    name = F.regexp_replace(F.regexp_extract("path", r"([^/]+)$", 1), r"\.[^.]+$", "")
+    clips = found.select(F.col("path").alias("file_path"), name.alias("name"), "extension", F.col("length").alias("size"), F.col("modificationTime").alias("created_at"))
+    jvm_path = spark._jvm.org.apache.hadoop.fs.Path(into)
+    if jvm_path.getFileSystem(spark._jsc.hadoopConfiguration()).exists(jvm_path):
+        clips = clips.join(spark.read.parquet(into).select("file_path"), "file_path", "left_anti")
+    clips.write.mode("append").parquet(into)
+    return spark.read.parquet(into)
+
+
+def drain(stream: DataFrame, handle, checkpoint: str):
+    """Hands all that has arrived to `handle(batch, number)` in micro-batches, then ends; the checkpoint keeps what was handed over."""
+    return stream.writeStream.foreachBatch(handle).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+
+
+def namespaces(spark: SparkSession) -> DataFrame:
+    return spark.sql("SHOW NAMESPACES")

@@ -44,3 +44,18 @@ def z_scores(events: DataFrame, window: int = 20) -> DataFrame:
         yield pd.DataFrame(out, columns=["kind", "event_id", "z"])
 
     return events.groupBy("kind").applyInPandasWithState(score, "kind string, event_id long, z double", "values array<double>", "append", GroupStateTimeout.NoTimeout)
+
+
+# fixed values: event kinds that count as critical
+CRITICAL = ("error",)
+
+
+def critical(events: DataFrame, kinds: tuple[str, ...] = CRITICAL) -> DataFrame:
+    return events.where(F.col("kind").isin(*kinds))
+
+
+def flow_statistics(packets: DataFrame, size: str = "1 minute", late: str = LATE) -> DataFrame:
+    """Loss rate, mean jitter and bit rate of packets (flow, ts, sent, lost, jitter_ms, bytes) by window; 0 where nothing was sent."""
+    grouped = packets.withWatermark("ts", late).groupBy("flow", F.window("ts", size).alias("w")).agg(F.sum("sent").alias("sent"), F.sum("lost").alias("lost"), F.avg("jitter_ms").alias("jitter_ms"), F.sum("bytes").alias("bytes"))
+    seconds = F.unix_timestamp("w.end") - F.unix_timestamp("w.start")
+    return grouped.select("flow", F.col("w.start").alias("start_ts"), F.coalesce(F.try_divide(F.col("lost"), F.col("sent")), F.lit(0.0)).alias("loss_rate"), F.coalesce("jitter_ms", F.lit(0.0)).alias("jitter_ms"), (F.col("bytes") * 8.0 / seconds).alias("bps"))
