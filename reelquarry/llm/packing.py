@@ -112,10 +112,12 @@ class WordTokenizer:
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         from tokenizers import Tokenizer
 
-        self.library = Tokenizer.from_file(path)
+        # words are encoded without regard to added tokens; a text that holds one goes to the library as it is
+        self.library, self.whole = Tokenizer.from_file(path), Tokenizer.from_file(path)
         self.library.encode_special_tokens = True
         with open(path, encoding="utf-8") as f:
             spec = json.load(f)
+        self.added = [t["content"].lower() for t in spec.get("added_tokens") or []]
         kinds = [n["type"] for n in (spec.get("normalizer") or {}).get("normalizers", [])]
         split = [p for p in (spec.get("pre_tokenizer") or {}).get("pretokenizers", []) if p["type"] == "Split"]
         self.by_word = kinds == ["NFC", "Replace", "Lowercase"] and len(split) == 1 and split[0]["behavior"] == "Removed" and split[0]["invert"]
@@ -134,17 +136,18 @@ class WordTokenizer:
         """Ids of each text as little-endian unsigned 32-bit integers; words that are new go to the library in one batch."""
         memo, found = self.memo, []
         for text in texts:
-            if not self.by_word or self.odd.search(text) or (not text.isascii() and self.rare.search(text)):
+            low = text.lower()
+            if not self.by_word or any(t in low for t in self.added) or self.odd.search(text) or (not text.isascii() and self.rare.search(text)):
                 found.append(None)
             else:
                 # the letters that remain are composed already, so NFC changes nothing
-                found.append(self.words.findall(text.lower()))
+                found.append(self.words.findall(low))
         if len(memo) > MEMO:
             memo.clear()
         new = list({w for words in found if words for w in words}.difference(memo))
         for at in range(0, len(new), TOGETHER):
             self._learn(new[at : at + TOGETHER])
-        whole = (np.array(self.library.encode(t, add_special_tokens=False).ids, "<u4").tobytes() if f is None else b"".join([memo[w] for w in f]) for t, f in zip(texts, found, strict=True))
+        whole = (np.array(self.whole.encode(t, add_special_tokens=False).ids, "<u4").tobytes() if f is None else b"".join([memo[w] for w in f]) for t, f in zip(texts, found, strict=True))
         return list(whole)
 
     def _learn(self, words: list[str]) -> None:
@@ -172,8 +175,8 @@ def tokenizer(path: str) -> WordTokenizer:
 def pack_documents(docs: DataFrame, path: str, window: int = WINDOW, end_id: int = END_ID) -> DataFrame:
     """(doc_id, text) -> one row per piece: where it lies in its document and in which window.
 
-    Null text counts as empty and gives the end id alone. Repeated rows are packed each; ties in
-    length are placed by doc_id and text order of the input. An empty table gives no rows.
+    Null text counts as empty and gives the end id alone. Repeated rows are packed each; pieces of equal
+    length are placed in the order of the input partition. An empty table gives no rows.
     """
     prepare(docs.sparkSession)
     tail = np.array([end_id], "<u4").tobytes()

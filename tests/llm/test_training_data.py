@@ -110,11 +110,10 @@ def test_word_tokenizer_equals_library():
 
     path = public_tokenizers.path("word_bpe_49k.json")
     library = Tokenizer.from_file(path)
-    library.encode_special_tokens = True
     plain, r = [chr(c) for a, b in PLAIN for c in range(a, b + 1)], random.Random(3)
     mixed = plain[:128] + list("'stremld'’ éÉ½²³ªº \u0085\x1c漢字🙂\u0301")
     texts = ["".join(r.choice(mixed if i % 3 else plain) for _ in range(r.randint(0, 60))) for i in range(600)]
-    texts += ["<|endoftext|> <|startoftext|>", "</w> w</w>", "it's 'S'tree 'll'd", "", *plain, *["a" + c + "'s" for c in plain]]
+    texts += ["<|endoftext|> <|startoftext|>", "a <|EndOfText|> b", "x<|endoftext|>y z", "</w> w</w>", "it's 'S'tree 'll'd", "", *plain, *["a" + c + "'s" for c in plain]]
     got = WordTokenizer(path).encode_many(texts)
     assert [np.frombuffer(b, "<u4").tolist() for b in got] == [library.encode(t, add_special_tokens=False).ids for t in texts]
 
