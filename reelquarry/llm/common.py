@@ -93,6 +93,34 @@ def join_classes(rows: DataFrame, table: DataFrame, keys: list[str], classes: Da
     return few.unionByName(many)
 
 
+#: Parts in which the tables of one chunk are summed before they meet.
+SUM_PARTS = 64
+
+
+def sum_tables(rows: DataFrame, dtype: str, chunks: int) -> list:
+    """Rows (chunk, sums) of the tables (chunk int, counts binary of `dtype`) summed by chunk, as 64-bit integers.
+
+    Every task of the scan sent a table: they are summed in parts first, so that no task reads all of a chunk.
+    """
+
+    def total(kind: str):
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            import numpy as np
+
+            sums: dict = {}
+            for batch in batches:
+                for chunk, raw in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                    part = np.frombuffer(raw, kind).astype("<i8")
+                    sums[chunk] = sums[chunk] + part if chunk in sums else part
+            yield pa.RecordBatch.from_arrays([pa.array(list(sums), pa.int32()), pa.array([v.tobytes() for v in sums.values()], pa.binary())], names=["chunk", "sums"])
+
+        return run
+
+    schema = "chunk int, sums binary"
+    partial = rows.select("chunk", "counts").repartition(shuffle_partitions(rows.sparkSession), "chunk", F.pmod(F.xxhash64("counts"), F.lit(SUM_PARTS))).mapInArrow(total(dtype), schema)
+    return partial.repartition(min(chunks, shuffle_partitions(rows.sparkSession)), "chunk").mapInArrow(total("<i8"), schema).collect()
+
+
 def shuffle_partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 

@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from reelquarry.llm.common import documents, join_classes, materialize, prepare, shuffle_partitions, slices
+from reelquarry.llm.common import documents, join_classes, materialize, prepare, shuffle_partitions, slices, sum_tables
 from reelquarry.llm.graph import connected_components
 from reelquarry.llm.signature_tree import SignatureTree
 
@@ -125,20 +125,9 @@ def _sketch(width: int):
 
 def _frequency_levels(sketch: DataFrame) -> np.ndarray:
     """Quantised frequency of each slot: a table of fixed size, summed by the executors."""
-
-    def total(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        sums: dict[int, np.ndarray] = {}
-        for batch in batches:
-            for chunk, raw in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                part = np.frombuffer(raw, "<u2").astype(np.int64)
-                sums[chunk] = sums[chunk] + part if chunk in sums else part
-        levels = [np.minimum(4 * np.log2(s + 1.0), 255).astype(np.uint8).tobytes() for s in sums.values()]
-        yield pa.RecordBatch.from_arrays([pa.array(list(sums), pa.int32()), pa.array(levels, pa.binary())], names=["chunk", "levels"])
-
-    rows = sketch.where("kind = 1").select("chunk", "counts").repartition(min(CHUNKS, shuffle_partitions(sketch.sparkSession)), "chunk").mapInArrow(total, "chunk int, levels binary").collect()
     table = np.zeros((CHUNKS, (1 << SLOT_BITS) // CHUNKS), np.uint8)
-    for r in rows:
-        table[r.chunk] = np.frombuffer(r.levels, np.uint8)
+    for r in sum_tables(sketch.where("kind = 1"), "<u2", CHUNKS):
+        table[r.chunk] = np.minimum(4 * np.log2(np.frombuffer(r.sums, "<i8") + 1.0), 255).astype(np.uint8)
     return table.ravel()
 
 

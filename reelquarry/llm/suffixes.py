@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from reelquarry.llm.common import documents, join_classes, materialize, prepare, shuffle_partitions, slices
+from reelquarry.llm.common import documents, join_classes, materialize, prepare, shuffle_partitions, slices, sum_tables
 
 LENGTH = 400
 #: Anchor k-grams are this share of the window.
@@ -156,19 +156,9 @@ def _sketch(length: int, gram: int):
 
 def _heat_levels(sketch: DataFrame, hot: int, hotter: int) -> np.ndarray:
     """0, 1 or 2 for each slot; the counts are summed by the executors and come as a table of fixed size."""
-
-    def total(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        sums: dict[int, np.ndarray] = {}
-        for batch in batches:
-            for chunk, raw in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                part = np.frombuffer(raw, "<u4").astype("<i8")
-                sums[chunk] = sums[chunk] + part if chunk in sums else part
-        yield pa.RecordBatch.from_arrays([pa.array(list(sums), pa.int32()), pa.array([v.tobytes() for v in sums.values()], pa.binary())], names=["chunk", "sums"])
-
-    rows = sketch.where("kind = 1").select("chunk", "counts").repartition(min(CHUNKS, shuffle_partitions(sketch.sparkSession)), "chunk").mapInArrow(total, "chunk int, sums binary").collect()
     table = np.zeros((CHUNKS, (1 << SLOT_BITS) // CHUNKS), np.int64)
-    for r in rows:
-        table[r.chunk] += np.frombuffer(r.sums, "<i8")
+    for r in sum_tables(sketch.where("kind = 1"), "<u4", CHUNKS):
+        table[r.chunk] = np.frombuffer(r.sums, "<i8")
     mean = table.sum() / table.size
     return ((table > max(hot, HOT_MEANS * mean)).astype(np.uint8) + (table > max(hotter, HOTTER_MEANS * mean, hot))).ravel()
 
