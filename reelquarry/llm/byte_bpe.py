@@ -15,6 +15,8 @@ from __future__ import annotations
 
 import base64
 import hashlib
+from array import array
+from bisect import bisect_left
 from collections.abc import Iterator
 from concurrent.futures import ThreadPoolExecutor
 from functools import lru_cache
@@ -31,8 +33,9 @@ CHUNK = 1 << 13
 OVERLAP = 1 << 9
 #: Characters by which a chunk's own last matches may lack right context.
 MARGIN = 64
-#: Entries of the memo of encoded pre-tokens; at that size it starts anew.
+#: Entries of the memo of encoded pre-tokens; at that size a new one begins, and the full one is kept for another turn.
 MEMO = 200_000
+NO_RANK = 1 << 62
 
 
 class ByteBPE:
@@ -47,6 +50,7 @@ class ByteBPE:
         self.pattern = regex.compile(pattern)
         self.chunk, self.overlap = chunk, overlap
         self.memo: dict[str, bytes] = {}
+        self.before: dict[str, bytes] = {}
 
     def _merge(self, piece: bytes) -> list[int]:
         if piece in self.ranks:
@@ -54,16 +58,18 @@ class ByteBPE:
         if len(piece) > 256:
             return self._merge_long(piece)
         parts = [piece[i : i + 1] for i in range(len(piece))]
+        get = self.ranks.get
+        # the rank of each part joined with the next; a merge changes two of them
+        joined = [get(piece[i : i + 2], NO_RANK) for i in range(len(piece) - 1)]
+        while joined and (best := min(joined)) < NO_RANK:
+            i = joined.index(best)
+            parts[i] += parts.pop(i + 1)
+            del joined[i]
+            if i < len(joined):
+                joined[i] = get(parts[i] + parts[i + 1], NO_RANK)
+            if i:
+                joined[i - 1] = get(parts[i - 1] + parts[i], NO_RANK)
         ranks = self.ranks
-        while len(parts) > 1:
-            best, at = None, -1
-            for i in range(len(parts) - 1):
-                r = ranks.get(parts[i] + parts[i + 1])
-                if r is not None and (best is None or r < best):
-                    best, at = r, i
-            if best is None:
-                break
-            parts[at : at + 2] = [parts[at] + parts[at + 1]]
         return [ranks[p] for p in parts]
 
     def _merge_long(self, piece: bytes) -> list[int]:
@@ -150,23 +156,25 @@ class ByteBPE:
     @staticmethod
     def _common(text: str, ends: list[int], their: list[int], at: int) -> tuple[int, int] | None:
         """Where two readings have their first boundary behind `at` in common that does not end in white space."""
-        own = {e: i for i, e in enumerate(ends) if e >= at}
+        first = bisect_left(ends, at)
+        own = {e: i for i, e in enumerate(ends[first:], first)}
         for j, e in enumerate(their):
             if e in own and not text[e - 1].isspace():
                 return own[e], j
         return None
 
     def encode_bytes(self, text: str, pool: ThreadPoolExecutor | None = None) -> bytes:
-        """Ids as little-endian unsigned 32-bit integers."""
-        memo, found = self.memo, self.pretokens(text, pool)
+        """Ids as little-endian unsigned 32-bit integers (the order of bytes that workers have)."""
+        found = self.pretokens(text, pool)
         try:
-            return b"".join([memo[t] for t in found])
+            return b"".join([self.memo[t] for t in found])
         except KeyError:
-            if len(memo) > MEMO:
-                memo.clear()
+            if len(self.memo) > MEMO:
+                self.before, self.memo = self.memo, {}
+            memo, before = self.memo, self.before
             for t in found:
                 if t not in memo:
-                    memo[t] = np.array(self._merge(t.encode()), "<u4").tobytes()
+                    memo[t] = before.get(t) or array("I", self._merge(t.encode())).tobytes()
             return b"".join([memo[t] for t in found])
 
     def encode(self, text: str) -> list[int]:
