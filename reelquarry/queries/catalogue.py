@@ -149,25 +149,6 @@ def genre_watch(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ratings(spark, sf_dir).join(load(spark, sf_dir, "part").select("p_partkey", "p_brand"), F.col("item_id") == F.col("p_partkey")).groupBy(F.col("p_brand").alias("genre")).agg(F.round(F.sum("rating"), 4).alias("total")).orderBy(F.desc("total"), "genre").limit(10)
 
 
-@query("tag_similarity", """WITH q AS (SELECT string_split(p_type, ' ') AS q FROM part WHERE p_partkey = 1), p AS (SELECT p_partkey, string_split(p_type, ' ') AS t, q, len(list_intersect(string_split(p_type, ' '), q)) AS i, len(list_distinct(list_concat(string_split(p_type, ' '), q))) AS u, len(list_distinct(string_split(p_type, ' '))) AS a, len(list_distinct(q)) AS b FROM part, q)
-SELECT p_partkey, round(i / u, 6) AS jaccard, round(2 * i / (a + b), 6) AS dice, round(i / least(a, b), 6) AS overlap, round(i / sqrt(a * b), 6) AS cosine FROM p""")
-def tag_similarity(spark: SparkSession, sf_dir: str) -> DataFrame:
-    p = load(spark, sf_dir, "part").select("p_partkey", F.split("p_type", " ").alias("t"))
-    q = F.broadcast(p.where("p_partkey = 1").select(F.col("t").alias("q")))
-    a, b = F.col("t"), F.col("q")
-    return p.crossJoin(q).select("p_partkey", F.round(X.jaccard(a, b), 6).alias("jaccard"), F.round(X.dice(a, b), 6).alias("dice"), F.round(X.overlap(a, b), 6).alias("overlap"), F.round(X.cosine_binary(a, b), 6).alias("cosine"))
-
-
-@query("vector_search", """WITH q AS (SELECT embedding AS q FROM embeddings WHERE vec_id = 0), d AS (SELECT vec_id, CAST(embedding AS DOUBLE[]) AS a, CAST(q AS DOUBLE[]) AS b FROM embeddings, q)
-SELECT vec_id, round(list_cosine_similarity(a, b), 5) AS cosine, round(list_distance(a, b), 5) AS euclid, round(1 / (1 + list_distance(a, b)), 5) AS similarity, round(list_sum(list_transform(list_zip(a, b), lambda x: abs(x[1] - x[2]))), 5) AS manhattan FROM d ORDER BY list_distance(a, b), vec_id LIMIT 20""")
-def vector_search(spark: SparkSession, sf_dir: str) -> DataFrame:
-    e = load(spark, sf_dir, "embeddings").select("vec_id", F.col("embedding").alias("a"))
-    q = F.broadcast(e.where("vec_id = 0").select(F.col("a").alias("b")))
-    a, b = F.col("a"), F.col("b")
-    d = e.crossJoin(q).select("vec_id", F.round(X.cosine(a, b), 5).alias("cosine"), X.euclidean(a, b).alias("d"), F.round(X.manhattan(a, b), 5).alias("manhattan"))
-    return d.orderBy("d", "vec_id").limit(20).select("vec_id", "cosine", F.round("d", 5).alias("euclid"), F.round(1 / (1 + F.col("d")), 5).alias("similarity"), "manhattan")
-
-
 @query("tag_similarity_all", """WITH p AS (SELECT p_partkey, string_split(p_type, ' ') AS t FROM part), m AS (SELECT q.p_partkey AS query_id, p.p_partkey, len(list_intersect(p.t, q.t)) AS i, len(list_distinct(list_concat(p.t, q.t))) AS u, len(list_distinct(p.t)) AS a, len(list_distinct(q.t)) AS b FROM p, p AS q WHERE q.p_partkey % 50 = 0)
 SELECT query_id, p_partkey, round(i / u, 6) AS jaccard, round(2 * i / (a + b), 6) AS dice, round(i / least(a, b), 6) AS overlap, round(i / sqrt(a * b), 6) AS cosine FROM m""")
 def tag_similarity_all(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -155,13 +155,12 @@ def colour_histogram(spark: SparkSession, sf_dir: str) -> DataFrame:
     return b.crossJoin(F.broadcast(b.agg(F.sum("n").alias("all")))).select("bin", "n", F.round(F.col("n") / F.col("all"), 6).alias("share"))
 
 
-@query("face_search", "WITH q AS (SELECT CAST(embedding AS DOUBLE[]) AS q FROM embeddings WHERE vec_id = (SELECT min(vec_id) FROM embeddings)), d AS (SELECT label, min(list_distance(CAST(embedding AS DOUBLE[]), q)) AS d FROM embeddings, q GROUP BY 1) SELECT label, round(d, 5) AS distance FROM d WHERE d <= 1.2")
+@query("face_search", "WITH e AS (SELECT vec_id, label, CAST(embedding AS DOUBLE[]) AS v FROM embeddings), d AS (SELECT q.vec_id AS query_id, e.label, min(list_distance(e.v, q.v)) AS d FROM e, e q WHERE q.vec_id % 50 = 0 GROUP BY 1, 2) SELECT query_id, label, round(d, 5) AS distance FROM d WHERE d <= 1.2")
 def face_search(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Labels as persons with several descriptors: those with one near the first vector."""
+    """Labels as persons with several descriptors: those with one near each vector whose id is divisible by 50."""
     e = load(spark, sf_dir, "embeddings")
-    # one row is broadcast
-    q = F.broadcast(e.agg(F.min_by("embedding", "vec_id").alias("q")))
-    return S.within_distance(e.crossJoin(q), "label", "embedding", F.col("q"), 1.2).select("label", F.round("distance", 5).alias("distance"))
+    q = e.where("vec_id % 50 = 0").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("q"))
+    return S.within_distance(e.crossJoin(q), ["query_id", "label"], "embedding", F.col("q"), 1.2).select("query_id", "label", F.round("distance", 5).alias("distance"))
 
 
 @query("label_centroids", "WITH p AS (SELECT label, vec_id % 5 + 1 AS w, unnest(embedding)::DOUBLE AS v, unnest(range(len(embedding))) AS i FROM embeddings) SELECT label, i AS place, round(sum(v * w) / sum(w), 5) + 0.0 AS value FROM p GROUP BY 1, 2")
@@ -190,14 +189,14 @@ def vector_measures(spark: SparkSession, sf_dir: str) -> DataFrame:
     return both.select("vec_id", (F.round(X.pearson(v, q), 5) + 0.0).alias("pearson"), (F.round(X.histogram_intersection(v, q), 5) + 0.0).alias("intersection"), F.round(X.weighted_distance(v, q, w), 5).alias("weighted"), (F.round(X.normalise(v)[0], 5) + 0.0).alias("first_normal"))
 
 
-@query("audio_features", "WITH f AS (SELECT p_partkey, [least(p_size * 5 / 200.0, 1), p_partkey % 12 / 12.0, p_partkey % 2, greatest(least((60.0 - p_size) / 60.0, 1), 0), least(p_retailprice / 1000, 1), p_size / 50.0, p_partkey % 7 / 7.0, p_partkey % 5 / 5.0]::DOUBLE[] AS v FROM part), q AS (SELECT v AS q FROM f WHERE p_partkey = (SELECT min(p_partkey) FROM f)) SELECT p_partkey, round(list_distance(v, q), 6) AS distance FROM f, q ORDER BY list_distance(v, q), p_partkey LIMIT 15")
+@query("audio_features", "WITH f AS (SELECT p_partkey, [least(p_size * 5 / 200.0, 1), p_partkey % 12 / 12.0, p_partkey % 2, greatest(least((60.0 - p_size) / 60.0, 1), 0), least(p_retailprice / 1000, 1), p_size / 50.0, p_partkey % 7 / 7.0, p_partkey % 5 / 5.0]::DOUBLE[] AS v FROM part), d AS (SELECT q.p_partkey AS query_id, f.p_partkey, round(list_distance(f.v, q.v), 6) AS distance FROM f, f q WHERE q.p_partkey % 50 = 0) SELECT query_id, p_partkey, distance FROM d QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY distance, p_partkey) <= 15")
 def audio_features(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The 15 parts nearest to the first one by audio features."""
+    """The 15 parts nearest by audio features to every part whose key is divisible by 50."""
     k, s = F.col("p_partkey"), F.col("p_size")
     f = load(spark, sf_dir, "part").select("p_partkey", X.audio_features(s * 5, k % 12, k % 2, -s, F.col("p_retailprice") / 1000, s / 50.0, k % 7 / 7.0, k % 5 / 5.0).alias("v"))
-    both = f.crossJoin(F.broadcast(f.agg(F.min_by("v", "p_partkey").alias("q"))))
-    d = both.select("p_partkey", X.euclidean(F.col("v"), F.col("q")).alias("d")).orderBy("d", "p_partkey").limit(15)
-    return d.select("p_partkey", F.round("d", 6).alias("distance"))
+    q = f.where("p_partkey % 50 = 0").select(F.col("p_partkey").alias("query_id"), F.col("v").alias("q"))
+    d = f.crossJoin(q).select("query_id", "p_partkey", F.round(X.euclidean(F.col("v"), F.col("q")), 6).alias("distance"))
+    return Wn.top_per_group(d, "query_id", ["distance", "p_partkey"], 15).drop("rank")
 
 
 _WORDS = "w AS (SELECT DISTINCT p_brand AS word FROM part), a AS (SELECT word[1:2] || word[4:] AS word FROM w UNION SELECT word || 'x' FROM w UNION SELECT 'zzzzzzzz')"
@@ -225,15 +224,15 @@ def auto_correct(spark: SparkSession, sf_dir: str) -> DataFrame:
     return asked.join(best, "word", "left").select("word", F.coalesce("suggestion", "word").alias("corrected"))
 
 
-@query("sentence_check", """WITH k AS (SELECT DISTINCT unnest(string_split(p_name, ' ')) AS w FROM part), s AS (SELECT p_partkey, string_split(p_name || ' ' || reverse(p_type) || ' rinq!', ' ') AS t FROM part WHERE p_partkey % 100 = 0), e AS (SELECT p_partkey, unnest(range(len(t))) AS i, unnest(t) AS token FROM s), l AS (SELECT *, lower(trim(token, '!"#$%&()*+,-./:;<=>?@[]^_`{|}~')) AS word FROM e),
+@query("sentence_check", """WITH k AS (SELECT DISTINCT unnest(string_split(p_name, ' ')) AS w FROM part), s AS (SELECT p_partkey, string_split(p_name || ' ' || reverse(p_type) || ' rinq!', ' ') AS t FROM part), e AS (SELECT p_partkey, unnest(range(len(t))) AS i, unnest(t) AS token FROM s), l AS (SELECT *, lower(trim(token, '!"#$%&()*+,-./:;<=>?@[]^_`{|}~')) AS word FROM e),
 b AS (SELECT word, arg_min(w, (levenshtein(word, w), w)) FILTER (WHERE levenshtein(word, w) <= 2) AS best FROM (SELECT DISTINCT word FROM l), k GROUP BY 1)
 SELECT p_partkey, string_agg(CASE WHEN l.word = '' OR l.word IN (SELECT w FROM k) THEN token ELSE coalesce(best, token) END, ' ' ORDER BY i) AS corrected, count(*) FILTER (WHERE l.word <> '' AND l.word NOT IN (SELECT w FROM k)) AS wrong FROM l JOIN b ON l.word = b.word GROUP BY 1""")
 def sentence_check(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Sentences of every hundredth part with their wrong words counted and replaced."""
+    """A sentence about every part with its wrong words counted and replaced."""
     p = load(spark, sf_dir, "part")
     known = p.select(F.explode(F.split("p_name", " ")).alias("word")).distinct()
     text = F.concat_ws(" ", "p_name", F.reverse("p_type"), F.lit("rinq!"))
-    return S.correct_sentences(p.where("p_partkey % 100 = 0").select("p_partkey", text.alias("text")), "p_partkey", "text", known, 2).select("p_partkey", "corrected", "wrong")
+    return S.correct_sentences(p.select("p_partkey", text.alias("text")), "p_partkey", "text", known, 2).select("p_partkey", "corrected", "wrong")
 
 
 @query("duplicate_clusters", "WITH g AS (SELECT doc_id, min(doc_id) OVER (PARTITION BY md5(text)) AS cluster, count(*) OVER (PARTITION BY md5(text)) AS n FROM documents) SELECT doc_id, cluster FROM g WHERE n > 1")
