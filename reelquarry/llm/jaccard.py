@@ -8,8 +8,9 @@
    tokens of each pair are counted; a token of many classes counts as proof enough. Classes that
    meet often enough, with compatible sizes, are clustered.
 3. The sets of a cluster are sent to one task, where a signature tree's dual traversal finds the exact
-   components. Clusters above a fixed number of tokens are cut by size class and salt into cells, and
-   every pair of cells that can hold links is a task; those links are joined up by components again.
+   components. Clusters above a fixed number of tokens are cut by size class and salt into parts, with
+   some sets of each class in all of its parts. That joins most of a family of copies into one component;
+   then every part of what lies outside it meets the parts that can hold its links.
 """
 
 from __future__ import annotations
@@ -36,6 +37,8 @@ FEW = 8
 MANY = 1 << 20
 #: Tokens of a cluster that one task takes whole.
 CLUSTER_TOKENS = 4_000_000
+#: Sets of each size class of a larger cluster to which all its sets are compared first.
+PIVOTS = 8
 #: Bytes up to which a word is told by a polynomial modulo 2**64; in longer ones such hashes can be made to collide.
 SHORT_WORD = 64
 _SPACE = np.zeros(256, bool)
@@ -278,37 +281,73 @@ def _cells(num: int, den: int):
     return run
 
 
+def _up_to(k):
+    return F.sequence(F.lit(0), k - 1)
+
+
+def _each(k, of, *args):
+    """of(0, *args), ..., of(k - 1, *args) as an array; none for a null k."""
+    return F.when(k.isNotNull(), F.transform(_up_to(F.coalesce(k, F.lit(1))), lambda j: of(j, *args))).otherwise(F.array())
+
+
+def _cell(side, *names):
+    return F.struct(F.concat_ws(":", *[n.cast("string") for n in names]).alias("cell"), side.cast("int").alias("side"))
+
+
 def _assign_cells(members: DataFrame, num: int, den: int, limit: int) -> DataFrame:
-    """members (cluster, doc_id, n, ...) -> the same with `cells`: array of (cell, side).
+    """members (cluster, doc_id, n, s1, s2) -> the same with band, large and `cells`: array of (cell, side).
 
-    A cluster of at most `limit` tokens is one cell. A larger one is cut into size classes whose
-    neighbours hold all partners, and a class into salted parts of about `limit`; a document goes to
-    one cell for each pair of parts that it belongs to.
+    A cluster of at most `limit` tokens is one cell. A larger one is cut into size classes (bands) whose
+    neighbours hold all partners, and a band into salted parts of about `limit`. A document goes to its
+    part; PIVOTS documents of each band go to all parts of theirs and the neighbouring bands, so that what
+    is alike through them is known for one component, whatever its size, without comparing part with part.
     """
     band = F.floor(F.log(F.col("n").cast("double")) / F.lit(float(np.log(den / num)))).cast("int")
     members = members.withColumn("band", band)
-    weight = members.groupBy("cluster", "band").agg(F.sum("n").alias("w"))
-    total = weight.groupBy("cluster").agg(
-        F.sum("w").alias("total"), F.map_from_entries(F.collect_list(F.struct("band", F.ceil(F.col("w") / limit).cast("int").alias("k")))).alias("parts")
-    )
+    # a digest is as good as a draw
+    drawn = members.groupBy("cluster", "band", F.pmod(F.xxhash64("s1"), F.lit(PIVOTS)).alias("slot")).agg(F.sum("n").alias("w"), F.min("s1").alias("pivot"))
+    weight = drawn.groupBy("cluster", "band").agg(F.sum("w").alias("w"), F.collect_list("pivot").alias("pivots"))
+    entry = F.struct("band", F.struct(F.ceil(F.col("w") / limit).cast("int").alias("k"), "pivots"))
+    total = weight.groupBy("cluster").agg(F.sum("w").alias("total"), F.map_from_entries(F.collect_list(entry)).alias("parts"))
     placed = members.join(total, "cluster")
-    c = F.col("cluster").cast("string")
-    own = F.col("parts")[F.col("band")]
-    above, below = F.try_element_at("parts", F.col("band") + 1), F.try_element_at("parts", F.col("band") - 1)
-    salt = F.pmod(F.xxhash64("doc_id"), own).cast("int")
+    c, b = F.col("cluster"), F.col("band")
+    own = F.col("parts")[b]
+    salt = F.pmod(F.xxhash64("doc_id"), own["k"]).cast("int")
+    everywhere = F.concat(*[_each(F.try_element_at("parts", b + step)["k"], lambda j, to: _cell(F.lit(0), c, to, j), b + step) for step in (-1, 0, 1)])
+    whole = F.array(_cell(F.lit(0), c))
+    cut = F.when(F.array_contains(own["pivots"], F.col("s1")), everywhere).otherwise(F.array(_cell(F.lit(0), c, b, salt)))
+    return placed.withColumn("cells", F.when(F.col("total") <= limit, whole).otherwise(cut)).withColumn("large", F.col("total") > limit).drop("parts", "total")
 
-    def cell(b, i, b2, j, side):
-        return F.struct(F.concat_ws(":", c, b, i, b2, j).alias("cell"), side.cast("int").alias("side"))
 
-    def up_to(k):
-        return F.sequence(F.lit(0), k - 1)
+def _remaining_cells(members: DataFrame, groups: DataFrame, limit: int, total: int) -> DataFrame:
+    """members of large clusters with `band`, groups (node, component) of their s1 so far -> `cells` for the pairs that are left.
 
-    same = F.transform(up_to(own), lambda j: cell(F.col("band"), F.least(salt, j), F.col("band"), F.greatest(salt, j), F.when(j == salt, 0).otherwise((salt > j).cast("int"))))
+    The heaviest component of a cluster needs no comparison within itself: its parts meet only the parts
+    of the rest, and these each other. The data grow with the tokens of a cluster times the parts of its
+    rest: a family of copies, however large, is not squared; a cluster without a main component is.
+    """
+    named = members.join(groups.hint("merge"), F.col("s1") == F.col("node"), "left").withColumn("label", F.coalesce("component", "s1")).drop("node", "component")
+    named = materialize(named, "labels")
+    sums = named.groupBy("cluster", "label").agg(F.sum("n").alias("w"))
+    main = sums.groupBy("cluster").agg(F.max_by("label", F.struct("w", "label")).alias("main"))
+    sizes = named.groupBy("cluster").agg(F.count("*").alias("copies"))
+    marked = materialize(join_classes(named, main, ["cluster"], sizes, total).withColumn("rest", F.col("label") != F.col("main")).drop("label", "main"), "marked")
+    weight = marked.groupBy("cluster", "band", "rest").agg(F.ceil(F.sum("n") / limit).cast("int").alias("k"))
+    entries = F.struct("band", "k")
+    parts = weight.groupBy("cluster").agg(*[F.map_from_entries(F.collect_list(F.when(keep, entries))).alias(name) for name, keep in (("rests", F.col("rest")), ("mains", ~F.col("rest")))])
+    placed = join_classes(marked, parts, ["cluster"], sizes, total)
+    c, b = F.col("cluster"), F.col("band")
+    own = F.when(F.col("rest"), F.col("rests")[b]).otherwise(F.col("mains")[b])
+    salt = F.pmod(F.xxhash64("doc_id"), own).cast("int")
+    rests, mains = ({step: F.try_element_at(name, b + step) for step in (-1, 0, 1)} for name in ("rests", "mains"))
     # within one part every pair counts; of two parts, pairs across only
-    upper = F.when(above.isNotNull(), F.transform(up_to(F.coalesce(above, F.lit(1))), lambda j: cell(F.col("band"), salt, F.col("band") + 1, j, F.lit(0)))).otherwise(F.array())
-    lower = F.when(below.isNotNull(), F.transform(up_to(F.coalesce(below, F.lit(1))), lambda j: cell(F.col("band") - 1, j, F.col("band"), salt, F.lit(1)))).otherwise(F.array())
-    whole = F.array(F.struct(c.alias("cell"), F.lit(0).alias("side")))
-    return placed.withColumn("cells", F.when(F.col("total") <= limit, whole).otherwise(F.concat(same, upper, lower))).withColumn("large", F.col("total") > limit).drop("parts", "total", "band")
+    same = F.transform(_up_to(own), lambda j: _cell(F.when(j == salt, 0).otherwise((salt > j).cast("int")), c, b, F.least(salt, j), b, F.greatest(salt, j)))
+    upper = _each(rests[1], lambda j: _cell(F.lit(0), c, b, salt, b + 1, j))
+    lower = _each(rests[-1], lambda j: _cell(F.lit(1), c, b - 1, j, b, salt))
+    to_main = [_each(mains[step], lambda j, to: _cell(F.lit(0), c, F.lit("main"), b, salt, to, j), b + step) for step in (-1, 0, 1)]
+    to_rest = [_each(rests[step], lambda j, of: _cell(F.lit(1), c, F.lit("main"), of, j, b, salt), b + step) for step in (-1, 0, 1)]
+    cells = F.when(F.col("rest"), F.concat(same, upper, lower, *to_main)).otherwise(F.concat(*to_rest))
+    return placed.withColumn("cells", cells).where(F.size("cells") > 0).drop("rests", "mains", "rest")
 
 
 def near_duplicates(docs: DataFrame, width: int = 5, num: int = 80, den: int = 100, limit: int = CLUSTER_TOKENS) -> DataFrame:
@@ -334,11 +373,17 @@ def near_duplicates(docs: DataFrame, width: int = 5, num: int = 80, den: int = 1
 
     members = classes.join(clusters, classes.s1 == clusters.node).select(F.col("component").alias("cluster"), F.col("rep").alias("doc_id"), "n", "s1", "s2")
     placed = materialize(_assign_cells(members, num, den, limit), "cells")
-    # the join is hinted so that it has one shape at every size
-    sets = placed.select("cells", "doc_id", "s1", "s2").hint("merge").join(docs, "doc_id").select("cells", "doc_id", "s1", "s2", "text").mapInArrow(_sets(width), _CELL)
-    linked = sets.repartition(parts, "cell").sortWithinPartitions("cell", "side", "s1", "s2").mapInArrow(_cells(num, den), "a long, b long, least long")
-    links = materialize(linked, "links")
+
+    def compared(cells: DataFrame) -> DataFrame:
+        # the join is hinted so that it has one shape at every size
+        sets = cells.select("cells", "doc_id", "s1", "s2").hint("merge").join(docs, "doc_id").select("cells", "doc_id", "s1", "s2", "text").mapInArrow(_sets(width), _CELL)
+        linked = sets.repartition(parts, "cell").sortWithinPartitions("cell", "side", "s1", "s2").mapInArrow(_cells(num, den), "a long, b long, least long")
+        return materialize(linked, "links")
+
+    links, count = compared(placed), rows.count()
     if placed.where("large").limit(1).count():
+        large = placed.where("large").drop("cells", "large")
+        links = links.union(compared(materialize(_remaining_cells(large, connected_components(links.select("a", "b")), limit, count), "cells")))
         groups = connected_components(links.select("a", "b"))
         least = groups.join(links.groupBy("a").agg(F.min("least").alias("least")), F.col("node") == F.col("a")).groupBy("component").agg(F.min("least").alias("least"))
         found = groups.join(least, "component").select(F.col("node").alias("s1"), F.col("least").alias("component"))
@@ -347,7 +392,7 @@ def near_duplicates(docs: DataFrame, width: int = 5, num: int = 80, den: int = 1
         found = links.groupBy(F.col("a").alias("s1")).agg(F.min("least").alias("component"))
     resolved = classes.join(found, "s1", "left").select("s1", "s2", F.coalesce("component", "rep").alias("component"))
     return (
-        join_classes(rows, resolved, ["s1", "s2"], classes, rows.count())
+        join_classes(rows, resolved, ["s1", "s2"], classes, count)
         .select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("doc_id").isNull(), None).when(F.col("n") > 0, F.coalesce("component", "doc_id")).otherwise(F.col("doc_id")).alias("component_id"))
     )
 

@@ -196,3 +196,50 @@ def test_packing_places_every_piece(spark):
             at += length
         assert at == total
     assert len(lengths) == 80
+
+
+def test_a_large_family_of_near_copies_is_not_squared(spark, monkeypatch):
+    from reelquarry.llm import jaccard
+
+    # 300 near copies of one text, 3 at the end of a chain that begins at one of them, 40 of another size
+    w, extra = [f"w{i}" for i in range(120)], [f"x{i}" for i in range(400)]
+    texts = [" ".join(w[:i % 100] + [extra[i]] + w[i % 100 + 1 :]) for i in range(300)]
+    chain = [extra[350], extra[351], *w[2:]]
+    for k in range(3):
+        chain = chain[: 4 + 6 * k] + [extra[360 + 8 * k + j] for j in range(6)] + chain[10 + 6 * k :]
+        texts.append(" ".join(chain))
+    texts += [" ".join(w[:108] + [extra[i]]) for i in range(40)]
+    rows = [(i, t) for i, t in enumerate(texts)]
+    sets = [set(t.split()) for t in texts]
+    parent = list(range(len(rows)))
+
+    def find(x):
+        while parent[x] != x:
+            x = parent[x]
+        return x
+
+    for i in range(len(rows)):
+        for j in range(i):
+            if 100 * len(sets[i] & sets[j]) >= 85 * len(sets[i] | sets[j]) and find(i) != find(j):
+                a, b = sorted((find(i), find(j)))
+                parent[b] = a
+    made = {}
+
+    def spied(name):
+        own = getattr(jaccard, name)
+
+        def run(*args):
+            made[name] = own(*args)
+            return made[name]
+
+        monkeypatch.setattr(jaccard, name, run)
+
+    spied("_assign_cells")
+    spied("_remaining_cells")
+    got = {r.doc_id: r.component_id for r in jaccard.near_duplicates(spark.createDataFrame(rows, LONG), 1, 85, 100, 2_000).collect()}
+    assert got == {i: find(i) for i in range(len(rows))}
+    # every set goes to its part, the pivots to all parts of three bands; then the rest alone meets the others
+    first, second = (made[name].selectExpr("sum(size(cells))").first()[0] for name in ("_assign_cells", "_remaining_cells"))
+    parts = sum(map(len, sets)) // 2_000 + 2
+    assert first <= len(rows) + 2 * jaccard.PIVOTS * parts
+    assert (second or 0) <= 2 * len(rows) + 5 * parts
