@@ -3,7 +3,8 @@
 Every language has a distribution of hashed character n-grams (one to three, word edges included). A
 word's likelihood under a language is the tempered product over its n-grams. Expectation-maximisation
 estimates each document's language proportions over its words; the set of languages is chosen by the
-likelihood less a penalty for each language. The model is fitted on a sample of at most `sample` rows
+likelihood less a penalty for each language. The likelihood of a text's n-grams against the average of
+the fitted texts tells texts that are in none of the languages. The model is fitted on a sample of at most `sample` rows
 in the order of a hash of the id; the bound is a parameter. Prediction reads every whole text in place.
 """
 
@@ -18,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from reelquarry.llm.common import documents, prepare, slices
+from reelquarry.llm.common import discard, documents, materialize, prepare, slices
 from reelquarry.llm.toxicity import fold
 
 #: Most rows used to fit.
@@ -31,6 +32,10 @@ TEMPER = 0.4
 FLOOR = 1e-4
 STEPS = 12
 UNKNOWN = "und"
+#: N-grams at the average likelihood that are added to a text's own, so that a few words don't tell it from all languages.
+PRIOR_GRAMS = 50
+#: A text in no language lies so far below the worst of the fitted texts, in logarithms for each n-gram.
+FIT_MARGIN = 1.0
 #: Characters that are inferred together.
 SLICE_CHARS = 400_000
 
@@ -97,6 +102,13 @@ class LanguageModel:
     langs: list[str]
     #: Log-probability of each slot, by language.
     logp: np.ndarray
+    #: Average log-probability of an n-gram in the fitted texts, and a bound below which the fit of none of them lies.
+    average: float = 0.0
+    least_fit: float = -np.inf
+
+
+def _fits(raw: np.ndarray, grams: np.ndarray, average: float) -> np.ndarray:
+    return (raw - average * grams) / (grams + PRIOR_GRAMS)
 
 
 def fit(docs: DataFrame, sample: int = SAMPLE) -> LanguageModel:
@@ -108,6 +120,7 @@ def fit(docs: DataFrame, sample: int = SAMPLE) -> LanguageModel:
     # the hash below which about `sample` rows lie; ids only are sorted, texts stay where they are
     last = usable.select(order.alias("h")).orderBy("h").limit(sample).agg(F.max("h")).first()[0]
     chosen = usable.where(order <= F.lit(last)).select("text", "lang") if last is not None else usable.select("text", "lang").limit(0)
+    chosen = materialize(chosen, "language")
     counts = chosen.mapInArrow(_gram_counts, "lang string, slot long, n long").groupBy("lang", "slot").agg(F.sum("n").alias("n")).toPandas()
     langs = sorted(counts.lang.unique())
     table = np.zeros((len(langs), SLOTS))
@@ -119,7 +132,22 @@ def fit(docs: DataFrame, sample: int = SAMPLE) -> LanguageModel:
     # smoothed towards the share over all languages
     strength = 200.0 * share * SLOTS**0.5
     table = table + strength
-    return LanguageModel(langs, np.log(table / table.sum(1, keepdims=True)) if len(langs) else table)
+    model = LanguageModel(langs, np.log(table / table.sum(1, keepdims=True)) if len(langs) else table)
+
+    def likelihoods(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        mixture = MixtureInference(model)
+        for batch in batches:
+            raw, grams = mixture.likelihoods(batch.column(0).to_pylist())
+            yield pa.RecordBatch.from_arrays([pa.array(raw), pa.array(grams)], names=["raw", "grams"])
+
+    # one row for each row of the sample
+    seen = chosen.mapInArrow(likelihoods, "raw double, grams long").where("grams > 0").toPandas()
+    discard(chosen)
+    if len(seen):
+        raw, grams = seen.raw.to_numpy(), seen.grams.to_numpy()
+        model.average = float(raw.sum() / grams.sum())
+        model.least_fit = float(_fits(raw, grams, model.average).min() - FIT_MARGIN)
+    return model
 
 
 class MixtureInference:
@@ -129,17 +157,38 @@ class MixtureInference:
         if model.langs:
             self.table[:SLOTS] = TEMPER * model.logp.T
 
-    def _words(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        """(likelihoods of the words with letters, relative to each one's best language; their texts)."""
+    def _words(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """For the words with letters: likelihoods relative to each one's best language, its log-likelihood there, n-grams, text."""
         slots, starts, letters, owner = word_grams(texts)
         if not letters.any():
-            return np.zeros((0, self.table.shape[1]), np.float32), np.zeros(0, np.int64)
+            return np.zeros((0, self.table.shape[1]), np.float32), np.zeros(0), np.zeros(0, np.int64), np.zeros(0, np.int64)
         total = self.table[slots[0]]
         for row in slots[1:]:
             total += self.table[row]
         score = np.add.reduceat(total, starts)[letters]
-        score -= score.max(1, keepdims=True)
-        return np.maximum(np.exp(score), FLOOR), owner[letters]
+        top = score.max(1, keepdims=True)
+        score -= top
+        grams = np.add.reduceat((slots < SLOTS).sum(0), starts)[letters]
+        return np.maximum(np.exp(score), FLOOR), top[:, 0].astype(np.float64) / TEMPER, grams, owner[letters]
+
+    def likelihoods(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
+        """(log-likelihood, n-grams) of each text's words with letters, each word in its best language."""
+        raw, grams = np.zeros(len(texts)), np.zeros(len(texts), np.int64)
+        for first, last in self._slices(texts):
+            _, best, count, owner = self._words([x or "" for x in texts[first:last]])
+            np.add.at(raw, owner + first, best)
+            np.add.at(grams, owner + first, count)
+        return raw, grams
+
+    @staticmethod
+    def _slices(texts: list[str | None]) -> Iterator[tuple[int, int]]:
+        """Bounds of runs of texts with about SLICE_CHARS characters."""
+        first = held = 0
+        for i, t in enumerate(texts):
+            held += len(t or "")
+            if held >= SLICE_CHARS or i + 1 == len(texts):
+                yield first, i + 1
+                first, held = i + 1, 0
 
     @staticmethod
     def _em(like: np.ndarray, doc: np.ndarray, starts: np.ndarray, sizes: np.ndarray, theta: np.ndarray, steps: int) -> tuple[np.ndarray, np.ndarray]:
@@ -151,27 +200,24 @@ class MixtureInference:
         mixed = (like * theta[doc]).sum(1)
         return theta, np.add.reduceat(np.log(np.maximum(mixed, 1e-30)), starts)
 
-    def infer(self, texts: list[str | None]) -> list[tuple[str, float, int]]:
-        """(dominant language, its proportion, number of languages in the set) for each text."""
-        out: list = [(UNKNOWN, 0.0, 0)] * len(texts)
+    def infer(self, texts: list[str | None]) -> list[tuple[str, float, int, float]]:
+        """(dominant language, its proportion, number of languages in the set, fit) for each text."""
+        out: list = [(UNKNOWN, 0.0, 0, 0.0)] * len(texts)
         if not self.model.langs:
             return out
-        first = held = 0
-        for i, t in enumerate(texts):
-            held += len(t or "")
-            if held >= SLICE_CHARS or i + 1 == len(texts):
-                like, owner = self._words([x or "" for x in texts[first : i + 1]])
-                if len(like):
-                    self._infer(like, owner, first, out)
-                first, held = i + 1, 0
+        for first, last in self._slices(texts):
+            like, best, grams, owner = self._words([x or "" for x in texts[first:last]])
+            if len(like):
+                self._infer(like, owner, best, grams, first, out)
         return out
 
-    def _infer(self, like: np.ndarray, owner: np.ndarray, first: int, out: list) -> None:
+    def _infer(self, like: np.ndarray, owner: np.ndarray, raw: np.ndarray, grams: np.ndarray, first: int, out: list) -> None:
         langs = self.model.langs
         present, sizes = np.unique(owner, return_counts=True)
         group = (present + first).tolist()
         starts = np.concatenate(([0], sizes.cumsum()[:-1]))
         doc = np.repeat(np.arange(len(group)), sizes)
+        fit = _fits(np.add.reduceat(raw, starts), np.add.reduceat(grams, starts), self.model.average)
         uniform = np.full((len(group), len(langs)), 1 / len(langs), np.float32)
         theta, best = self._em(like, doc, starts, sizes, uniform, STEPS)
         penalty = 2.0 + 0.5 * np.log(sizes)
@@ -200,24 +246,29 @@ class MixtureInference:
             open_ = open_[best[open_] - (size + 1) * penalty[open_] > value[open_]]
         top = chosen.argmax(1)
         for row, i in enumerate(group):
-            out[i] = (langs[top[row]], float(min(1.0, chosen[row, top[row]])), int(count[row]))
+            out[i] = (langs[top[row]], float(min(1.0, chosen[row, top[row]])), int(count[row]), float(fit[row]))
+
+
+RESULT = ("lang_pred", "lang_share", "lang_count", "lang_fit")
 
 
 def identify(docs: DataFrame, model: LanguageModel) -> DataFrame:
-    """Appends lang_pred, lang_share (its proportion, 0 to 1) and lang_count. Other columns pass unchanged.
+    """Appends lang_pred, lang_share (its proportion, 0 to 1), lang_count and lang_fit. Other columns pass unchanged.
 
-    A null text, or one without letters, gets `und`, 0 and 0. Input columns with a result's name are replaced.
+    lang_fit is how much likelier the n-grams are than those of the fitted texts on average (in logarithms, each
+    word in its best language); a text below the model's `least_fit` is in none of its languages. A null text, or
+    one without letters, gets `und`, 0, 0 and 0. Input columns with a result's name are replaced.
     """
     prepare(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
-    @F.pandas_udf("lang_pred string, lang_share double, lang_count long")
+    @F.pandas_udf("lang_pred string, lang_share double, lang_count long, lang_fit double")
     def infer(parts: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         mixture = MixtureInference(shared.value)
         for texts in parts:
-            yield pd.DataFrame(mixture.infer(texts.tolist()), columns=["lang_pred", "lang_share", "lang_count"])
+            yield pd.DataFrame(mixture.infer(texts.tolist()), columns=list(RESULT))
 
-    row = [F.col(c) for c in docs.columns if c not in ("lang_pred", "lang_share", "lang_count")]
+    row = [F.col(c) for c in docs.columns if c not in RESULT]
     return docs.select(F.struct(*row).alias("row"), infer("text").alias("language")).select("row.*", "language.*")
 
 

@@ -243,3 +243,22 @@ def test_a_large_family_of_near_copies_is_not_squared(spark, monkeypatch):
     parts = sum(map(len, sets)) // 2_000 + 2
     assert first <= len(rows) + 2 * jaccard.PIVOTS * parts
     assert (second or 0) <= 2 * len(rows) + 5 * parts
+
+
+def test_fit_tells_texts_in_no_learned_language(spark):
+    from reelquarry.llm import langid
+
+    random.seed(5)
+    english, german = "the and of that with have this from they which".split(), "der und die nicht mit sich auch werden eine noch".split()
+    texts = [(i, " ".join(random.choices(english if i % 2 else german, k=40)), "en" if i % 2 else "de") for i in range(400)]
+    model = langid.fit(spark.createDataFrame(texts, "doc_id long, text string, lang string"))
+    odd = ["Все люди рождаются свободными и равными в своём достоинстве", "the", " ".join("".join(random.choices("qxzjkvwy", k=6)) for _ in range(40)), None, "12 34", "the werden of und " * 5]
+    held = [" ".join(random.choices(english + german, k=40)) for _ in range(200)]
+    found = langid.identify(spark.createDataFrame(list(enumerate(odd + held)), LONG), model).orderBy("doc_id").collect()
+    assert [r.lang_fit >= model.least_fit for r in found] == [False, True, False, True, True, True] + [True] * 200
+    # the sum over the words, whatever the slices
+    mixture = langid.MixtureInference(model)
+    alone = [x[0] for x in (mixture.likelihoods([t]) for t in odd)]
+    assert np.allclose(np.concatenate(alone), mixture.likelihoods(odd)[0])
+    nothing = langid.fit(spark.createDataFrame([], "doc_id long, text string, lang string"))
+    assert nothing.least_fit == -np.inf and langid.identify(spark.createDataFrame([(1, "the")], LONG), nothing).first().lang_pred == "und"
