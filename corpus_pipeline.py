@@ -28,13 +28,13 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def keep_languages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Drops documents without letters and those whose languages are so mixed that none has a fair share.
+    """Drops documents without letters, those whose languages are so mixed that none has a fair share, and those in no learned language.
 
-    The shares are of the learned languages: text in a language that was not learned takes the most similar one and stays.
+    The last are told by n-grams less likely than those of any fitted text; text in a language close to a learned one stays.
     """
     model = langid.fit(docs.select("doc_id", "text", "lang"))
-    kept = langid.identify(docs.select(*COLUMNS), model).where((F.col("lang_pred") != langid.UNKNOWN) & (F.col("lang_share") >= LEAST_SHARE))
-    return kept.select(*COLUMNS)
+    known = (F.col("lang_pred") != langid.UNKNOWN) & (F.col("lang_share") >= LEAST_SHARE) & (F.col("lang_fit") >= model.least_fit)
+    return langid.identify(docs.select(*COLUMNS), model).where(known).select(*COLUMNS)
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
