@@ -1,12 +1,13 @@
 """N-gram Jaccard join: all documents whose shingle sets are alike, as exact components.
 
-1. One pass gives each document's set size and 128-bit set digest, and a fixed-size table of how
-   often tokens occur; documents with equal sets form a class, and only classes go on.
-2. Tokens are ordered from rare to common by that table (any fixed order gives exact results). Two
-   alike sets share l or more of their first n - ceil(t n) + l tokens; l grows with n, so that long
-   texts don't meet by a few chance tokens. (token, class) records meet by token and the shared
-   tokens of each pair are counted; a token of many classes counts as proof enough. Classes that
-   meet often enough, with compatible sizes, are clustered.
+1. One pass gives each document's set size and 128-bit set digest; documents with equal sets form a
+   class, and only classes go on.
+2. Sets of a size group are cut into parts by the hashes of their tokens, into more parts than two alike
+   sets of the group can differ in tokens: some parts of theirs are equal. Classes meet by the digest of a
+   part of two tokens or more, and the shared parts of each pair are counted; a part of many classes counts
+   as proof enough. A set with too few such parts also meets others of its kind by a prefix of its
+   tokens. A part holds several tokens whatever the size of the corpus, so chance meetings stay rare.
+   Classes that meet often enough, with compatible sizes, are clustered.
 3. The sets of a cluster are sent to one task, where a signature tree's dual traversal finds the exact
    components. Clusters above a fixed number of tokens are cut by size class and salt into parts, with
    some sets of each class in all of its parts. That joins most of a family of copies into one component;
@@ -23,16 +24,17 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from reelquarry.llm.common import documents, join_classes, materialize, prepare, shuffle_partitions, slices, sum_tables
+from reelquarry.llm.common import documents, join_classes, materialize, prepare, shuffle_partitions, slices
 from reelquarry.llm.graph import connected_components
 from reelquarry.llm.signature_tree import SignatureTree
 
-#: Slots of the token-frequency table, a power of two; its size doesn't depend on the data.
-SLOT_BITS = 20
-CHUNKS = 32
-#: A set of n tokens must share 1 + n // MEET_EACH of its prefix with a partner.
-MEET_EACH = 40
-#: Classes of a token up to which its pairs are counted.
+#: A size group reaches so far above the one before it.
+GROUP = 1.3
+#: Parts of a set besides those that may differ: one, and one for each SPARE of them.
+SPARE = 10
+#: Bits of the table that tells which ids may be of interest; its size doesn't depend on the data.
+ID_BITS = 24
+#: Classes of a part up to which its pairs are counted.
 FEW = 8
 MANY = 1 << 20
 #: Tokens of a cluster that one task takes whole.
@@ -103,63 +105,99 @@ def _digest(tokens: np.ndarray) -> tuple[int, int]:
     return int.from_bytes(d[:8], "little", signed=True), int.from_bytes(d[8:], "little", signed=True)
 
 
-_SKETCH = "kind int, doc_id long, n long, s1 long, s2 long, chunk int, counts binary"
+_SKETCH = "doc_id long, n long, s1 long, s2 long"
 
 
 def _sketch(width: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counts = np.zeros(1 << SLOT_BITS, np.int64)
-        none = pa.nulls
         for batch in slices(batches, 1, 1 << 20):
             sets = shingle_sets([(t or "").encode() for t in batch.column(1).to_pylist()], width)
-            counts += np.bincount((np.concatenate(sets) >> np.uint64(64 - SLOT_BITS)).astype(np.int64), minlength=len(counts))
             sums = [_digest(s) for s in sets]
-            m = len(sets)
-            columns = [pa.array([0] * m, pa.int32()), batch.column(0), pa.array([len(s) for s in sets], pa.int64()), pa.array([d[0] for d in sums], pa.int64()), pa.array([d[1] for d in sums], pa.int64()), none(m, pa.int32()), none(m, pa.binary())]
+            columns = [batch.column(0), *(pa.array(c, pa.int64()) for c in ([len(s) for s in sets], [d[0] for d in sums], [d[1] for d in sums]))]
             yield pa.RecordBatch.from_arrays(columns, names=[c.split()[0] for c in _SKETCH.split(", ")])
-        parts = np.minimum(counts, 65535).astype("<u2").reshape(CHUNKS, -1)
-        kept = [i for i in range(CHUNKS) if parts[i].any()]
-        m = len(kept)
-        columns = [pa.array([1] * m, pa.int32()), *(none(m, pa.int64()) for _ in range(4)), pa.array(kept, pa.int32()), pa.array([parts[i].tobytes() for i in kept], pa.binary())]
-        yield pa.RecordBatch.from_arrays(columns, names=[c.split()[0] for c in _SKETCH.split(", ")])
 
     return run
 
 
-def _frequency_levels(sketch: DataFrame) -> np.ndarray:
-    """Quantised frequency of each slot: a table of fixed size, summed by the executors."""
-    table = np.zeros((CHUNKS, (1 << SLOT_BITS) // CHUNKS), np.uint8)
-    for r in sum_tables(sketch.where("kind = 1"), "<u2", CHUNKS):
-        table[r.chunk] = np.minimum(4 * np.log2(np.frombuffer(r.sums, "<i8") + 1.0), 255).astype(np.uint8)
-    return table.ravel()
+def _groups(num: int, den: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(greatest size, most tokens in which two alike sets differ, parts) of each size group."""
+    top, tops = max(1, -(-num // (den - num))), []
+    while top < 1 << 40:
+        top = max(top + 1, int(top * GROUP))
+        tops.append(top)
+    tops = np.array(tops, np.int64)
+    differ = 2 * tops * (den - num) // (den + num)
+    return tops, differ, differ + 1 + differ // SPARE
 
 
-def _keys(width: int, num: int, den: int, shared):
+def parts_of(sets: list[np.ndarray], num: int, den: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(digest, index of the set, least) of the parts by which alike sets of different content meet.
+
+    If two sets are alike, they share `least` of their digests, the greater one of both, or more. A set meets
+    those of its size group, and those of the groups above that can hold a greater partner.
+    """
+    none = (np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int64))
+    sizes = np.array([len(s) for s in sets], np.int64)
+    # the most tokens in which a partner differs; without any, only equal sets are alike
+    own = sizes * (den - num) // num
+    chosen = np.flatnonzero(own > 0)
+    if den == num or not len(chosen):
+        return none
+    tops, differ, counts = _groups(num, den)
+    sizes, own = sizes[chosen], own[chosen]
+    tokens, first = np.concatenate([sets[i] for i in chosen.tolist()]), np.concatenate(([0], sizes.cumsum()[:-1]))
+    mixed, owner = _mix(tokens), np.repeat(np.arange(len(chosen)), sizes)
+    low, high = np.searchsorted(tops, sizes), np.searchsorted(tops, sizes * den // num)
+    scarce, out = np.zeros(len(chosen), bool), []
+    for step in range(int((high - low).max()) + 1):
+        group, here = low + step, low + step <= high
+        m = counts[group]
+        # hashes are sorted: a part is a run of them
+        part = ((tokens >> np.uint64(32)) * m[owner].astype(np.uint64) >> np.uint64(32)).astype(np.int64)
+        fresh = np.ones(len(tokens), bool)
+        fresh[1:] = (part[1:] != part[:-1]) | (owner[1:] != owner[:-1])
+        start = np.flatnonzero(fresh)
+        big = (np.diff(np.append(start, len(tokens))) > 1) & here[owner[start]]
+        sums, start = np.add.reduceat(mixed, start)[big], start[big]
+        least = np.bincount(owner[start], minlength=len(chosen)) - np.minimum(own, differ[group])
+        scarce |= here & (least < 1)
+        place = (group[owner[start]].astype(np.uint64) << np.uint64(40)) + part[start].astype(np.uint64)
+        out.append((_mix(sums + _mix(place)), owner[start], np.maximum(least, 1)[owner[start]]))
+    # too few parts of two tokens: two such sets may have no other equal part, but they share a token of their prefixes
+    length = np.where(scarce, sizes - -(-num * sizes // den) + 1, 0)
+    at = np.repeat(first, length) + np.arange(int(length.sum())) - np.repeat(np.concatenate(([0], length.cumsum()[:-1])), length)
+    out.append((_mix(tokens[at] + np.uint64(0xA5A5A5A5)), owner[at], np.ones(len(at), np.int64)))
+    digests, index, least = (np.concatenate(c) for c in zip(*out, strict=True))
+    return digests, chosen[index], least
+
+
+#: `size` packs the set's size and the least number of shared parts, so that it sorts by size.
+_LEAST_BITS = 24
+
+
+def _keys(width: int, num: int, den: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        levels, seen = shared.value.astype(np.uint64), set()
+        seen = set()
         for batch in slices(batches, 0, 1 << 20):
-            keys, ids, sizes = [], [], []
+            fresh, ids = [], []
             for tokens in shingle_sets([(t or "").encode() for t in batch.column(0).to_pylist()], width):
-                n = len(tokens)
-                sid, other = _digest(tokens) if n else (0, 0)
-                if not n or (sid, other) in seen:
-                    continue
-                seen.add((sid, other))
-                ranked = (levels[(tokens >> np.uint64(64 - SLOT_BITS)).astype(np.int64)] << np.uint64(56)) | (tokens & np.uint64((1 << 56) - 1))
-                p = min(n, n - -(-num * n // den) + 1 + n // MEET_EACH)
-                keys.append(np.partition(ranked, p - 1)[:p] if p < n else ranked)
-                ids.append(np.full(p, sid, np.int64))
-                sizes.append(np.full(p, n, np.int32))
-            if keys:
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(keys).view(np.int64)), pa.array(np.concatenate(ids)), pa.array(np.concatenate(sizes))], names=["token", "sid", "n"])
+                if len(tokens) and (d := _digest(tokens)) not in seen:
+                    seen.add(d)
+                    fresh.append(tokens)
+                    ids.append(d[0])
+            digests, index, least = parts_of(fresh, num, den)
+            if len(digests):
+                sizes = np.array([len(s) for s in fresh], np.int64)[index]
+                packed = sizes << _LEAST_BITS | np.minimum(least, (1 << _LEAST_BITS) - 1)
+                yield pa.RecordBatch.from_arrays([pa.array(digests.view(np.int64)), pa.array(np.array(ids, np.int64)[index]), pa.array(packed)], names=["token", "sid", "size"])
 
     return run
 
 
 def _meetings(num: int, den: int):
-    """Sorted (token, n, sid) records -> (a, b, shared, least): pairs of classes, the tokens they share here and the number they need.
+    """Sorted (token, size, sid) records -> (a, b, shared, least): pairs of classes, the tokens they share here and the number they need.
 
-    The pairs of a token of more than FEW classes are not listed: neighbours in size order stand for
+    A token is the digest of a part. The pairs of one of more than FEW classes are not listed: neighbours in size order stand for
     them, joined up to a forest, with a count that no need exceeds.
     """
 
@@ -182,10 +220,11 @@ def _meetings(num: int, den: int):
                 if x != y:
                     parent[max(x, y)] = min(x, y)
 
-        def blocks(token: np.ndarray, n: np.ndarray, sid: np.ndarray, crowded: int | None) -> Iterator[pa.RecordBatch]:
+        def blocks(token: np.ndarray, size: np.ndarray, sid: np.ndarray, crowded: int | None) -> Iterator[pa.RecordBatch]:
+            n, need = size >> _LEAST_BITS, size & (1 << _LEAST_BITS) - 1
             start = np.flatnonzero(np.concatenate(([True], token[1:] != token[:-1])))
-            size = np.diff(np.append(start, len(token)))
-            many = np.repeat(size > FEW, size)
+            block = np.diff(np.append(start, len(token)))
+            many = np.repeat(block > FEW, block)
             if crowded is not None:
                 many |= token == crowded
             fits = den * n[:-1] >= num * n[1:]
@@ -198,22 +237,22 @@ def _meetings(num: int, den: int):
                 if len(at):
                     x, y = np.minimum(sid[at], sid[at + d]), np.maximum(sid[at], sid[at + d])
                     pair, where, count = np.unique(np.stack([x, y], 1), axis=0, return_index=True, return_counts=True)
-                    yield rows(pair[:, 0], pair[:, 1], count, 1 + n[at][where] // MEET_EACH)
+                    yield rows(pair[:, 0], pair[:, 1], count, np.maximum(need[at], need[at + d])[where])
 
         held, crowded = [np.zeros(0, np.int64)] * 3, None
         for batch in batches:
             new = [batch.column(i).to_numpy().astype(np.int64) for i in range(3)]
-            token, n, sid = (np.concatenate(c) for c in zip(held, new, strict=True))
-            fresh = np.concatenate(([True], (token[1:] != token[:-1]) | (sid[1:] != sid[:-1]) | (n[1:] != n[:-1])))
-            token, n, sid = token[fresh], n[fresh], sid[fresh]
+            token, size, sid = (np.concatenate(c) for c in zip(held, new, strict=True))
+            fresh = np.concatenate(([True], (token[1:] != token[:-1]) | (sid[1:] != sid[:-1]) | (size[1:] != size[:-1])))
+            token, size, sid = token[fresh], size[fresh], sid[fresh]
             last = int(np.searchsorted(token, token[-1])) if len(token) else 0
             if len(token) - last > FEW or (len(token) and token[-1] == crowded):
                 # the last block may go on; its last row stands for it
-                yield from blocks(token, n, sid, crowded)
+                yield from blocks(token, size, sid, crowded)
                 crowded, last = int(token[-1]), len(token) - 1
             elif last:
-                yield from blocks(token[:last], n[:last], sid[:last], crowded)
-            held = [token[last:], n[last:], sid[last:]]
+                yield from blocks(token[:last], size[:last], sid[:last], crowded)
+            held = [token[last:], size[last:], sid[last:]]
         if len(held[0]):
             yield from blocks(*held, crowded)
         pairs = np.array([(x, find(x)) for x in list(parent) if find(x) != x], np.int64).reshape(-1, 2)
@@ -350,6 +389,15 @@ def _remaining_cells(members: DataFrame, groups: DataFrame, limit: int, total: i
     return placed.withColumn("cells", cells).where(F.size("cells") > 0).drop("rests", "mains", "rest")
 
 
+def _of_ids(docs: DataFrame, ids: DataFrame) -> DataFrame:
+    """The rows of `docs` whose doc_id is one of `ids`, and a few others: told by a bit table of fixed size, before a shuffle."""
+    slot = F.pmod(F.xxhash64("doc_id"), F.lit(1 << ID_BITS))
+    bit = F.expr("shiftleft(1L, cast(_slot & 63 AS int))")
+    words = ids.select(slot.alias("_slot")).groupBy(F.shiftright("_slot", 6).alias("_word")).agg(F.bit_or(bit).alias("_bits"))
+    placed = docs.withColumn("_slot", slot).withColumn("_word", F.shiftright("_slot", 6))
+    return placed.join(F.broadcast(words), "_word").where(F.col("_bits").bitwiseAND(bit) != 0).select(*docs.columns)
+
+
 def near_duplicates(docs: DataFrame, width: int = 5, num: int = 80, den: int = 100, limit: int = CLUSTER_TOKENS) -> DataFrame:
     """(doc_id, text) -> doc_id, n_shingles, component_id: components under links with den * |A & B| >= num * |A | B|.
 
@@ -361,13 +409,11 @@ def near_duplicates(docs: DataFrame, width: int = 5, num: int = 80, den: int = 1
     prepare(spark)
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     parts = shuffle_partitions(spark)
-    sketch = materialize(docs.mapInArrow(_sketch(width), _SKETCH), "sketch", "kind")
-    levels = spark.sparkContext.broadcast(_frequency_levels(sketch))
-    rows = sketch.where("kind = 0").select("doc_id", "n", "s1", "s2")
+    rows = materialize(docs.mapInArrow(_sketch(width), _SKETCH), "sketch")
     classes = rows.where("n > 0").groupBy("s1", "s2").agg(F.min("doc_id").alias("rep"), F.first("n").alias("n"), F.count("*").alias("copies")).where("rep IS NOT NULL")
 
-    records = docs.select("text").mapInArrow(_keys(width, num, den, levels), "token long, sid long, n int")
-    meetings = records.repartition(parts, "token").sortWithinPartitions("token", "n", "sid").select("token", "n", "sid").mapInArrow(_meetings(num, den), "a long, b long, shared long, least long")
+    records = docs.select("text").mapInArrow(_keys(width, num, den), "token long, sid long, size long")
+    meetings = records.repartition(parts, "token").sortWithinPartitions("token", "size", "sid").select("token", "size", "sid").mapInArrow(_meetings(num, den), "a long, b long, shared long, least long")
     edges = meetings.groupBy("a", "b").agg(F.sum("shared").alias("shared"), F.min("least").alias("least")).where("shared >= least").select("a", "b")
     clusters = connected_components(edges)
 
@@ -376,7 +422,7 @@ def near_duplicates(docs: DataFrame, width: int = 5, num: int = 80, den: int = 1
 
     def compared(cells: DataFrame) -> DataFrame:
         # the join is hinted so that it has one shape at every size
-        sets = cells.select("cells", "doc_id", "s1", "s2").hint("merge").join(docs, "doc_id").select("cells", "doc_id", "s1", "s2", "text").mapInArrow(_sets(width), _CELL)
+        sets = cells.select("cells", "doc_id", "s1", "s2").hint("merge").join(_of_ids(docs, cells), "doc_id").select("cells", "doc_id", "s1", "s2", "text").mapInArrow(_sets(width), _CELL)
         linked = sets.repartition(parts, "cell").sortWithinPartitions("cell", "side", "s1", "s2").mapInArrow(_cells(num, den), "a long, b long, least long")
         return materialize(linked, "links")
 

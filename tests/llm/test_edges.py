@@ -262,3 +262,56 @@ def test_fit_tells_texts_in_no_learned_language(spark):
     assert np.allclose(np.concatenate(alone), mixture.likelihoods(odd)[0])
     nothing = langid.fit(spark.createDataFrame([], "doc_id long, text string, lang string"))
     assert nothing.least_fit == -np.inf and langid.identify(spark.createDataFrame([(1, "the")], LONG), nothing).first().lang_pred == "und"
+
+
+def test_alike_sets_share_enough_parts():
+    from reelquarry.llm.jaccard import _mix, parts_of
+
+    rng = np.random.default_rng(11)
+    for num in (50, 80, 85, 95):
+        sets, linked = [], []
+        for n in [*range(1, 60), 100, 137, 400, 1500]:
+            for _ in range(6):
+                a = _mix(rng.integers(0, 1 << 60, 2 * n).astype(np.uint64))
+                # the greatest difference that still links: tokens that go, and tokens that come
+                gone = int(rng.integers(0, n * (100 - num) // 100 + 1))
+                more = max(0, (n - gone) * 100 // num - n)
+                sets += [np.sort(a[:n]), np.sort(a[gone : n + more])]
+                linked.append((len(sets) - 2, len(sets) - 1))
+        digests, index, least = parts_of(sets, num, 100)
+        for i, j in linked:
+            a, b = (set(s.tolist()) for s in (sets[i], sets[j]))
+            assert 100 * len(a & b) >= num * len(a | b)
+            if a != b:
+                of = [dict(zip(digests[index == k].tolist(), least[index == k].tolist(), strict=True)) for k in (i, j)]
+                shared = of[0].keys() & of[1].keys()
+                assert shared and len(shared) >= max(max(of[0][d], of[1][d]) for d in shared)
+
+
+def test_common_shingles_do_not_cluster_unlike_texts(spark, monkeypatch):
+    from reelquarry.llm import jaccard
+
+    # every shingle is one of 625 and lies in about 30 texts, none of which are alike
+    rnd = random.Random(3)
+    texts = [" ".join(rnd.choices([f"w{k}" for k in range(25)], k=60)) for i in range(300)]
+    texts.append(texts[0] + " changed")
+    sizes = []
+    own = jaccard.connected_components
+
+    def spied(edges):
+        found = own(edges)
+        sizes.append(found.count())
+        return found
+
+    monkeypatch.setattr(jaccard, "connected_components", spied)
+    got = {r.doc_id: r.component_id for r in jaccard.near_duplicates(spark.createDataFrame(list(enumerate(texts)), LONG), 2, 85, 100).collect()}
+    assert got == {**{i: i for i in range(300)}, 300: 0}
+    assert sizes[0] < 30
+
+
+def test_texts_of_other_ids_are_not_sent(spark):
+    from reelquarry.llm.jaccard import _of_ids
+
+    docs = spark.range(20_000).selectExpr("id AS doc_id", "'t' AS text").union(spark.createDataFrame([(None, "t")], LONG))
+    kept = [r.doc_id for r in _of_ids(docs, docs.where("doc_id % 100 = 7").select("doc_id")).collect()]
+    assert {i for i in range(20_000) if i % 100 == 7} <= set(kept) and len(kept) < 1_000
