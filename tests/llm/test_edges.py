@@ -315,3 +315,57 @@ def test_texts_of_other_ids_are_not_sent(spark):
     docs = spark.range(20_000).selectExpr("id AS doc_id", "'t' AS text").union(spark.createDataFrame([(None, "t")], LONG))
     kept = [r.doc_id for r in _of_ids(docs, docs.where("doc_id % 100 = 7").select("doc_id")).collect()]
     assert {i for i in range(20_000) if i % 100 == 7} <= set(kept) and len(kept) < 1_000
+
+
+def test_hot_anchors_without_repeats_send_nothing():
+    import types
+
+    import pyarrow as pa
+
+    from reelquarry.llm.suffixes import _ANCHORS, SLOT_BITS, _fields, _repeated_anchors, _scan
+
+    # 40 bytes in common, unlike surroundings: anchors repeat, no 64 bytes do; the last two texts share 64 bytes
+    rnd = random.Random(4)
+
+    def words(n):
+        return "".join(rnd.choices("abcdefgh ", k=n))
+
+    passage, longer = words(40), words(120)
+    texts = [words(200) + passage + words(200) for _ in range(60)]
+
+    def sent(texts, level):
+        levels = types.SimpleNamespace(value=np.full(1 << SLOT_BITS, level, np.uint8))
+        rows = [r for k in range(2) for b in _scan(64, 16, levels)(iter([pa.RecordBatch.from_pydict({"text": texts[k::2]})])) for r in zip(*(c.to_pylist() for c in b.columns), strict=True)]
+        batch = pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*sorted(rows), strict=True)], names=_fields(_ANCHORS))
+        return sum(b.num_rows for b in _repeated_anchors(iter([batch])))
+
+    assert sent(texts, 0) > 60
+    for level in (1, 2):
+        assert sent(texts, level) == 0
+        assert sent([*texts, words(50) + longer, longer + words(50)], level) > 0
+
+
+def test_texts_are_shuffled_once_for_repeats(spark, tmp_path):
+    import re
+
+    from reelquarry.llm.suffixes import op10_suffixes
+
+    rows = [(i, f"{i} " * 150 + "common words " * 40) for i in range(30)]
+    spark.createDataFrame(rows, LONG).write.parquet(str(tmp_path / "documents.parquet"))
+    got = op10_suffixes(spark, str(tmp_path))
+    assert len(got.collect()) == 30
+    plan = got._jdf.queryExecution().executedPlan().toString()
+    assert re.search(r"ReusedExchange \[key#\d+L?, text#", plan)
+
+
+def test_ranges_of_long_texts_are_as_of_short_ones(monkeypatch):
+    from reelquarry.llm import suffixes
+
+    rnd = random.Random(6)
+    text = "".join(rnd.choices("abcd ", k=5_000)).encode()
+    ((hashes, pos, first, last),) = suffixes.anchors([text], 64, 16)
+    level = np.arange(len(pos)) % 2 + 1
+    args = ([text], np.zeros(len(pos), np.int64), level, hashes, pos, first, last, 64)
+    whole = suffixes._ranges(*args)
+    monkeypatch.setattr(suffixes, "STRETCH", 700)
+    assert all(np.array_equal(a, b) for a, b in zip(whole, suffixes._ranges(*args), strict=True))
