@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from reelquarry.llm import jaccard, langid, packing, suffixes, toxicity
-from reelquarry.llm.common import materialize
+from reelquarry.llm.common import materialize, split_by_ids
 
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 #: Bytes of a repeated string; passages of fifty words are longer.
@@ -44,7 +44,10 @@ def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
     """
     found = jaccard.near_duplicates(docs.select("doc_id", "text"), 5, 80, 100)
     losers = found.groupBy("doc_id").agg(F.max(F.col("component_id") == F.col("doc_id")).alias("stays")).where("NOT stays").select("doc_id")
-    return docs.select(*COLUMNS).join(losers.hint("merge"), "doc_id", "left_anti").select(*COLUMNS)
+    # only rows that may go are shuffled
+    losers = materialize(losers, "losers")
+    some, rest = split_by_ids(docs.select(*COLUMNS), losers)
+    return some.join(losers.hint("merge"), "doc_id", "left_anti").select(*COLUMNS).union(rest)
 
 
 def drop_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

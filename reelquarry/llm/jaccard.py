@@ -5,8 +5,8 @@
 2. Sets of a size group are cut into parts by the hashes of their tokens, into more parts than two alike
    sets of the group can differ in tokens: some parts of theirs are equal. Classes meet by the digest of a
    part of two tokens or more, and the shared parts of each pair are counted; a part of many classes counts
-   as proof enough. A set with too few such parts also meets others of its kind by a prefix of its
-   tokens. A part holds several tokens whatever the size of the corpus, so chance meetings stay rare.
+   as proof enough. A set with too few such parts is cut in other ways also, and at last meets others of
+   its kind by a prefix of its tokens. A part holds several tokens whatever the size of the corpus, so chance meetings stay rare.
    Classes that meet often enough, with compatible sizes, are clustered.
 3. The sets of a cluster are sent to one task, where a signature tree's dual traversal finds the exact
    components. Clusters above a fixed number of tokens are cut by size class and salt into parts, with
@@ -24,16 +24,16 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from reelquarry.llm.common import documents, join_classes, materialize, prepare, shuffle_partitions, slices
+from reelquarry.llm.common import documents, join_classes, materialize, prepare, shuffle_partitions, slices, split_by_ids
 from reelquarry.llm.graph import connected_components
 from reelquarry.llm.signature_tree import SignatureTree
 
 #: A size group reaches so far above the one before it.
 GROUP = 1.3
-#: Parts of a set besides those that may differ: one, and one for each SPARE of them.
-SPARE = 10
-#: Bits of the table that tells which ids may be of interest; its size doesn't depend on the data.
-ID_BITS = 24
+#: Shares of the parts that may differ, of which one is added to them: the least that leaves parts of two tokens to share.
+SPARE = np.arange(0, 1.05, 0.05)
+#: Ways of cutting; a set that one leaves with too few parts of two tokens is cut the next way also.
+WAYS = 4
 #: Classes of a part up to which its pairs are counted.
 FEW = 8
 MANY = 1 << 20
@@ -127,7 +127,13 @@ def _groups(num: int, den: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         tops.append(top)
     tops = np.array(tops, np.int64)
     differ = 2 * tops * (den - num) // (den + num)
-    return tops, differ, differ + 1 + differ // SPARE
+    counts = differ + 1 + (differ * SPARE[:, None]).astype(np.int64)
+    mean = tops / counts
+    small = counts * (1 + mean) * np.exp(-mean)
+    room = counts - small - differ - 2 * np.sqrt(small)
+    enough = room >= 1
+    which = np.where(enough.any(0), enough.argmax(0), room.argmax(0))
+    return tops, differ, counts[which, np.arange(len(tops))]
 
 
 def parts_of(sets: list[np.ndarray], num: int, den: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -144,31 +150,40 @@ def parts_of(sets: list[np.ndarray], num: int, den: int) -> tuple[np.ndarray, np
     if den == num or not len(chosen):
         return none
     tops, differ, counts = _groups(num, den)
-    sizes, own = sizes[chosen], own[chosen]
-    tokens, first = np.concatenate([sets[i] for i in chosen.tolist()]), np.concatenate(([0], sizes.cumsum()[:-1]))
-    mixed, owner = _mix(tokens), np.repeat(np.arange(len(chosen)), sizes)
     low, high = np.searchsorted(tops, sizes), np.searchsorted(tops, sizes * den // num)
-    scarce, out = np.zeros(len(chosen), bool), []
-    for step in range(int((high - low).max()) + 1):
-        group, here = low + step, low + step <= high
-        m = counts[group]
-        # hashes are sorted: a part is a run of them
-        part = ((tokens >> np.uint64(32)) * m[owner].astype(np.uint64) >> np.uint64(32)).astype(np.int64)
-        fresh = np.ones(len(tokens), bool)
-        fresh[1:] = (part[1:] != part[:-1]) | (owner[1:] != owner[:-1])
-        start = np.flatnonzero(fresh)
-        big = (np.diff(np.append(start, len(tokens))) > 1) & here[owner[start]]
-        sums, start = np.add.reduceat(mixed, start)[big], start[big]
-        least = np.bincount(owner[start], minlength=len(chosen)) - np.minimum(own, differ[group])
-        scarce |= here & (least < 1)
-        place = (group[owner[start]].astype(np.uint64) << np.uint64(40)) + part[start].astype(np.uint64)
-        out.append((_mix(sums + _mix(place)), owner[start], np.maximum(least, 1)[owner[start]]))
-    # too few parts of two tokens: two such sets may have no other equal part, but they share a token of their prefixes
-    length = np.where(scarce, sizes - -(-num * sizes // den) + 1, 0)
-    at = np.repeat(first, length) + np.arange(int(length.sum())) - np.repeat(np.concatenate(([0], length.cumsum()[:-1])), length)
-    out.append((_mix(tokens[at] + np.uint64(0xA5A5A5A5)), owner[at], np.ones(len(at), np.int64)))
-    digests, index, least = (np.concatenate(c) for c in zip(*out, strict=True))
-    return digests, chosen[index], least
+    out = []
+
+    for way in range(WAYS):
+        n = sizes[chosen]
+        tokens, owner = np.concatenate([sets[i] for i in chosen.tolist()]), np.repeat(np.arange(len(chosen)), n)
+        mixed = _mix(tokens)
+        if way:
+            tokens = _mix(tokens + np.uint64(way))
+            order = np.lexsort((tokens, owner))
+            tokens, mixed = tokens[order], mixed[order]
+        scarce = np.zeros(len(chosen), bool)
+        for step in range(int((high - low)[chosen].max()) + 1):
+            group, here = low[chosen] + step, (low + step <= high)[chosen]
+            # hashes are sorted: a part is a run of them
+            part = ((tokens >> np.uint64(32)) * counts[group][owner].astype(np.uint64) >> np.uint64(32)).astype(np.int64)
+            fresh = np.ones(len(tokens), bool)
+            fresh[1:] = (part[1:] != part[:-1]) | (owner[1:] != owner[:-1])
+            start = np.flatnonzero(fresh)
+            big = (np.diff(np.append(start, len(tokens))) > 1) & here[owner[start]]
+            sums, start = np.add.reduceat(mixed, start)[big], start[big]
+            least = np.bincount(owner[start], minlength=len(chosen)) - np.minimum(own[chosen], differ[group])
+            scarce |= here & (least < 1)
+            place = np.uint64(way << 60) + (group[owner[start]].astype(np.uint64) << np.uint64(40)) + part[start].astype(np.uint64)
+            out.append((_mix(sums + _mix(place)), chosen[owner[start]], np.maximum(least, 1)[owner[start]]))
+        # two such sets may have no other equal part
+        chosen = chosen[scarce]
+        if not len(chosen):
+            break
+    for i in chosen.tolist():
+        # no way serves: alike sets share a token of their prefixes
+        tokens = sets[i][: sizes[i] - -(-num * int(sizes[i]) // den) + 1]
+        out.append((_mix(tokens + np.uint64(0xA5A5A5A5)), np.full(len(tokens), i), np.ones(len(tokens), np.int64)))
+    return tuple(np.concatenate(c) for c in zip(*out, strict=True))
 
 
 #: `size` packs the set's size and the least number of shared parts, so that it sorts by size.
@@ -389,15 +404,6 @@ def _remaining_cells(members: DataFrame, groups: DataFrame, limit: int, total: i
     return placed.withColumn("cells", cells).where(F.size("cells") > 0).drop("rests", "mains", "rest")
 
 
-def _of_ids(docs: DataFrame, ids: DataFrame) -> DataFrame:
-    """The rows of `docs` whose doc_id is one of `ids`, and a few others: told by a bit table of fixed size, before a shuffle."""
-    slot = F.pmod(F.xxhash64("doc_id"), F.lit(1 << ID_BITS))
-    bit = F.expr("shiftleft(1L, cast(_slot & 63 AS int))")
-    words = ids.select(slot.alias("_slot")).groupBy(F.shiftright("_slot", 6).alias("_word")).agg(F.bit_or(bit).alias("_bits"))
-    placed = docs.withColumn("_slot", slot).withColumn("_word", F.shiftright("_slot", 6))
-    return placed.join(F.broadcast(words), "_word").where(F.col("_bits").bitwiseAND(bit) != 0).select(*docs.columns)
-
-
 def near_duplicates(docs: DataFrame, width: int = 5, num: int = 80, den: int = 100, limit: int = CLUSTER_TOKENS) -> DataFrame:
     """(doc_id, text) -> doc_id, n_shingles, component_id: components under links with den * |A & B| >= num * |A | B|.
 
@@ -422,7 +428,7 @@ def near_duplicates(docs: DataFrame, width: int = 5, num: int = 80, den: int = 1
 
     def compared(cells: DataFrame) -> DataFrame:
         # the join is hinted so that it has one shape at every size
-        sets = cells.select("cells", "doc_id", "s1", "s2").hint("merge").join(_of_ids(docs, cells), "doc_id").select("cells", "doc_id", "s1", "s2", "text").mapInArrow(_sets(width), _CELL)
+        sets = cells.select("cells", "doc_id", "s1", "s2").hint("merge").join(split_by_ids(docs, cells)[0], "doc_id").select("cells", "doc_id", "s1", "s2", "text").mapInArrow(_sets(width), _CELL)
         linked = sets.repartition(parts, "cell").sortWithinPartitions("cell", "side", "s1", "s2").mapInArrow(_cells(num, den), "a long, b long, least long")
         return materialize(linked, "links")
 

@@ -310,11 +310,13 @@ def test_common_shingles_do_not_cluster_unlike_texts(spark, monkeypatch):
 
 
 def test_texts_of_other_ids_are_not_sent(spark):
-    from reelquarry.llm.jaccard import _of_ids
+    from reelquarry.llm.common import split_by_ids
 
     docs = spark.range(20_000).selectExpr("id AS doc_id", "'t' AS text").union(spark.createDataFrame([(None, "t")], LONG))
-    kept = [r.doc_id for r in _of_ids(docs, docs.where("doc_id % 100 = 7").select("doc_id")).collect()]
-    assert {i for i in range(20_000) if i % 100 == 7} <= set(kept) and len(kept) < 1_000
+    some, rest = ([r.doc_id for r in part.collect()] for part in split_by_ids(docs, docs.where("doc_id % 100 = 7").select("doc_id")))
+    assert {i for i in range(20_000) if i % 100 == 7} <= set(some) and len(some) < 1_000
+    assert sorted(some + rest, key=str) == sorted([None, *range(20_000)], key=str)
+    assert [len(part.collect()) for part in split_by_ids(docs, docs.where("false"))] == [0, 20_001]
 
 
 def test_hot_anchors_without_repeats_send_nothing():

@@ -51,6 +51,19 @@ def test_one_of_each_group_stays(spark):
     assert sorted(kept, key=str) == [0, 2, 4, 5, None]
 
 
+def test_documents_that_stay_are_not_shuffled(spark):
+    import corpus_pipeline as P
+
+    rows = [(i, f"text {i} " + "of its own " * (i + 1), "en", "s", 1) for i in range(500)] + [(500, "text 0 of its own ", "en", "s", 1)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long").repartition(3)
+    kept = P.drop_near_duplicates(spark, docs, SF)
+    want = P.jaccard.near_duplicates(docs.select("doc_id", "text"), 5, 80, 100).where("component_id = doc_id").count()
+    assert kept.count() == want < 501
+    plan = kept._jdf.queryExecution().optimizedPlan().toString()
+    # the anti join takes what the table of ids lets pass; the rest comes by a union
+    assert plan.startswith("Union") and "_word" in plan.split("LeftAnti")[1].split("hint")[0]
+
+
 def test_repeated_passages_go(spark):
     import corpus_pipeline as P
 
