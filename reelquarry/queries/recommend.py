@@ -10,6 +10,7 @@ from reelquarry.functions import hashing as H
 from reelquarry.functions import scoring as S
 from reelquarry.functions import vectors as X
 from reelquarry.operators import monitoring as M
+from reelquarry.operators import similarity as Sm
 from reelquarry.operators import windows as Wn
 from reelquarry.registry import query
 from reelquarry.tables import RATINGS_SQL, VIEWS_SQL, load, ratings, views
@@ -175,10 +176,8 @@ def tag_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
 SELECT query_id, item_id, similarity FROM s QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY similarity DESC, item_id) <= 10""")
 def content_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The ten parts most like every part whose key is divisible by 50, by tags and genre; parts without a common tag or genre score 0 and can't be better."""
-    p = load(spark, sf_dir, "part").select("p_partkey", F.array_distinct(F.split(F.concat_ws(" ", "p_name", "p_type"), " ")).alias("t"), F.col("p_brand").alias("g"))
-    q = p.where("p_partkey % 50 = 0").select(F.col("p_partkey").alias("query_id"), F.col("t").alias("qt"), F.col("g").alias("qg"))
-    s = p.crossJoin(q).where("p_partkey <> query_id").select("query_id", F.col("p_partkey").alias("item_id"), F.round(X.item_similarity(F.col("qt"), F.col("t"), F.col("qg"), F.col("g")), 6).alias("similarity"))
-    return Wn.top_per_group(s, "query_id", [F.desc("similarity"), "item_id"], 10).drop("rank")
+    p = load(spark, sf_dir, "part").select(F.col("p_partkey").alias("item_id"), F.array_distinct(F.split(F.concat_ws(" ", "p_name", "p_type"), " ")).alias("tags"), F.col("p_brand").alias("genre"))
+    return Sm.nearest_by_tags(p, p.where("item_id % 50 = 0").withColumnRenamed("item_id", "query_id"), 10, 6)
 
 
 @query("experiment_variants", f"WITH h AS (SELECT c_custkey, CAST({_FNV.format(chr(40) + 'c_custkey || ' + chr(39) + ':shelf' + chr(39) + chr(41))} % 10000 AS BIGINT) / 10000.0 AS t FROM customer) SELECT c_custkey, CAST(CASE WHEN t < 0.5 THEN 0 WHEN t < 0.8 THEN 1 ELSE 2 END AS BIGINT) AS variant FROM h")

@@ -17,3 +17,17 @@ def test_nearest_points_match_brute_force(spark):
             d = {i: round(sum((x - y) ** 2 for x, y in zip(v, at[q], strict=True)) ** 0.5, 6) for i, v in at.items()}
             want |= {(q, i, d[i]) for i in sorted(d, key=lambda i: (d[i], i))[:9]}
         assert got == want
+
+
+def test_nearest_by_tags_match_brute_force(spark):
+    rnd = random.Random(5)
+    rows = {i: (sorted(rnd.sample("abcde", rnd.randint(1, 3))), rnd.choice(["x", "y", "", None])) for i in range(1, 400)}
+    df = spark.createDataFrame([(i, t, g) for i, (t, g) in rows.items()], "item_id long, tags array<string>, genre string")
+    got = {(r.query_id, r.item_id, r.similarity) for r in similarity.nearest_by_tags(df, df.where("item_id % 50 = 0").withColumnRenamed("item_id", "query_id"), 6, 6).collect()}
+    want = set()
+    for q in (i for i in rows if i % 50 == 0):
+        (t, g), s = rows[q], {}
+        for i, (u, h) in rows.items():
+            s[i] = round(min(len(set(t) & set(u)) / (len(t) * len(u)) ** 0.5 + 0.1 * bool(g and g == h), 1), 6)
+        want |= {(q, i, s[i]) for i in sorted(s.keys() - {q}, key=lambda i: (-s[i], i))[:6]}
+    assert got == want
