@@ -31,3 +31,10 @@ def test_nearest_by_tags_match_brute_force(spark):
             s[i] = round(min(len(set(t) & set(u)) / (len(t) * len(u)) ** 0.5 + 0.1 * bool(g and g == h), 1), 6)
         want |= {(q, i, s[i]) for i in sorted(s.keys() - {q}, key=lambda i: (-s[i], i))[:6]}
     assert got == want
+
+
+def test_set_similarities_compare_sets_once(spark):
+    df = spark.createDataFrame([(i, [["a", "b"], ["b"], None, ["c", "d"]][i % 4]) for i in range(40)], "id long, t array<string>")
+    made = similarity.set_similarities(df, df.where("id % 10 = 0").withColumnRenamed("id", "query_id"), 6, 30)
+    rows = {(r.query_id, r.id): (r.jaccard, r.dice, r.overlap, r.cosine) for r in made.collect()}
+    assert len(rows) == 4 * 40 and rows[0, 4] == (1.0, 1.0, 1.0, 1.0) and rows[0, 1] == (0.5, 0.666667, 1.0, 0.707107) and rows[10, 2] == rows[0, 3] == (0.0, 0.0, 0.0, 0.0)
