@@ -2,7 +2,7 @@
 
 import random
 
-from reelquarry.operators import similarity
+from reelquarry.operators import joins, similarity
 
 
 def test_nearest_points_match_brute_force(spark):
@@ -38,3 +38,15 @@ def test_set_similarities_compare_sets_once(spark):
     made = similarity.set_similarities(df, df.where("id % 10 = 0").withColumnRenamed("id", "query_id"), 6, 30)
     rows = {(r.query_id, r.id): (r.jaccard, r.dice, r.overlap, r.cosine) for r in made.collect()}
     assert len(rows) == 4 * 40 and rows[0, 4] == (1.0, 1.0, 1.0, 1.0) and rows[0, 1] == (0.5, 0.666667, 1.0, 0.707107) and rows[10, 2] == rows[0, 3] == (0.0, 0.0, 0.0, 0.0)
+
+
+def test_overlaps_of_few_and_of_many_worldwide_intervals(spark):
+    rnd = random.Random(8)
+    rows = [(i, rnd.choice("xyz*"), s := rnd.randint(0, 300), s + rnd.randint(0, 90)) for i in range(160)]
+    df = spark.createDataFrame(rows, "id long, k string, s long, e long")
+    want = {(a[0], b[0], max(a[2], b[2]), min(a[3], b[3])) for a in rows for b in rows if a[0] < b[0] and (a[1] == b[1] or "*" in (a[1], b[1])) and max(a[2], b[2]) < min(a[3], b[3])}
+    for few in (0, 1000):
+        made = joins.interval_overlaps(df, "id", "k", "s", "e", 7, "*", few=few)
+        got = [tuple(r) for r in made.collect()]
+        assert len(got) == len(want) and set(got) == want
+    assert "BroadcastHashJoin" in made._jdf.queryExecution().executedPlan().toString()
