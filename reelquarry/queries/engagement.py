@@ -105,7 +105,8 @@ def dedup_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("content_statistics", V + """SELECT item_id, count(*) AS views, count(DISTINCT user_id) AS viewers, CAST(floor(sum(CAST(duration AS BIGINT)) / count(*)) AS BIGINT) AS avg_watch,
 round(avg(CASE WHEN kind = 'purchase' THEN 1 ELSE 0 END), 6) AS completion FROM views GROUP BY item_id""")
 def content_statistics(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return views(spark, sf_dir).groupBy("item_id").agg(F.count("*").alias("views"), F.countDistinct("user_id").alias("viewers"), F.floor(F.sum(F.round("duration").cast("long")) / F.count("*")).alias("avg_watch"), F.round(F.avg((F.col("kind") == "purchase").cast("int")), 6).alias("completion"))
+    """Views, viewers, mean whole seconds (halves go to the even one, as SQL casts) and share of purchases of each item."""
+    return views(spark, sf_dir).groupBy("item_id").agg(F.count("*").alias("views"), F.countDistinct("user_id").alias("viewers"), F.floor(F.sum(F.bround("duration").cast("long")) / F.count("*")).alias("avg_watch"), F.round(F.avg((F.col("kind") == "purchase").cast("int")), 6).alias("completion"))
 
 
 @query("viewing_patterns", V + """, h AS (SELECT t % 86400 // 3600 AS hour, count(*) AS n, sum(duration) AS w FROM views GROUP BY 1) SELECT hour, n, round(w, 4) AS watched, n = max(n) OVER () AS peak FROM h""")

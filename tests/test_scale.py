@@ -50,3 +50,11 @@ def test_overlaps_of_few_and_of_many_worldwide_intervals(spark):
         got = [tuple(r) for r in made.collect()]
         assert len(got) == len(want) and set(got) == want
     assert "BroadcastHashJoin" in made._jdf.queryExecution().executedPlan().toString()
+
+
+def test_content_statistics_round_halves_to_even(spark, tmp_path):
+    from reelquarry import registry
+
+    rows = [(i, "2024-01-01 00:00:00", 1, "view", v, '{"k": 1}') for i, v in enumerate((0.5, 2.5, 4.5))]
+    spark.createDataFrame(rows, "event_id long, ts string, user_id long, event_type string, value double, props string").write.parquet(f"{tmp_path}/events.parquet")
+    assert [r.avg_watch for r in registry.queries()["content_statistics"](spark, str(tmp_path)).collect()] == [2]
