@@ -58,3 +58,10 @@ def test_content_statistics_round_halves_to_even(spark, tmp_path):
     rows = [(i, "2024-01-01 00:00:00", 1, "view", v, '{"k": 1}') for i, v in enumerate((0.5, 2.5, 4.5))]
     spark.createDataFrame(rows, "event_id long, ts string, user_id long, event_type string, value double, props string").write.parquet(f"{tmp_path}/events.parquet")
     assert [r.avg_watch for r in registry.queries()["content_statistics"](spark, str(tmp_path)).collect()] == [2]
+
+
+def test_bit_sampling_lists_itself_only(spark, tmp_path):
+    from reelquarry import registry
+
+    spark.createDataFrame([(i, None if i == 100 else [1.0, -1.0]) for i in range(49, 102)], "vec_id long, embedding array<float>").write.parquet(f"{tmp_path}/embeddings.parquet")
+    assert sorted(map(tuple, registry.queries()["bit_sampling"](spark, str(tmp_path)).collect())) == [(50, 50, 0), (100, 100, 0)]
