@@ -65,3 +65,18 @@ def test_bit_sampling_lists_itself_only(spark, tmp_path):
 
     spark.createDataFrame([(i, None if i == 100 else [1.0, -1.0]) for i in range(49, 102)], "vec_id long, embedding array<float>").write.parquet(f"{tmp_path}/embeddings.parquet")
     assert sorted(map(tuple, registry.queries()["bit_sampling"](spark, str(tmp_path)).collect())) == [(50, 50, 0), (100, 100, 0)]
+
+
+def test_nearest_of_kinds_match_brute_force(spark):
+    rnd = random.Random(9)
+    at = {i: (rnd.choice([1, 2, 3, None]), [rnd.randint(0, 9) / 9 for _ in range(3)]) for i in range(120)} | {120: (7, [0.1] * 4), 121: (7, None)}
+    df = spark.createDataFrame([(i, k, v) for i, (k, v) in at.items()], "query_id long, kind int, v array<float>")
+    known = {r.query_id: (r.kind, r.v) for r in df.collect() if r.v}
+    want = {}
+    for q in (i for i in known if i % 20 == 0):
+        for k, v in known.values():
+            if len(v) == len(known[q][1]) and (d := sum((x - y) ** 2 for x, y in zip(v, known[q][1], strict=True)) ** 0.5) <= 0.4:
+                want[q, k] = min(d, want.get((q, k), 9.0))
+    for block in (4096, 11):
+        got = {(r.query_id, r.kind): r.distance for r in similarity.nearest_of_kinds(df.select("kind", "v"), df.where("query_id % 20 = 0"), 0.4, block).collect()}
+        assert got.keys() == want.keys() and all(abs(got[k] - want[k]) < 1e-12 for k in want)
