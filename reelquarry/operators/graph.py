@@ -9,6 +9,8 @@ from pyspark.sql import functions as F
 
 from reelquarry.storage import checkpoint
 
+# Joins of the walks are hinted as merge joins: a broadcast would send nodes or edges to the driver at every step.
+
 #: Steps after which the rows found so far are put into one frame, so that plans stay short.
 TOGETHER = 16
 
@@ -25,15 +27,15 @@ def topological_levels(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     left_nodes, left_edges = checkpoint(nodes.select("node").distinct()), checkpoint(edges.select("src", "dst").where("src IS NOT NULL AND dst IS NOT NULL").distinct())
     out = None
     for level in count():
-        ready = checkpoint(left_nodes.join(left_edges.select(F.col("dst").alias("node")).distinct(), "node", "left_anti"))
+        ready = checkpoint(left_nodes.join(left_edges.select(F.col("dst").alias("node")).distinct().hint("merge"), "node", "left_anti"))
         if ready.isEmpty():
             break
         found = ready.select("node", F.lit(level).cast("long").alias("level"))
         out = found if out is None else out.union(found)
         if level % TOGETHER == TOGETHER - 1:
             out = checkpoint(out.repartition("node"))
-        left_nodes = checkpoint(left_nodes.join(ready, "node", "left_anti"))
-        left_edges = checkpoint(left_edges.join(ready.select(F.col("node").alias("src")), "src", "left_anti"))
+        left_nodes = checkpoint(left_nodes.join(ready.hint("merge"), "node", "left_anti"))
+        left_edges = checkpoint(left_edges.join(ready.select(F.col("node").alias("src")).hint("merge"), "src", "left_anti"))
     if not left_nodes.isEmpty():
         raise CycleError("the graph has a cycle")
     return out if out is not None else left_nodes.select("node", F.lit(0).cast("long").alias("level"))
@@ -56,8 +58,8 @@ def ancestors(seeds: DataFrame, edges: DataFrame, depth_limit: int | None = None
     out = frontier
     edges = checkpoint(edges.select(F.col("src").alias("_src"), F.col("dst").alias("_dst")))
     for step_no in count() if depth_limit is None else range(depth_limit):
-        step = frontier.join(edges, F.col("ancestor") == F.col("_dst")).select("node", F.col("_src").alias("ancestor"), (F.col("depth") + 1).alias("depth")).distinct()
-        frontier = checkpoint(step.join(out.select("node", "ancestor"), ["node", "ancestor"], "left_anti").select("node", "ancestor", "depth"))
+        step = frontier.join(edges.hint("merge"), F.col("ancestor") == F.col("_dst")).select("node", F.col("_src").alias("ancestor"), (F.col("depth") + 1).alias("depth")).distinct()
+        frontier = checkpoint(step.join(out.select("node", "ancestor").hint("merge"), ["node", "ancestor"], "left_anti").select("node", "ancestor", "depth"))
         if frontier.isEmpty():
             return out
         out = out.union(frontier)

@@ -2,7 +2,7 @@
 
 import random
 
-from reelquarry.operators import joins, similarity
+from reelquarry.operators import graph, joins, similarity
 
 
 def test_nearest_points_match_brute_force(spark):
@@ -80,3 +80,14 @@ def test_nearest_of_kinds_match_brute_force(spark):
     for block in (4096, 11):
         got = {(r.query_id, r.kind): r.distance for r in similarity.nearest_of_kinds(df.select("kind", "v"), df.where("query_id % 20 = 0"), 0.4, block).collect()}
         assert got.keys() == want.keys() and all(abs(got[k] - want[k]) < 1e-12 for k in want)
+
+
+def test_graph_walks_broadcast_nothing(spark, monkeypatch):
+    plans = []
+    plain = graph.checkpoint
+    monkeypatch.setattr(graph, "checkpoint", lambda df: plans.append(df._jdf.queryExecution().executedPlan().toString()) or plain(df))
+    nodes = spark.createDataFrame([(i,) for i in range(4)], "node long").coalesce(1)
+    edges = spark.createDataFrame([(0, 1), (0, 2), (1, 3)], "src long, dst long").coalesce(1)
+    assert {r.node: r.level for r in graph.topological_levels(nodes, edges).collect()} == {0: 0, 1: 1, 2: 1, 3: 2}
+    assert {r.node for r in graph.reachable(nodes.where("node = 1"), edges).collect()} == {1, 3}
+    assert plans and not any("Broadcast" in p for p in plans)
