@@ -2,7 +2,8 @@
 
 import random
 
-from reelquarry.operators import graph, joins, similarity
+from reelquarry import storage
+from reelquarry.operators import graph, joins, models, similarity
 
 
 def test_nearest_points_match_brute_force(spark):
@@ -91,3 +92,10 @@ def test_graph_walks_broadcast_nothing(spark, monkeypatch):
     assert {r.node: r.level for r in graph.topological_levels(nodes, edges).collect()} == {0: 0, 1: 1, 2: 1, 3: 2}
     assert {r.node for r in graph.reachable(nodes.where("node = 1"), edges).collect()} == {1, 3}
     assert plans and not any("Broadcast" in p for p in plans)
+
+
+def test_many_pairs_are_dealt_over_more_tasks(spark):
+    df = spark.createDataFrame([(u, i, 1.0) for u in range(4) for i in range(12)], "user_id long, item_id long, rating double")
+    pairs = joins.pairs_within(df, "user_id", "item_id", "rating", task_pairs=20)
+    assert pairs.rdd.getNumPartitions() == 14 and pairs.count() == 4 * 66
+    assert storage.tasks_for(spark, 100, 10) == 10 and storage.tasks_for(spark, 10, 10) is None
