@@ -128,9 +128,9 @@ def freshness_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("serendipity", R + ", g AS (SELECT item_id, count(DISTINCT user_id) / (SELECT count(DISTINCT user_id) FROM ratings) AS popularity, avg(rating) / 5 AS relevance FROM ratings GROUP BY 1) SELECT item_id, round((1 - popularity) * relevance, 6) AS serendipity, round((0.6 * relevance + 0.4 * (1 - popularity)) / 1.0, 6) AS combined FROM g")
 def serendipity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    # a user rates an item once, so its ratings are counted; one row is broadcast
     r = ratings(spark, sf_dir)
-    # one row is broadcast
-    g = r.groupBy("item_id").agg(F.countDistinct("user_id").alias("u"), (F.avg("rating") / 5).alias("relevance")).crossJoin(F.broadcast(r.agg(F.countDistinct("user_id").alias("n"))))
+    g = r.groupBy("item_id").agg(F.count("user_id").alias("u"), (F.avg("rating") / 5).alias("relevance")).crossJoin(F.broadcast(r.agg(F.countDistinct("user_id").alias("n"))))
     rare = 1 - F.col("u") / F.col("n")
     return g.select("item_id", F.round(S.serendipity(rare, F.col("relevance")), 6).alias("serendipity"), F.round(S.weighted_normalise([(F.col("relevance"), 0.6), (rare, 0.4)]), 6).alias("combined"))
 
