@@ -99,3 +99,13 @@ def test_many_pairs_are_dealt_over_more_tasks(spark):
     pairs = joins.pairs_within(df, "user_id", "item_id", "rating", task_pairs=20)
     assert pairs.rdd.getNumPartitions() == 14 and pairs.count() == 4 * 66
     assert storage.tasks_for(spark, 100, 10) == 10 and storage.tasks_for(spark, 10, 10) is None
+
+
+def test_factors_give_the_best_items(spark):
+    rnd = random.Random(4)
+    rows = [(u, i, float(rnd.randint(1, 5))) for u in range(30) for i in rnd.sample(range(60), 12)]
+    trained = models.factorise(spark.createDataFrame(rows, "user_id long, item_id long, rating double"), 3, 2, 0.1)
+    want = {(r.user_id, x.item_id): x.rating + trained[1] for r in trained[0].recommendForAllUsers(5).collect() for x in r.recommendations}
+    for users, items in ((1024, 8192), (4, 7)):
+        got = {(r.user_id, r.item_id): r.score for r in models.recommend_by_factors(trained, 5, users, items).collect()}
+        assert got.keys() == want.keys() and all(abs(got[k] - want[k]) < 1e-5 for k in want)
