@@ -109,3 +109,13 @@ def test_factors_give_the_best_items(spark):
     for users, items in ((1024, 8192), (4, 7)):
         got = {(r.user_id, r.item_id): r.score for r in models.recommend_by_factors(trained, 5, users, items).collect()}
         assert got.keys() == want.keys() and all(abs(got[k] - want[k]) < 1e-5 for k in want)
+
+
+def test_recommendations_of_held_ratings_equal_those_of_blocks(spark):
+    rnd = random.Random(6)
+    rows = [(u + 100 * c, i + 50 * c, float(rnd.randint(-1, 5))) for c in range(3) for u in range(12) for i in rnd.sample(range(20), 4)] + [(900, 7000, 2.0), (901, 3, 0.5)]
+    df = spark.createDataFrame(rows, "user_id long, item_id long, rating double")
+    got, want = ([tuple(r) for r in joins.recommend_unseen(df, 25, 60, held=h).collect()] for h in (1000, 0))
+    assert len(got) == len(want) and set(got) == set(want)
+    plan = joins.recommend_unseen(df, 25, 60)._jdf.queryExecution().executedPlan().toString()
+    assert "Exchange" not in plan
